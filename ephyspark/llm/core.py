@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Odd multipliers of the polynomials over bytes and over words.
@@ -125,14 +126,18 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return run_hash(_BYTE_VALUE[data], starts, ends, BYTE_BASE)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """The optimiser's estimate of a plan's size: for files their bytes on disk. Used to size groups and sketches only."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def input_bytes(df: DataFrame, text: str) -> int:
+    """Bytes of the files that a plan reads, or of its texts where it reads no files. Sizes groups and sketches only."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    if max(sizes, default=0) < 1 << 60:
+        return sum(sizes)
+    return df.agg(F.sum(F.octet_length(text))).first()[0] or 0
 
 
 def partitions_for(spark: SparkSession, size: int, each: int) -> int:
     """Partitions of about `each` input bytes, no fewer than spark.sql.shuffle.partitions."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(min(size, 1 << 50) / each))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / each))
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
