@@ -128,6 +128,7 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     if clash := {"lang_pred", "score", "letters_"} & set(df.columns):
         raise ValueError(f"columns exist already: {sorted(clash)}")
     shared = df.sparkSession.sparkContext.broadcast(model)  # at most 8 MB
+    own = df.columns
     schema = StructType([*df.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +139,7 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 ok = part.column("letters_").to_numpy(zero_copy_only=False)
                 names = np.array([*m.languages, "und"], dtype=object)
                 lang = np.where(ok & bool(m.languages), names[best], "und")
-                columns = [part.column(f) for f in df.columns]
+                columns = [part.column(f) for f in own]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(lang, pa.string()), pa.array(np.where(lang == "und", 0.0, score))], names=schema.names)
 
     return df.withColumn("letters_", has_letter(F.col(text))).mapInArrow(run, schema)
