@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, langid, minhash, sharding, substring
+from . import anngraph, bpe, chat, decontam, htmltext, langid, minhash, ppm, sharding, substring
 from .core import read
 
 #: The vocabulary file of op5; None takes the installed public one.
@@ -45,10 +45,22 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(read(spark, sf_dir, "conversations"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.digest(read(spark, sf_dir, "pages"))
+
+
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.digest(read(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(read(spark, sf_dir, "documents"))
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anngraph.digest(read(spark, sf_dir, "embeddings"))
+
+
 OP6_SQL = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -71,7 +83,7 @@ FROM sized GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op3_minhash_dedup, op4_decontamination, op5_bpe, op6_chat, op9_language_id)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op3_minhash_dedup, op4_decontamination, op5_bpe, op6_chat, op7_html_extraction, op8_lm_scoring, op9_language_id, op10_embedding_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
