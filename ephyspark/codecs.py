@@ -103,3 +103,11 @@ def decode_one(buffer: bytes, fields: Sequence[FieldSpec]) -> dict:
         raise ValueError(f"the record has {len(buffer)} bytes of {stride}")
     names, columns = decode(buffer[:stride], fields, stride)
     return {n: c[0].as_py() for n, c in zip(names, columns, strict=True)}
+
+
+_NAMED = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "array<double>": T.ArrayType(T.DoubleType()), "array<string>": T.ArrayType(T.StringType())}
+
+
+def schema(text: str) -> T.StructType:
+    """A schema from `name type, ...`, without a running session."""
+    return T.StructType([T.StructField(n.strip("`"), _NAMED[k]) for n, k in (part.split() for part in text.split(","))])

@@ -14,10 +14,10 @@ _CONNECTORS = "-:|"
 def parse_svec(text: Column, sep: str = ",", connect: str = _CONNECTORS, sort: bool = False, unique: bool = True) -> Column:
     """Index text to array<bigint>: "1-3,5" is [1, 2, 3, 5]; ranges may descend, tokens that are no numbers are dropped."""
     own = "".join(re.escape(c) for c in dict.fromkeys(connect))
-    tokens = F.filter(F.transform(F.split(text, re.escape(sep)), F.trim), lambda t: t.rlike(f"^[0-9 {own}]+$"))
+    tokens = F.filter(F.transform(F.split(text, re.escape(sep)), lambda x: F.trim(x)), lambda t: t.rlike(f"^[0-9 {own}]+$"))
 
     def numbers(t: Column) -> Column:
-        ends = F.transform(F.filter(F.transform(F.split(t, f"[{own}]"), F.trim), lambda e: e.rlike("^[0-9]+$")), lambda e: e.cast("bigint"))
+        ends = F.transform(F.filter(F.transform(F.split(t, f"[{own}]"), lambda x: F.trim(x)), lambda e: e.rlike("^[0-9]+$")), lambda e: e.cast("bigint"))
         one = F.when(F.trim(t).rlike("^[0-9]+$"), F.array(F.trim(t).try_cast("bigint")))
         many = F.when(F.size(ends) >= 2, F.sequence(F.element_at(ends, 1), F.element_at(ends, 2)))
         return F.coalesce(F.when(t.rlike(f"[{own}]"), many).otherwise(one), F.array().cast("array<bigint>"))

@@ -23,13 +23,14 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..codecs import column, decode, decode_one, kept, record_dtype, spark_type, struct_type, text
+from ..codecs import schema as schema_of
 from ..specs import EventSpec, FieldSpec, Specification, file_type, get_specification
 from .files import list_files, open_input, size, stem
 
 SPLIT_BYTES = 32 << 20
 #: Version 3.0 files with a lower time resolution are read at this one.
 LEAST_RESOLUTION = 30000
-SPIKE = T._parse_datatype_string("original_filename string, packet_seq long, channel_id int, timestamp long, time_in_seconds double, classification int, waveform array<double>")
+SPIKE = schema_of("original_filename string, packet_seq long, channel_id int, timestamp long, time_in_seconds double, classification int, waveform array<double>")
 
 
 @dataclass

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
 from ..codecs import decode, decode_one, record_dtype, struct_type
+from ..codecs import schema as schema_of
 from ..specs import Specification, file_type, get_specification
 from .files import list_files, open_input, size, stem
 
@@ -137,8 +138,8 @@ def calibration(channels: list[dict]) -> tuple[np.ndarray, np.ndarray]:
 
 HEADER = T.StructType([T.StructField("file_id", T.StringType()), *struct_type(get_specification("2.3", "nsx").header).fields, T.StructField("processor_timestamp", T.LongType())])
 CHANNELS = T.StructType([T.StructField("file_id", T.StringType()), T.StructField("position", T.IntegerType()), *struct_type(get_specification("2.3", "nsx").tags["CC"]).fields, T.StructField("sample_rate_signal", T.DoubleType()), T.StructField("sample_rate_timestamp", T.LongType())])
-PACKETS = T._parse_datatype_string("file_id string, packet_seq long, tick long, t_ref double, t_sec double, n_data_points long, byte_offset long, partition int, partition_true int, sample_rate double")
-SAMPLES = T._parse_datatype_string("file_id string, which_nsx int, partition int, electrode_id int, start_sample long, relative_time double, sample_rate double, data array<double>")
+PACKETS = schema_of("file_id string, packet_seq long, tick long, t_ref double, t_sec double, n_data_points long, byte_offset long, partition int, partition_true int, sample_rate double")
+SAMPLES = schema_of("file_id string, which_nsx int, partition int, electrode_id int, start_sample long, relative_time double, sample_rate double, data array<double>")
 TABLES = {"header": HEADER, "channels": CHANNELS, "packets": PACKETS, "samples": SAMPLES}
 
 
