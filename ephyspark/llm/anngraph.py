@@ -308,4 +308,4 @@ def near_duplicates(df: DataFrame, similarity: float = 0.93, key: str = "vec_id"
 
 def digest(embeddings: DataFrame) -> DataFrame:
     """Query op10."""
-    return near_duplicates(embeddings)
+    return near_duplicates(embeddings).drop("audit_recall")

@@ -61,6 +61,72 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anngraph.digest(read(spark, sf_dir, "embeddings"))
 
 
+OP1_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (
+  SELECT doc_id, pos, array_to_string(ws[pos:pos + 19], ' ') AS k
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS pos FROM w) AS t
+), again AS (
+  SELECT doc_id, pos FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY k ORDER BY doc_id, pos) AS r FROM win) AS t WHERE r > 1
+), gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(pos, pos + 20)) AS p FROM again) AS t),
+word AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+kept AS (
+  SELECT word.doc_id, count(gone.p) AS n_removed, string_agg(word.word, ' ' ORDER BY word.p) FILTER (WHERE gone.p IS NULL) AS kept
+  FROM word LEFT JOIN gone ON word.doc_id = gone.doc_id AND word.p = gone.p GROUP BY word.doc_id
+)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
+"""
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP3_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[pos:pos + 4], ' ') AS k
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS pos FROM w WHERE len(ws) > 0) AS t
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s AS a JOIN s AS b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (
+  SELECT x, y FROM pairs JOIN n AS p ON x = p.doc_id JOIN n AS q ON y = q.doc_id WHERE 100 * c >= 85 * (p.n + q.n - c)
+), both_ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach AS (SELECT x, y FROM both_ways UNION SELECT reach.x, both_ways.y FROM reach JOIN both_ways ON reach.y = both_ways.x),
+least_of AS (SELECT x, min(y) AS m FROM reach GROUP BY x)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(m, w.doc_id)) AS component_id, coalesce(m, w.doc_id) >= w.doc_id AS kept
+FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN least_of ON w.doc_id = x
+"""
+
+OP4_SQL = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+iw AS (
+  SELECT DISTINCT item, n, array_to_string(ws[pos:pos + n - 1], ' ') AS k
+  FROM (SELECT item, ws, n, unnest(range(1, len(ws) - n + 2)) AS pos FROM (SELECT item, ws, least(len(ws), 10) AS n FROM i WHERE len(ws) > 0) AS a) AS t
+), dw AS (
+  SELECT doc_id, n, pos, array_to_string(ws[pos:pos + n - 1], ' ') AS k
+  FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS pos FROM w CROSS JOIN (SELECT DISTINCT n FROM iw) AS l WHERE len(ws) >= n) AS t
+), found AS (SELECT doc_id, pos, dw.n, item FROM dw JOIN iw ON dw.n = iw.n AND dw.k = iw.k),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + n)) AS p FROM found) AS t GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM found) AS t GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN hits ON w.doc_id = hits.doc_id LEFT JOIN items ON w.doc_id = items.doc_id
+"""
+
+OP10_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, x, sqrt(list_dot_product(x, x)) AS norm
+  FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0) AS t
+  WHERE len(list_filter(x, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND list_dot_product(x, x) > 0
+), both_ways AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v AS a JOIN v AS b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_dot_product(a.x, b.x) / (a.norm * b.norm) >= 0.93
+), reach AS (SELECT x, y FROM both_ways UNION SELECT reach.x, both_ways.y FROM reach JOIN both_ways ON reach.y = both_ways.x),
+least_of AS (SELECT x, min(y) AS m FROM reach GROUP BY x), n AS (SELECT x, count(*) AS n FROM both_ways GROUP BY x)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, coalesce(m, vec_id) >= vec_id AS kept
+FROM embeddings LEFT JOIN least_of ON vec_id = least_of.x LEFT JOIN n ON vec_id = n.x
+"""
+
 OP6_SQL = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -87,4 +153,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat": OP6_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op3_minhash_dedup": OP3_SQL, "op4_decontamination": OP4_SQL, "op6_chat": OP6_SQL, "op10_embedding_dedup": OP10_SQL}
