@@ -116,3 +116,11 @@ def compare(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str = "value
     missing = F.sum(F.when(F.col("in_a").isNull() | F.col("in_b").isNull(), 1).otherwise(0)).cast("bigint")
     out = both.agg(F.coalesce(missing, F.lit(0)).alias("n_missing"), F.max(F.abs(F.col("x_") - F.col("y_"))).alias("max_diff"))
     return out.withColumn("equal", (F.col("n_missing") == 0) & (F.coalesce(F.col("max_diff"), F.lit(0.0)) <= tolerance))
+
+
+def sample_islands(df: DataFrame, channel: Sequence[str], time: str, rate: float, max_step: int = 2, out: str = "island") -> DataFrame:
+    """Numbers runs of samples whose rounded sample numbers step by `max_step` at most, counted from the channel's first."""
+    first = F.min(time).over(Window.partitionBy(*channel))
+    k = F.bround((F.col(time) - first) * F.lit(rate)).cast("bigint")
+    df = df.withColumn("k_", k)
+    return partition_at_pauses(df, channel, ["k_"], F.col("k_"), F.col("k_"), F.lit(max_step), out).drop("k_")
