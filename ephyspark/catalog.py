@@ -156,6 +156,12 @@ def load_all(spark: SparkSession, prefix: str) -> dict[str, DataFrame]:
     return {t: spark.read.parquet(f"{prefix}/{t}") for t in _tables(spark, prefix)}
 
 
+def load_table(spark: SparkSession, path: str, ram: bool = False):
+    """A stored table, lazily, or as a local Arrow table."""
+    df = spark.read.parquet(path)
+    return df.toArrow() if ram else df
+
+
 def get_nev(spark: SparkSession, prefix: str) -> dict[str, DataFrame] | None:
     """The event file's tables, or None if none was imported."""
     names = [t for t in _tables(spark, prefix) if t.startswith(("nev_", "ext_", "event_"))]
@@ -196,6 +202,10 @@ class Channel:
     info: DataFrame
     blocks: DataFrame
 
+    def describe(self) -> str:
+        r = self.info.first()
+        return f"<channel {r.electrode_id} {r.electrode_label}> ns{r.which_nsp}, {r.sample_rate_signal:g} Hz"
+
     def samples(self) -> DataFrame:
         return long_view(self.blocks)
 

@@ -58,7 +58,8 @@ def test_partitions(spark, recording):
 def test_channel(spark, recording):
     _, prefix, data, _ = recording
     c = catalog.get_channel(spark, prefix, 2)
-    assert c.info.first().which_nsp == 3
+    assert c.info.first().which_nsp == 3 and "2000 Hz" in c.describe()
+    assert catalog.load_table(spark, f"{prefix}/partition_info", ram=True).num_rows == 3
     assert {r.partition: r.n_samples for r in c.dims().collect()} == {1: 900, 2: 900}
     got = c.samples().where("partition = 2").orderBy("sample").collect()
     assert np.array_equal([r.value for r in got], data[1][:, 1] * 0.25) and got[3].time == pytest.approx(9 + 3 / 2000)

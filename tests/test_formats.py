@@ -6,8 +6,9 @@ import struct
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import types as T
 
-from ephyspark import codecs, specs
+from ephyspark import codecs, get_file_type, read_bci2000, specs
 from ephyspark.functions.text import decode_percent, expand_svec, trim_value
 from ephyspark.sources import register
 from ephyspark.sources.bci import numbers, parse_parameter
@@ -217,3 +218,29 @@ def test_text_of_parameters():
     assert parse_parameter("broken") is None
     assert expand_svec("1-3,5,x,9:7,2") == [1, 2, 3, 5, 9, 8, 7]
     assert math.isclose(sum(numbers("1e3 2")), 1002)
+
+
+def test_bci_tables(spark, tmp_path):
+    own = ["Source floatlist SourceChGain= 2 0.5 2 1 % %", "Source floatlist SourceChOffset= 2 10 0 0 % %", *PARAMETERS]
+    x, _ = writers.bci(tmp_path / "a.dat", states=STATES, parameters=own)
+    r = read_bci2000(spark, str(tmp_path / "a.dat"))
+    assert r.header.tree()["Source"]["Signal Properties"]["SamplingRate"]["value"] == 256
+    assert "int16" in r.header.describe() and "8 parameters" in r.header.describe()
+    got = r.calibrated().orderBy("channel", "sample").collect()
+    want = (x.astype(float).T - np.array([[10], [0]])) * np.array([[0.5], [2]])
+    assert np.allclose(np.array([v.value for v in got]).reshape(2, 50), want)
+    with pytest.raises(ValueError):
+        read_bci2000(spark, str(tmp_path / "a.dat"), speed=1)
+
+
+def test_file_types(tmp_path):
+    writers.nsx(tmp_path / "a.ns3", "3.0")
+    writers.nev(tmp_path / "a.nev", "2.2")
+    assert get_file_type(str(tmp_path / "a.ns3")) == ("nsx", "3.0") and get_file_type(str(tmp_path / "a.nev")) == ("nev", "2.2")
+
+
+def test_added_codec():
+    codecs.register_codec("uint16be", lambda raw: pa.array([int.from_bytes(bytes(v), "big") for v in raw]), T.LongType())
+    f = (specs.FieldSpec("x", "uint16be", 2),)
+    assert codecs.decode(b"\x01\x02\x00\x03", f, 2)[1][0].to_pylist() == [258, 3]
+    del codecs.CODECS["uint16be"]
