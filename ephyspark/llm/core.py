@@ -19,7 +19,7 @@ U64 = np.uint64
 #: Odd multipliers of the polynomials over bytes and over words.
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
 #: Text bytes that one numpy pass handles; a longer text is a pass of its own.
-PASS_BYTES = 1 << 21
+PASS_BYTES = 1 << 20
 _random = np.random.default_rng(20240229)
 _BYTE_VALUE = _random.integers(1, 2**63, 256, dtype=U64) | U64(1)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}

@@ -8,6 +8,7 @@ reuses it and texts are shuffled once.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,15 +18,21 @@ from pyspark.sql import functions as F
 
 from .core import input_bytes, partitions_for
 
-#: Input bytes of a partition of dealt documents (as stored), and groups in a partition.
-PARTITION_BYTES, GROUPS = 12 << 20, 2
+#: Groups that a small input is dealt to at least.
+LEAST_GROUPS = 64
 
 
-def deal(df: DataFrame, text: str, key: str) -> tuple[DataFrame, int, int]:
-    """The rows with their group `g`, the number of groups, and the input's bytes as stored."""
+def deal(df: DataFrame, text: str, key: str, group_bytes: int) -> tuple[DataFrame, int, int]:
+    """The rows with their group `g`, the number of groups, and the input's bytes as stored.
+
+    A group has about `group_bytes` as stored; a task works on one group at a time, which bounds its memory.
+    The number of groups follows the input's size, so what groups send to a fixed number of shards grows in proportion.
+    """
     size = input_bytes(df, text)
-    parts = partitions_for(df.sparkSession, size, PARTITION_BYTES)
-    return df.withColumn("g", F.pmod(F.xxhash64(key), F.lit(parts * GROUPS)).cast("int")).repartition(parts, "g"), parts * GROUPS, size
+    few = min(LEAST_GROUPS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    groups = max(few, math.ceil(size / group_bytes))
+    parts = partitions_for(df.sparkSession, size, 12 << 20)
+    return df.withColumn("g", F.pmod(F.xxhash64(key), F.lit(groups)).cast("int")).repartition(parts, "g"), groups, size
 
 
 def binary_slices(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -65,6 +72,3 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 
-
-def no_rows(schema: pa.Schema) -> pa.Table:
-    return schema.empty_table()

@@ -12,7 +12,8 @@ by the last two bytes of the context; a shard holds whole subtries of the orders
 probability of each run asked for. Orders zero and one are one table of 65,536 counts, which is broadcast. Word counts
 for the base score travel in the same way, by word hash. What is sent grows with the corpus: all training rows count.
 
-A shard's task holds one shard of all groups' requests; shards grow in number with the groups, up to one per two bytes.
+A shard's task holds one shard of all groups' requests: a few kilobytes a group, and shards grow in number with the groups.
+At most MOST_SHARDS are used, so that a row holds dozens of runs; corpora of many terabytes should raise GROUP_BYTES.
 
 Defined results: null and empty texts are the end alone; without training rows every byte has probability 1/256; rows
 that are repeated learn and score again; a null key learns; other columns pass through.
@@ -39,6 +40,10 @@ ORDER = 5
 #: The share of one occurrence that each distinct symbol of a context gives to the escape.
 ESCAPE = 0.3
 END, SPACE = 10, 32
+#: Bytes of a group of documents as stored.
+GROUP_BYTES = 4 << 20
+#: Shards of runs, and as many of words; a group sends one row to each.
+LEAST_SHARDS, MOST_SHARDS = 256, 8192
 _LOWER, _WORD = lower_table(), non_space_table()
 #: The word hash that stands for the end token.
 END_TOKEN = np.uint64(0x7F4A7C159E3779B9)
@@ -215,8 +220,8 @@ def score(df: DataFrame, train: Column, text: str = "text", key: str = "doc_id")
         raise ValueError(f"columns exist already: {sorted(clash)}")
     marked = df.withColumn("train_", F.coalesce(train, F.lit(False)))
     low = df.sparkSession.sparkContext.broadcast(Low(pair_counts(marked.where("train_"), text)))
-    dealt, groups, _ = deal(marked, text, key)
-    shards = min(1 << 16, max(64, 2 * groups))
+    dealt, groups, _ = deal(marked, text, key, GROUP_BYTES)
+    shards = min(MOST_SHARDS, max(LEAST_SHARDS, groups // 4))
     fields = df.schema.fields
     schema = StructType([*fields, *new.fields])
 

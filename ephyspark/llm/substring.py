@@ -8,7 +8,7 @@ found exactly, which also reduces any hot passage to one row per group. Across g
 
 1. A window is represented by its minimizer, the least hash among its `GRAM`-word runs; equal windows have equal
    minimizers. Each group makes a partition sketch: in each of `DEPTH` rows, the cells that its minimizers touch. The
-   sketches are merged block by block of 65,536 cells by addition, so a counter says in how many groups, at most, a
+   sketches are merged block by block by addition, so a counter says in how many groups, at most, a
    minimizer occurs (it overestimates, never the reverse), and each group is told which of its cells count two or more.
    No task and no driver holds the sketch: its width follows the input's size and its blocks are spread over tasks.
 2. Only windows estimated to occur in two groups go on. They are grouped exactly, by minimizer and window hash (128 bits
@@ -31,13 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .core import WORD_BASE, input_bytes, non_space_table, partitions_for, passes, run_hash, text_bytes, word_hashes, words
+from .core import WORD_BASE, non_space_table, passes, run_hash, text_bytes, word_hashes, words
 from .core import mix as mixed
+from .groups import binary_slices, deal, flat_binary, runs
 
 GRAM, DEPTH = 8, 2
-#: Input bytes of a partition of dealt documents (compressed), and groups in a partition.
-PARTITION_BYTES, GROUPS = 12 << 20, 2
-BLOCK = 1 << 16
+#: Bytes of a group of documents as stored.
+GROUP_BYTES = 5 << 19
+#: Cells of a sketch's block at least, and blocks of a row of the sketch at most.
+BLOCK, BLOCKS = 1 << 16, 1 << 11
 _WORD = non_space_table()
 GRAM_BASE = 0xD6E8FEB86659FD93
 
@@ -57,7 +59,7 @@ class Group:
         h = np.concatenate(hashes)
         self.n_words = np.concatenate(counts)
         self.first = np.concatenate([[0], np.cumsum(self.n_words)])
-        document = np.repeat(np.arange(len(self.n_words)), self.n_words)
+        document = np.repeat(np.arange(len(self.n_words), dtype=np.int32), self.n_words)
         n = len(h) - width + 1
         at = np.flatnonzero(document[:n] == document[width - 1 :]) if n > 0 else np.zeros(0, dtype=np.int64)
         self.at = at
@@ -84,50 +86,15 @@ class Group:
         return [(mixed(minimizers + np.uint64(r * 0x9E3779B97F4A7C15 & (2**64 - 1))) & np.uint64(cells - 1)).astype(np.int64) + r * cells for r in range(DEPTH)]
 
 
-def _binary(parts: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """Binary values that are consecutive slices of an array, cut at bounds (counted in elements)."""
-    size = parts.dtype.itemsize
-    off = pa.py_buffer((bounds * size).astype(np.int32).tobytes())
-    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, off, pa.py_buffer(np.ascontiguousarray(parts).tobytes())])
+def _merge_blocks(size: int, dtype):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Adds the sketches of each block and answers every group: 1 for each of its cells that counts two or more."""
+        for t in runs(batches, "block"):
+            cells, n = flat_binary(t.column("cells"), dtype)
+            many = np.bincount(cells, minlength=size) >= 2
+            yield pa.RecordBatch.from_arrays([t.column("g").combine_chunks(), t.column("block").combine_chunks(), binary_slices(many[cells].astype(np.uint8), np.concatenate([[0], np.cumsum(n)]))], names=["g", "block", "many"])
 
-
-def _flat(column: pa.ChunkedArray | pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
-    """The elements of all binary values, and how many each value has."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    if isinstance(column, pa.ChunkedArray):
-        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.binary())
-    column = column.cast(pa.large_binary())
-    if not len(column):
-        return np.zeros(0, dtype=dtype), np.zeros(0, dtype=np.int64)
-    _, off, data = column.buffers()
-    off = np.frombuffer(off, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(data, dtype=np.uint8)[off[0] : off[-1]].view(dtype) if off[-1] > off[0] else np.zeros(0, dtype=dtype), np.diff(off) // np.dtype(dtype).itemsize
-
-
-def _merge_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the sketches of each block and answers every group: 1 for each of its cells that counts two or more."""
-    for t in _runs(batches, "block"):
-        cells, n = _flat(t.column("cells"), np.uint16)
-        many = np.bincount(cells, minlength=BLOCK) >= 2
-        yield pa.RecordBatch.from_arrays([t.column("g").combine_chunks(), t.column("block").combine_chunks(), _binary(many[cells].astype(np.uint8), np.concatenate([[0], np.cumsum(n)]))], names=["g", "block", "many"])
-
-
-def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Tables of all rows with one key, from batches that are sorted by it."""
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        k = b.column(key).to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), b.num_rows]
-        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-            piece = b.slice(s, e - s)
-            if held and held[0].column(key)[0].as_py() != k[s]:
-                yield pa.Table.from_batches(held).combine_chunks()
-                held = []
-            held.append(piece)
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
+    return run
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +103,7 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:
             continue
-        h, n = _flat(b.column("hashes"), np.uint64)
+        h, n = flat_binary(b.column("hashes"), np.uint64)
         take = lambda name: b.column(name).to_numpy(zero_copy_only=False)
         m = np.repeat(take("m").view(np.uint64), n)
         g, r = np.repeat(take("g"), n), np.repeat(take("r"), n)
@@ -164,17 +131,16 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", width
         raise ValueError(f"columns exist already: {sorted(clash)}")
     if width < GRAM:
         raise ValueError(f"a window has {GRAM} words at least")
-    size = input_bytes(df, text)
-    parts = partitions_for(df.sparkSession, size, PARTITION_BYTES)
+    dealt, _, size = deal(df, text, key, GROUP_BYTES)
     cells = 1 << max(16, (size // 4).bit_length())
-    dealt = df.withColumn("g", F.pmod(F.xxhash64(key), F.lit(parts * GROUPS)).cast("int")).repartition(parts, "g")
+    block = max(BLOCK, cells // BLOCKS)
+    dtype = np.uint16 if block <= 1 << 16 else np.uint32
 
     def sketch(table: pa.Table) -> pa.Table:
         group = Group(table, key, text, width)
         used = np.unique(np.concatenate(group.cells(np.unique(group.minimizer), cells)))
-        block = used // BLOCK
-        blocks, first = np.unique(block, return_index=True)
-        data = _binary((used % BLOCK).astype(np.uint16), np.append(first, len(used)))
+        blocks, first = np.unique(used // block, return_index=True)
+        data = binary_slices((used % block).astype(dtype), np.append(first, len(used)))
         g = pa.array(np.full(len(blocks), table.column("g")[0].as_py(), dtype=np.int32))
         return pa.table([g, pa.array(blocks), data], names=["g", "block", "cells"])
 
@@ -186,7 +152,7 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", width
         m, back = np.unique(group.minimizer, return_inverse=True)
         by_row = group.cells(m, cells)
         used = np.unique(np.concatenate(by_row))
-        many, _ = _flat(right.sort_by("block").column("many"), np.uint8)
+        many, _ = flat_binary(right.sort_by("block").column("many"), np.uint8)
         repeated = np.ones(len(m), dtype=bool)
         for c in by_row:
             repeated &= many[np.searchsorted(used, c)] > 0
@@ -198,9 +164,9 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", width
         keys = group.table.column(key).cast(pa.int64()).fill_null(-(2**63)).to_numpy()
         columns = [pa.array(m[back[i][s]].view(np.int64)), pa.array(keys[row]), pa.array(row.astype(np.int32)), pa.array((at - group.first[row]).astype(np.int32))]
         g = pa.array(np.full(len(s), left.column("g")[0].as_py(), dtype=np.int32))
-        return pa.table([*columns, g, _binary(group.hash[i], np.append(s, len(i)))], names=names)
+        return pa.table([*columns, g, binary_slices(group.hash[i], np.append(s, len(i)))], names=names)
 
-    fields = [f for f in df.schema.fields]
+    fields = df.schema.fields
     schema = StructType([*fields, StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField(kept, StringType())])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -229,7 +195,7 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", width
         return pa.table([*(group.table.column(f.name) for f in fields), pa.array(group.n_words), pa.array(removed), pa.array(texts, pa.string())], names=schema.names)
 
     sketches = dealt.groupBy("g").applyInArrow(sketch, "g int, block long, cells binary")
-    answers = sketches.repartition("block").sortWithinPartitions("block", "g").mapInArrow(_merge_blocks, "g int, block long, many binary")
+    answers = sketches.repartition("block").sortWithinPartitions("block", "g").mapInArrow(_merge_blocks(block, dtype), "g int, block long, many binary")
     exact = dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(candidates, "m long, key long, r int, pos int, g int, hashes binary")
     later = exact.repartition("m").sortWithinPartitions("m", "key", "r", "pos").mapInArrow(_later, "g int, r int, pos int, n int")
     return dealt.groupBy("g").cogroup(later.groupBy("g")).applyInArrow(finish, schema)
