@@ -5,12 +5,11 @@
 2. Every (coordinate, value) pair of a representative is a posting. Values that occur once can match nothing. Of the m
    others a document needs `threshold` matches, so it keeps only the m - threshold + 1 rarest: two documents with enough
    matches must meet under one of these (prefix filter), and one with m below the threshold is skipped altogether.
-3. Where postings meet, coordinates are counted. First each list's least member is compared with the others (a star);
-   pairs at or above the threshold are verified on the full sets, and links are joined into components. Members of one
-   component need no further comparison, so a group of thousands of near copies costs about one pair a member. Lists that
-   still hold several components compare members of different components, at first the best `LIMIT` partners of each,
-   then eight times as many until nothing was left out: no link is lost and no group is written out pair by pair.
-4. Verification sends the texts of the pairs' documents to their star's centre, whose set is built once.
+3. Where postings meet, coordinates are counted. First each list's least member is compared with the others (a star); then
+   lists that still hold several candidate groups compare members of different groups. Only edges that join groups are
+   kept, so all pairs at or above the threshold lie inside one candidate group and no group is written out pair by pair.
+4. Links are decided on full shingle sets inside each candidate group, in blocks of bounded size, comparing only members
+   that aren't yet in one component. In a large group only the members outside its largest component meet other chunks.
 
 The threshold lies five standard deviations below the expected matches at the wanted similarity (a link is overlooked
 with a probability of about 1e-6); there are no caps.
@@ -29,12 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .anngraph import Forest
 from .components import components
 from .core import WORD_BASE, ensure_checkpoint_dir, lower_table, mix, non_space_table, passes, run_hash, text_bytes, word_hashes, words
 
-COORDINATES, LIMIT = 48, 8
-#: Members of a list that are compared at once with as many others, and parts of a star that may lie in other tasks.
-CHUNK, SALTS = 1024, 8
+COORDINATES = 48
+#: Members of a list or group that are compared at once with as many others.
+CHUNK = 1024
 _LOWER, _WORD = lower_table(), non_space_table()
 _random = np.random.default_rng(7)
 _A = _random.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -167,7 +167,7 @@ def _stars(threshold: int, similarity: float):
                 l_sig = np.where(inside[:, None], l_sig, sig_now)
             good = (l_rep != rep) & ((l_sig == sig).sum(axis=1) >= threshold) & (np.minimum(l_n, n) >= similarity * np.maximum(l_n, n) - 1e-9)
             if good.any():
-                yield pa.RecordBatch.from_arrays([pa.array(l_rep[good]), pa.array(rep[good]), pa.array(np.zeros(int(good.sum()), dtype=bool))], names=["a", "b", "cut"])
+                yield pa.RecordBatch.from_arrays([pa.array(l_rep[good]), pa.array(rep[good])], names=["a", "b"])
             k = lead[-1]
             if k >= 0:
                 tok_now, rep_now, sig_now, n_now = tok[-1], rep[k], sig[k].copy(), n[k]
@@ -175,66 +175,101 @@ def _stars(threshold: int, similarity: float):
     return run
 
 
-def _across(threshold: int, similarity: float, limit: int):
+def _across(threshold: int, similarity: float):
     def run(t: pa.Table) -> pa.Table:
-        """Pairs of different components in two chunks of a list: the best partners of each member, `limit` at most."""
-        rep, comp, n, chunk = (t.column(c).to_numpy() for c in ("rep", "comp", "n", "chunk"))
+        """Candidate groups that two chunks of a list show to be one: an edge for each group that joins another."""
+        rep, group, n, chunk = (t.column(c).to_numpy() for c in ("rep", "cand", "n", "chunk"))
         sig = _sig_matrix(t.column("sig"))
         ci, cj = t.column("ci")[0].as_py(), t.column("cj")[0].as_py()
         left, right = np.flatnonzero(chunk == ci), np.flatnonzero(chunk == cj)
-        a, b, cuts = [], [], []
+        names, code = np.unique(group, return_inverse=True)
+        forest = Forest(len(names))
         for at in range(0, len(left), 256):
             i = left[at : at + 256]
             m = _matches(sig[i], sig[right])
             low, high = np.minimum(n[i][:, None], n[right]), np.maximum(n[i][:, None], n[right])
-            m[(m < threshold) | (comp[i][:, None] == comp[right]) | (low < similarity * high - 1e-9)] = 0
-            best = np.argsort(-m.astype(np.int16), axis=1, kind="stable")[:, :limit] if limit < m.shape[1] else np.broadcast_to(np.arange(m.shape[1]), m.shape)
-            x, y = np.nonzero(np.take_along_axis(m, best, axis=1))
-            a.append(rep[i][x])
-            b.append(rep[right][best[x, y]])
-            cuts.append(((m > 0).sum(axis=1) > limit)[x])
-        a, b, cuts = (np.concatenate(v) if v else np.zeros(0, dtype=k) for v, k in ((a, np.int64), (b, np.int64), (cuts, bool)))
-        return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(cuts)], names=["a", "b", "cut"])
+            x, y = np.nonzero((m >= threshold) & (code[i][:, None] != code[right]) & (low >= similarity * high - 1e-9))
+            forest.unite(code[i][x], code[right][y])
+        return _joined(names, forest)
 
     return run
 
 
-def _compare(length: int, similarity: float, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Verified links of stars; rows sorted by centre and salt, the centre's own text first."""
-        key, centres = None, []
-        for batch in batches:
-            for part in passes(batch, "text"):
-                u, bounds = shingle_sets(part.column("text"), length)
-                out_a, out_b = [], []
-                rows = zip(*(part.column(c).to_pylist() for c in ("a", "salt", "other", "id")), strict=True)
-                for i, (a, salt, other, node) in enumerate(rows):
-                    own = u[bounds[i] : bounds[i + 1]]
-                    if key != (a, salt):
-                        key, centres = (a, salt), []
-                    if not other:
-                        centres.append(own.copy())
-                        continue
-                    for c in centres:
-                        both = len(np.intersect1d(c, own, assume_unique=True))
-                        if both and 100 * both >= percent * (len(c) + len(own) - both):
-                            out_a.append(a)
-                            out_b.append(node)
-                            break
-                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+def _joined(names: np.ndarray, forest: Forest) -> pa.Table:
+    moved = np.flatnonzero(forest.root != np.arange(len(names)))
+    return pa.table([pa.array(names[forest.root[moved]]), pa.array(names[moved])], names=["a", "b"])
+
+
+def _exact(length: int, percent: int):
+    def run(t: pa.Table) -> pa.Table:
+        """Components of a block's members that full shingle sets show to be linked, as edges between component ids.
+
+        Rows marked left are compared with rows marked right, but never with those already in their own component, so a
+        block in which all are linked takes one comparison a member.
+        """
+        u, bounds = [], [np.zeros(1, dtype=np.int64)]
+        for part in passes(t.select(["text"]), "text"):
+            h, b = shingle_sets(part.column("text"), length)
+            u.append(h)
+            bounds.append(b[1:] + bounds[-1][-1])
+        bounds = np.concatenate(bounds)
+        word, code = np.unique(np.concatenate(u), return_inverse=True)
+        names, comp = np.unique(t.column("comp").to_numpy(), return_inverse=True)
+        left, right = (np.flatnonzero(t.column(c).to_numpy(zero_copy_only=False)) for c in ("left", "right"))
+        sizes, forest, mark = np.diff(bounds), Forest(len(names)), np.zeros(len(word), dtype=bool)
+        flat = np.concatenate([np.zeros(0, dtype=np.int64), *(code[bounds[k] : bounds[k + 1]] for k in right)])
+        ends = np.cumsum(sizes[right])
+        for x in left.tolist():
+            root = forest.root[comp]
+            other = root[right] != root[x]
+            if not other.any():
+                continue
+            mark[code[bounds[x] : bounds[x + 1]]] = True
+            total = np.concatenate([[0], np.cumsum(mark[flat])])
+            mark[code[bounds[x] : bounds[x + 1]]] = False
+            both = total[ends] - total[ends - sizes[right]]
+            near = other & (both > 0) & (100 * both >= percent * (sizes[x] + sizes[right] - both))
+            y = comp[right[near]]
+            forest.unite(np.full(len(y), comp[x]), y)
+        return _joined(names, forest)
 
     return run
 
 
-def verified(pairs: DataFrame, df: DataFrame, text: str, key: str, length: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
-    p = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt"))
-    wanted = p.select("a", "salt", F.lit(True).alias("other"), F.col("b").alias("id")).union(p.select("a", "salt", F.lit(False), F.col("a")).distinct())
-    texts = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = _filtered(texts, ids)
-    rows = wanted.join(texts, "id").repartition("a", "salt").sortWithinPartitions("a", "salt", "other", "id")
-    return rows.select("a", "salt", "other", "id", "text").mapInArrow(_compare(length, percent / 100, percent), "a long, b long").distinct()
+def _linked(members: DataFrame, df: DataFrame, text: str, key: str, length: int, percent: int) -> DataFrame:
+    """Edges (a, b) that the blocks of `members` (cand, i, j, id, comp, left, right) give, with the members' texts."""
+    texts = _filtered(df.select(F.col(key).alias("id"), F.col(text).alias("text")), members.select("id").distinct())
+    return members.join(texts, "id").groupBy("cand", "i", "j").applyInArrow(_exact(length, percent), "a long, b long")
+
+
+def links_within(candidates: DataFrame, df: DataFrame, text: str, key: str, length: int, percent: int) -> DataFrame:
+    """Components (id, component) of exact links inside candidate groups (id, component), in blocks of CHUNK members.
+
+    First each chunk is linked inside, together with the group's least member; then the members outside the group's
+    largest component are compared with the other chunks. Groups that are one component by then need no second step.
+    """
+    sizes = candidates.groupBy("component").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    m = candidates.withColumnRenamed("component", "cand").join(sizes.withColumnRenamed("component", "cand"), "cand")
+    m = m.withColumn("i", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).checkpoint()
+    hub = m.where("id = cand").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("j <> i").select("cand", F.col("j").alias("i"), "id")
+    yes = F.lit(True)
+    first = m.select("cand", "i", "id").union(hub).select("cand", "i", F.col("i").alias("j"), "id", F.col("id").alias("comp"), yes.alias("left"), yes.alias("right"))
+    links = _linked(first, df, text, key, length, percent).checkpoint()
+    comp = components(links)
+    wide = m.where("chunks > 1").join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+    per = wide.groupBy("cand", "comp").agg(F.count("*").alias("n"))
+    main = per.groupBy("cand").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"), F.count("*").alias("k"), (F.sum("n") - F.max("n")).alias("rest")).where("k > 1")
+    wide = wide.join(main, "cand").withColumn("parts", F.ceil(F.col("rest") / CHUNK).cast("int"))
+    if not wide.take(1):
+        return comp
+    out = wide.where("comp <> main").withColumn("s", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int"))
+    out = out.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    own = F.col("i") == F.col("j")
+    left = out.select("cand", F.col("s").alias("i"), "j", "id", "comp", yes.alias("left"), own.alias("right"))
+    right = wide.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    right = right.select("cand", F.col("s").alias("i"), F.col("i").alias("j"), "id", "comp", F.lit(False).alias("left"), yes.alias("right"))
+    second = left.union(right).groupBy("cand", "i", "j", "id", "comp").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    return components(links.union(_linked(second, df, text, key, length, percent)))
 
 
 #: Bits of the filter that keeps texts which no pair needs out of the shuffle; 1 MB whatever the input's size.
@@ -271,38 +306,26 @@ def near_duplicates(df: DataFrame, similarity: float = 0.8, length: int = 5, tex
     ranked = shared.withColumn("m", F.count("*").over(of_rep)).where(F.col("m") >= need).withColumn("r", F.row_number().over(of_rep.orderBy("df", "tok")))
     prefix = ranked.where(F.col("r") <= F.col("m") - need + 1).select("tok", "rep")
     postings = prefix.join(reps, "rep").select("tok", "rep", "n", "sig").checkpoint()
-    stars = postings.repartition("tok").sortWithinPartitions("tok", "rep").mapInArrow(_stars(need, similarity), "a long, b long, cut boolean")
-    pairs = stars.select("a", "b").distinct().checkpoint()
-    tested = pairs
-    links = verified(pairs, df, text, key, length, percent).checkpoint()
-    limit = LIMIT
-    while True:
-        comp = components(links)
-        open_lists = _open(postings, comp)
-        found = open_lists.groupBy("tok", "ci", "cj").applyInArrow(_across(need, similarity, limit), "a long, b long, cut boolean").groupBy("a", "b").agg(F.max("cut").alias("cut")).checkpoint()
-        new = found.join(tested, ["a", "b"], "left_anti").select("a", "b")
-        cut = bool(found.where("cut").take(1))
-        if not cut and not new.take(1):
-            break
-        links = links.union(verified(new, df, text, key, length, percent)).distinct().checkpoint()
-        if not cut:
-            comp = components(links)
-            break
-        tested, limit = tested.union(new), limit * 8
+    stars = postings.repartition("tok").sortWithinPartitions("tok", "rep").mapInArrow(_stars(need, similarity), "a long, b long").distinct().checkpoint()
+    candidates = components(stars)
+    more = _open(postings, candidates).groupBy("tok", "ci", "cj").applyInArrow(_across(need, similarity), "a long, b long").distinct().checkpoint()
+    if more.take(1):
+        candidates = components(stars.union(more))
+    comp = links_within(candidates, df, text, key, length, percent)
     own = s.join(classes, ["hi", "lo", "n_shingles"], "left").select("id", "n_shingles", F.coalesce("rep", "id").alias("rep"))
     out = own.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left")
     reach = F.coalesce("component", "rep")
     return out.select(F.col("id").alias(key), "n_shingles", reach.alias("component_id"), F.coalesce(reach == F.col("id"), F.lit(True)).alias("kept"))
 
 
-def _open(postings: DataFrame, comp: DataFrame) -> DataFrame:
-    """Members of lists that hold three or more and still several components, dealt to pairs of chunks."""
-    p = postings.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-    lists = p.groupBy("tok").agg(F.count("*").alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("size > 2 AND x <> y")
+def _open(postings: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Members of lists that hold three or more and several candidate groups, dealt to pairs of chunks."""
+    p = postings.join(candidates.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("cand", F.coalesce("component", "rep")).drop("component")
+    lists = p.groupBy("tok").agg(F.count("*").alias("size"), F.min("cand").alias("x"), F.max("cand").alias("y")).where("size > 2 AND x <> y")
     p = p.join(lists.select("tok", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks")), "tok")
     p = p.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     p = p.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    return p.select("tok", "rep", "n", "sig", "comp", "chunk", F.least("chunk", "other").cast("int").alias("ci"), F.greatest("chunk", "other").cast("int").alias("cj"))
+    return p.select("tok", "rep", "n", "sig", "cand", "chunk", F.least("chunk", "other").cast("int").alias("ci"), F.greatest("chunk", "other").cast("int").alias("cj"))
 
 
 def digest(documents: DataFrame) -> DataFrame:
