@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 _CONNECTORS = "-:|"
 
 
@@ -141,6 +143,8 @@ def decode_percent(x: str | None, nil: str = "", compat: bool = True) -> str | N
 
 
 def percent_decode(text: Column, nil: str = "", compat: bool = True) -> Column:
+    ship(SparkSession.getActiveSession())
+
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda x: decode_percent(x, nil, compat), na_action="ignore")
