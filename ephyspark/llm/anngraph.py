@@ -28,13 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .core import ensure_checkpoint_dir
+from .core import ensure_checkpoint_dir, share
 from .decontam import expand
 
 #: Vectors of a region at least, regions at most (which bounds the centroids that are broadcast), and vectors that fit them.
 REGION, REGIONS, SAMPLE = 3000, 8192, 50_000
 SHARD, OVERLAP, CANDIDATES, DEGREE, ALPHA = 400, 2, 64, 24, 1.2
-BEAM, PROBES, AUDIT_ROWS, WANTED, BATCH = 24, 3, 500, 0.98, 256
+BEAM, PROBES, AUDIT_ROWS, WANTED = 24, 3, 500, 0.98
+#: Queries that are searched at once, and marks of visited nodes that they may take.
+BATCH, VISITED = 256, 1 << 26
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
@@ -208,8 +210,9 @@ def _region(similarity: float, beam: int):
         forest, n = Forest(len(ids)), np.zeros(len(ids), dtype=np.int64)
         if len(nodes):
             graph = Graph(u[nodes])
-            for s in range(0, len(ids), BATCH):
-                q, v = graph.search(u[s : s + BATCH], similarity - 1e-6, beam)
+            step = max(8, min(BATCH, VISITED // len(nodes)))
+            for s in range(0, len(ids), step):
+                q, v = graph.search(u[s : s + step], similarity - 1e-6, beam)
                 q, v = q + s, nodes[v]
                 ok = (np.einsum("ij,ij->i", x[q], x[v]) / (norm[q] * norm[v]) >= similarity) & (q != v)
                 q, v = q[ok], v[ok]
@@ -227,12 +230,12 @@ def _regions(classes: DataFrame, probes: int) -> DataFrame:
     each = max(REGION, math.ceil(total / REGIONS))
     centroids = {}
     if per:
-        share = min(1.0, SAMPLE / total)
-        picked = classes.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < int(share * (1 << 20))).select("label", "d", "v").toPandas()
+        part = min(1.0, SAMPLE / total)
+        picked = classes.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < int(part * (1 << 20))).select("label", "d", "v").toPandas()
         for (label, d), rows in picked.groupby(["label", "d"]):
             if (label, d) in per:
                 centroids[label, d] = kmeans(_unit(np.stack(rows.v.to_numpy()).astype(np.float64)), math.ceil(per[label, d] / each))
-    shared = classes.sparkSession.sparkContext.broadcast(centroids)
+    shared = share(classes, centroids)
 
     def run(batches):
         for b in batches:
@@ -262,7 +265,7 @@ def _audit(classes: DataFrame, found: DataFrame, similarity: float) -> float:
     queries = {}
     for (label, d), r in rows.groupby(["label", "d"]):
         queries[label, d] = (r.rep.to_numpy(), _unit(np.stack(r.v.to_numpy()).astype(np.float64)))
-    shared = classes.sparkSession.sparkContext.broadcast(queries)
+    shared = share(classes, queries)
 
     def run(batches):
         for b in batches:

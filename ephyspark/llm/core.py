@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 U64 = np.uint64
 #: Odd multipliers of the polynomials over bytes and over words.
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
@@ -140,8 +142,18 @@ def partitions_for(spark: SparkSession, size: int, each: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / each))
 
 
+def share(df: DataFrame, value):
+    """A broadcast of something whose size is bounded, for tasks that find this package."""
+    ship(df.sparkSession)
+    return df.sparkSession.sparkContext.broadcast(value)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; one of our own only where none is set."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; one of our own only where none is set.
+
+    Also makes the package known to the tasks.
+    """
+    ship(spark)
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None)

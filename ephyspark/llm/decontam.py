@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .core import WORD_BASE, alnum_table, lower_table, passes, run_hash, text_bytes, word_hashes, words
+from .core import WORD_BASE, alnum_table, lower_table, passes, run_hash, share, text_bytes, word_hashes, words
 
 #: Words of a shingle, and bytes of benchmark text that one pass over the documents handles.
 SHINGLE, BLOCK_BYTES = 3, 16 << 20
@@ -115,7 +115,7 @@ def _shingle_lengths(w: Windows) -> np.ndarray:
 
 def count_shingles(df: DataFrame, text: str, keys: dict[int, np.ndarray]) -> dict[int, int]:
     """How often each given shingle occurs in all documents; keys by shingle length."""
-    shared = df.sparkSession.sparkContext.broadcast(keys)
+    shared = share(df, keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookups = {q: Lookup(k) for q, k in shared.value.items()}
@@ -226,7 +226,7 @@ def _blocks(items: DataFrame) -> Iterator[tuple[list[str], list[str]]]:
 
 def _scan(df: DataFrame, text: str, index: Index) -> DataFrame:
     again = "hit_spans" in df.columns
-    shared = df.sparkSession.sparkContext.broadcast(index)
+    shared = share(df, index)
     plain = [f for f in df.schema.fields if not again or f.name not in {x.name for x in NEW}]
     schema = StructType([*plain, *NEW.fields])
 

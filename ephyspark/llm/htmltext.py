@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .core import passes
+from .core import passes, share
 
 # The element names of the HTML standard by their use here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -377,7 +377,7 @@ def extract(df: DataFrame, source: str = "html", text: str = "main_text") -> Dat
     """Adds the main text of each page."""
     if text in df.columns:
         raise ValueError(f"column exists already: {text}")
-    shared = df.sparkSession.sparkContext.broadcast(model())
+    shared = share(df, model())
     schema = StructType([*df.schema.fields, StructField(text, StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .core import lower_table, mix, passes, text_bytes
+from ..session import ship
+from .core import lower_table, mix, passes, share, text_bytes
 
 #: Labelled rows of a language that the fit uses (about), and n-grams that its filter holds.
 SAMPLE_ROWS, TOP = 2000, 60_000
@@ -95,6 +96,7 @@ def build(languages: list[str], grams: list[np.ndarray]) -> Model:
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learns from rows whose language isn't null; at most 64 languages, the most frequent ones."""
+    ship(labelled.sparkSession)
     rows = labelled.where(F.col(lang).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t"))
     found = sorted(rows.groupBy("l").count().collect(), key=lambda r: (-r["count"], r.l))[:64]
     if not found:
@@ -127,7 +129,7 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds lang_pred and score, the share of the text's n-grams that the language contains."""
     if clash := {"lang_pred", "score", "letters_"} & set(df.columns):
         raise ValueError(f"columns exist already: {sorted(clash)}")
-    shared = df.sparkSession.sparkContext.broadcast(model)  # at most 8 MB
+    shared = share(df, model)  # at most 8 MB
     own = df.columns
     schema = StructType([*df.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 

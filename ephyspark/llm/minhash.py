@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .anngraph import Forest
 from .components import components
-from .core import WORD_BASE, ensure_checkpoint_dir, lower_table, mix, non_space_table, passes, run_hash, text_bytes, word_hashes, words
+from .core import WORD_BASE, ensure_checkpoint_dir, lower_table, mix, non_space_table, passes, run_hash, share, text_bytes, word_hashes, words
 
 COORDINATES = 48
 #: Members of a list or group that are compared at once with as many others.
@@ -283,7 +283,7 @@ def _filtered(texts: DataFrame, ids: DataFrame) -> DataFrame:
     got = words_.groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
     table = np.zeros(FILTER_BITS // 64, dtype=np.int64)
     table[got.w.to_numpy()] = got.m.to_numpy()
-    shared = texts.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+    shared = share(texts, table.view(np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

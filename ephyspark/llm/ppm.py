@@ -31,7 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .core import lower_table, mix, non_space_table, passes, text_bytes, word_hashes, words
+from ..session import ship
+from .core import lower_table, mix, non_space_table, passes, share, text_bytes, word_hashes, words
 from .groups import binary_slices, deal, flat_binary, runs
 from .langid import held_out
 
@@ -218,8 +219,9 @@ def score(df: DataFrame, train: Column, text: str = "text", key: str = "doc_id")
     new = StructType([StructField("n_tokens", LongType()), StructField("n_known", LongType()), StructField("known_", DoubleType()), StructField("score", DoubleType())])
     if clash := ({f.name for f in new} | {"g", "train_", "train_tokens", "base_score"}) & set(df.columns):
         raise ValueError(f"columns exist already: {sorted(clash)}")
+    ship(df.sparkSession)
     marked = df.withColumn("train_", F.coalesce(train, F.lit(False)))
-    low = df.sparkSession.sparkContext.broadcast(Low(pair_counts(marked.where("train_"), text)))
+    low = share(df, Low(pair_counts(marked.where("train_"), text)))
     dealt, groups, _ = deal(marked, text, key, GROUP_BYTES)
     shards = min(MOST_SHARDS, max(LEAST_SHARDS, groups // 4))
     fields = df.schema.fields
