@@ -6,7 +6,8 @@ remembered, and the fragments' ids are concatenated. Caches only save time: they
 result, and a fragment of any length is merged in O(n log n).
 
 Defined results: null and empty texts have no ids and decode to the empty text; a special token's own string in a text
-becomes its id and decodes to that string; repeated rows are encoded again; other columns pass through unchanged.
+becomes its id and decodes to that string; repeated rows are encoded again; other columns pass
+through unchanged, and a column with the name of a new one is replaced.
 """
 
 from __future__ import annotations
@@ -25,12 +26,13 @@ from pyspark.sql.types import ArrayType, DataType, IntegerType, StringType, Stru
 
 from tokenizers import pre_tokenizers
 
-from .core import passes
+from .core import passes, share
 
 #: Fixed value: the published pre-token pattern of byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Entries of a cache before it is emptied, and the longest pre-token that is kept, in characters.
-CACHE_ENTRIES, CACHE_CHARS = 200_000, 64
+CACHE_ENTRIES, CACHE_CHARS = 250_000, 64
+_NONE = 1 << 40
 
 
 def byte_of_char() -> dict[str, int]:
@@ -52,10 +54,12 @@ class Vocabulary:
         for i, b in self.token.items():
             if len(b) == 1:
                 self.base[b[0]] = i
-        self.merge: dict[tuple[int, int], tuple[int, int]] = {}
+        self.rank: dict[int, int] = {}
+        self.made: list[int] = []
         for rank, m in enumerate(spec["model"]["merges"]):
             a, b = m.split(" ") if isinstance(m, str) else m
-            self.merge[vocab[a], vocab[b]] = (rank, vocab[a + b])
+            self.rank[vocab[a] << 32 | vocab[b]] = rank
+            self.made.append(vocab[a + b])
         self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         self.special_of = {i: t for t, i in self.special.items()}
         self.token |= {i: t.encode() for t, i in self.special.items()}
@@ -82,13 +86,13 @@ class _Classes(dict):
 
 
 class _Cache(dict):
-    def __init__(self, make):
-        self.make = make
+    def __init__(self, make, most: int):
+        self.make, self.most = make, most
 
     def __missing__(self, key):
         value = self.make(key)
         if len(key) <= CACHE_CHARS:
-            if len(self) >= CACHE_ENTRIES:
+            if len(self) >= self.most:
                 self.clear()
             self[key] = value
         return value
@@ -102,36 +106,45 @@ class Codec:
         self.pattern = regex.compile(PATTERN)
         self.late = regex.compile("[^\x00-\u0557]")
         self.classes = _Classes()
-        self.fragments = _Cache(self._merge)
-        self.pieces = _Cache(self._piece)
+        self.fragments = _Cache(self._merge, CACHE_ENTRIES // 8)
+        self.pieces = _Cache(self._piece, CACHE_ENTRIES)
 
     def _merge(self, fragment: bytes) -> tuple[int, ...]:
+        """Joins the pair of least rank, the leftmost of equals, until no pair has one."""
         ids = [self.v.base[b] for b in fragment]
-        merge = self.v.merge
-        if len(ids) <= 48:
-            while len(ids) > 1:
-                best = min(((merge[p][0], k) for k, p in enumerate(itertools.pairwise(ids)) if p in merge), default=None)
-                if best is None:
-                    break
-                k = best[1]
-                ids[k : k + 2] = [merge[ids[k], ids[k + 1]][1]]
-            return tuple(ids)
+        if len(ids) > 64:
+            return self._merge_long(ids)
+        rank, made = self.v.rank.get, self.v.made
+        ranks = [rank(a << 32 | b, _NONE) for a, b in itertools.pairwise(ids)]
+        while ranks and (best := min(ranks)) != _NONE:
+            k = ranks.index(best)
+            ids[k] = made[best]
+            del ids[k + 1], ranks[k]
+            if k:
+                ranks[k - 1] = rank(ids[k - 1] << 32 | ids[k], _NONE)
+            if k < len(ranks):
+                ranks[k] = rank(ids[k] << 32 | ids[k + 1], _NONE)
+        return tuple(ids)
+
+    def _merge_long(self, ids: list[int]) -> tuple[int, ...]:
+        """The same with a queue and links between neighbours."""
+        rank, made = self.v.rank.get, self.v.made
         n = len(ids)
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(merge[p][0], k, *p) for k, p in enumerate(itertools.pairwise(ids)) if p in merge]
-        heapq.heapify(heap)
-        while heap:
-            _, k, a, b = heapq.heappop(heap)
-            r = after[k]
-            if ids[k] != a or r < 0 or ids[r] != b:
+        queue = [(r, k) for k in range(n - 1) if (r := rank(ids[k] << 32 | ids[k + 1], _NONE)) != _NONE]
+        heapq.heapify(queue)
+        while queue:
+            r, k = heapq.heappop(queue)
+            right = after[k]
+            if ids[k] < 0 or right < 0 or rank(ids[k] << 32 | ids[right], _NONE) != r:
                 continue
-            ids[k], ids[r] = merge[a, b][1], -1
-            after[k] = after[r]
-            if after[r] >= 0:
-                before[after[r]] = k
-            for left, right in ((before[k], k), (k, after[k])):
-                if left >= 0 and right >= 0 and (p := (ids[left], ids[right])) in merge:
-                    heapq.heappush(heap, (merge[p][0], left, *p))
+            ids[k], ids[right] = made[r], -1
+            after[k] = after[right]
+            if after[k] >= 0:
+                before[after[k]] = k
+            for i, j in ((before[k], k), (k, after[k])):
+                if i >= 0 and j >= 0 and (r := rank(ids[i] << 32 | ids[j], _NONE)) != _NONE:
+                    heapq.heappush(queue, (r, i))
         return tuple(i for i in ids if i >= 0)
 
     def _piece(self, piece: str) -> tuple[int, ...]:
@@ -139,7 +152,7 @@ class Codec:
         inside = self.v.inside
         cuts = [0, *(k for k in range(1, len(b)) if b[k - 1 : k + 1] not in inside), len(b)]
         if len(cuts) == 2:
-            return self.fragments[b]
+            return self._merge(b)  # the piece itself is remembered
         return tuple(itertools.chain.from_iterable(self.fragments[b[s:e]] for s, e in itertools.pairwise(cuts)))
 
     def find(self, text: str) -> list[str]:
@@ -177,13 +190,13 @@ def _codec(shared) -> Codec:
 
 def _shared(df: DataFrame, path: str):
     with open(path, encoding="utf-8") as f:
-        return df.sparkSession.sparkContext.broadcast(f.read())
+        return share(df, f.read())
 
 
 def _mapped(df: DataFrame, shared, column: str, new: dict[str, DataType], make) -> DataFrame:
     """Adds the columns `new`, made from slices of the column; the vocabulary file's size bounds the broadcast."""
-    if clash := set(new) & set(df.columns):
-        raise ValueError(f"columns exist already: {sorted(clash)}")
+    df = df.drop(*new)
+    fields = df.schema.names
     schema = StructType([*df.schema.fields, *(StructField(name, kind) for name, kind in new.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +204,7 @@ def _mapped(df: DataFrame, shared, column: str, new: dict[str, DataType], make)
         for batch in batches:
             for part in passes(batch, column) if pa.types.is_string(batch.schema.field(column).type) else [batch]:
                 columns = make(codec, part.column(column))
-                yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, *new])
+                yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*fields, *new])
 
     return df.mapInArrow(run, schema)
 
