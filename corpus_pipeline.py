@@ -6,6 +6,7 @@ stage's docs, so a lost executor never costs more than one stage. All but the la
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,22 @@ from ephyspark.llm.queries import bpe_path
 SIMILARITY, SHINGLE_WORDS, WINDOW_WORDS, LEAK_WORDS = 0.8, 5, 20, 10
 
 
+CORE = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _keeps_columns(stage):
+    """A stage that returns the columns it was given; further columns can't clash with names that operators use."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        other = {c: f"other{i}_" for i, c in enumerate(docs.columns) if c not in CORE}
+        out = stage(spark, docs.withColumnsRenamed(other), sf_dir)
+        return out.withColumnsRenamed({n: c for c, n in other.items()}).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+    return run_stage
+
+
+@_keeps_columns
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, and those in no language that the labels teach, go; a missing label is filled in."""
     model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"), 0)))
@@ -25,12 +42,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return judged.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
+@_keeps_columns
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one with the least doc_id; null ids stay."""
     kept = minhash.near_duplicates(docs, SIMILARITY, SHINGLE_WORDS).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
 
 
+@_keeps_columns
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages that stand earlier in the corpus go; untouched texts stay as they are, emptied ones go."""
     out = substring.remove_repeats(docs, width=WINDOW_WORDS).where("n_removed = 0 OR n_removed < n_words")
@@ -38,6 +57,7 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
     return out.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*docs.columns)
 
 
+@_keeps_columns
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a window of a benchmark item go."""
     return decontam.mark(docs, read(spark, sf_dir, "benchmark"), width=LEAK_WORDS).where(F.size("hit_spans") == 0).select(*docs.columns)

@@ -165,5 +165,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def renamed(df: DataFrame, new: set[str]) -> tuple[DataFrame, dict[str, str]]:
+    """The columns under names that nothing else has, and those names by the old; columns named like new ones are left out."""
+    taken = {n.lower() for n in new}
+    names = {c: f"c{i}_" for i, c in enumerate(df.columns) if c.lower() not in taken}
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -10,7 +10,8 @@ The benchmark goes to the executors in blocks of at most BLOCK_BYTES of text, wh
 block is one more pass that merges its hits into those found before. Documents are never shuffled.
 
 Defined results: null and empty texts have no words and no hits; null and empty items have no windows; items with equal
-ids count once; repeated rows are judged alike; other columns pass through and a clash with a new column is an error.
+ids count once; repeated rows are judged alike; other columns pass through, and a
+column with the name of a new one is replaced.
 """
 
 from __future__ import annotations
@@ -200,9 +201,7 @@ NEW = StructType(
 
 def mark(df: DataFrame, benchmark: DataFrame, text: str = "text", width: int = 10, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Adds n_words, hit_spans (maximal runs of hit words, end exclusive) and items (ids as strings, sorted)."""
-    if clash := {f.name for f in NEW} & set(df.columns):
-        raise ValueError(f"columns exist already: {sorted(clash)}")
-    out, source = df, df
+    out = source = df.drop(*NEW.names)
     for ids, texts in _blocks(benchmark.select(F.col(item_id).cast("string"), F.coalesce(item_text, F.lit("")))):
         w = windows_of(ids, texts, width)
         q_of = _shingle_lengths(w)

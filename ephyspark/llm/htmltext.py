@@ -10,7 +10,8 @@ Chosen texts are cut into blocks at block elements and line breaks, character re
 block becomes one space, and blocks are joined by one newline.
 
 Defined results: null, empty and unparsable pages, and pages without main text, give the empty text; unclosed and stray
-tags are repaired; pages are judged one by one, so repeated rows give equal texts; other columns pass through.
+tags are repaired; pages are judged one by one, so repeated rows give equal texts; other columns pass through,
+and a column with the name of the new one is replaced.
 """
 
 from __future__ import annotations
@@ -375,8 +376,7 @@ def model(pages: int = 700, seed: int = 11) -> Trees:
 
 def extract(df: DataFrame, source: str = "html", text: str = "main_text") -> DataFrame:
     """Adds the main text of each page."""
-    if text in df.columns:
-        raise ValueError(f"column exists already: {text}")
+    df = df.drop(text)
     shared = share(df, model())
     schema = StructType([*df.schema.fields, StructField(text, StringType())])
 

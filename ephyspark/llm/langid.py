@@ -11,7 +11,8 @@ a hash of the key, and holds its TOP most frequent n-grams that are not far more
 
 Defined results: null texts and texts without a letter are `und` with score 0, and so is everything if no row is
 labelled; a text without any known n-gram gets the language with the most labelled rows and score 0; ties go to the
-language with more labelled rows, then by name; repeated rows are judged alike; other columns pass through.
+language with more labelled rows, then by name; repeated rows are judged alike; other columns pass
+through, and a column with the name of a new one is replaced.
 """
 
 from __future__ import annotations
@@ -127,8 +128,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
 
 def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds lang_pred and score, the share of the text's n-grams that the language contains."""
-    if clash := {"lang_pred", "score", "letters_"} & set(df.columns):
-        raise ValueError(f"columns exist already: {sorted(clash)}")
+    df = df.drop("lang_pred", "score", "letters_")
     shared = share(df, model)  # at most 8 MB
     own = df.columns
     schema = StructType([*df.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])

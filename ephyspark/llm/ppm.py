@@ -16,7 +16,8 @@ A shard's task holds one shard of all groups' requests: a few kilobytes a group,
 At most MOST_SHARDS are used, so that a row holds dozens of runs; corpora of many terabytes should raise GROUP_BYTES.
 
 Defined results: null and empty texts are the end alone; without training rows every byte has probability 1/256; rows
-that are repeated learn and score again; a null key learns; other columns pass through.
+that are repeated learn and score again; a null key learns; other columns pass through, and a column with the name of a new one is
+replaced.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..session import ship
-from .core import lower_table, mix, non_space_table, passes, share, text_bytes, word_hashes, words
+from .core import lower_table, mix, non_space_table, passes, renamed, share, text_bytes, word_hashes, words
 from .groups import binary_slices, deal, flat_binary, runs
 from .langid import held_out
 
@@ -217,10 +218,11 @@ def pair_counts(rows: DataFrame, text: str) -> np.ndarray:
 def score(df: DataFrame, train: Column, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Adds n_tokens, n_known, train_tokens, base_score and score; learns from the rows where `train` holds."""
     new = StructType([StructField("n_tokens", LongType()), StructField("n_known", LongType()), StructField("known_", DoubleType()), StructField("score", DoubleType())])
-    if clash := ({f.name for f in new} | {"g", "train_", "train_tokens", "base_score"}) & set(df.columns):
-        raise ValueError(f"columns exist already: {sorted(clash)}")
     ship(df.sparkSession)
-    marked = df.withColumn("train_", F.coalesce(train, F.lit(False)))
+    chosen = df.withColumn("train_", F.coalesce(train, F.lit(False)))
+    df, names = renamed(chosen, {"n_tokens", "n_known", "train_tokens", "base_score", "score"})
+    marked = df.withColumnRenamed(names.pop("train_"), "train_")
+    df, text, key = marked.drop("train_"), names[text], names[key]
     low = share(df, Low(pair_counts(marked.where("train_"), text)))
     dealt, groups, _ = deal(marked, text, key, GROUP_BYTES)
     shards = min(MOST_SHARDS, max(LEAST_SHARDS, groups // 4))
@@ -255,7 +257,7 @@ def score(df: DataFrame, train: Column, text: str = "text", key: str = "doc_id")
     totals = answers.agg(F.coalesce(F.sum("types"), F.lit(0)).alias("types_"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("train_tokens"))
     out = dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(finish, schema).crossJoin(F.broadcast(totals))  # one row
     base = F.col("known_") - F.col("n_tokens") * F.log10(F.col("train_tokens") + 0.5 * (F.col("types_") + 1))
-    return out.withColumn("base_score", base).select(*df.columns, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return out.withColumn("base_score", base).select(*[F.col(n).alias(c) for c, n in names.items()], "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def digest(documents: DataFrame) -> DataFrame:

@@ -17,7 +17,8 @@ found exactly, which also reduces any hot passage to one row per group. Across g
 Each step is one pass over the dealt documents, whose exchange Spark reuses, so texts are shuffled once.
 
 Defined results: null and empty texts and texts shorter than a window lose nothing; rows with equal keys are one group's
-neighbours and count as consecutive, ordered by text; a null key precedes all others; other columns pass through.
+neighbours and count as consecutive, ordered by text; a null key precedes all others; other columns pass through, and a
+column with the name of a new one is replaced.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .core import WORD_BASE, non_space_table, passes, run_hash, text_bytes, word_hashes, words
+from .core import WORD_BASE, non_space_table, passes, renamed, run_hash, text_bytes, word_hashes, words
 from .core import mix as mixed
 from .groups import binary_slices, deal, flat_binary, runs
 
@@ -127,10 +128,10 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 20, kept: str = "kept") -> DataFrame:
     """Adds n_words, n_removed and the kept words joined by one space."""
-    if clash := {"n_words", "n_removed", kept, "g"} & set(df.columns):
-        raise ValueError(f"columns exist already: {sorted(clash)}")
     if width < GRAM:
         raise ValueError(f"a window has {GRAM} words at least")
+    df, names = renamed(df, {"n_words", "n_removed", kept})
+    text, key = names[text], names[key]
     dealt, _, size = deal(df, text, key, GROUP_BYTES)
     cells = 1 << max(16, (size // 4).bit_length())
     block = max(BLOCK, cells // BLOCKS)
@@ -167,7 +168,7 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", width
         return pa.table([*columns, g, binary_slices(group.hash[i], np.append(s, len(i)))], names=names)
 
     fields = df.schema.fields
-    schema = StructType([*fields, StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField(kept, StringType())])
+    schema = StructType([*fields, StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
@@ -198,7 +199,8 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", width
     answers = sketches.repartition("block").sortWithinPartitions("block", "g").mapInArrow(_merge_blocks(block, dtype), "g int, block long, many binary")
     exact = dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(candidates, "m long, key long, r int, pos int, g int, hashes binary")
     later = exact.repartition("m").sortWithinPartitions("m", "key", "r", "pos").mapInArrow(_later, "g int, r int, pos int, n int")
-    return dealt.groupBy("g").cogroup(later.groupBy("g")).applyInArrow(finish, schema)
+    out = dealt.groupBy("g").cogroup(later.groupBy("g")).applyInArrow(finish, schema)
+    return out.select(*[F.col(n).alias(c) for c, n in names.items()], "n_words", "n_removed", F.col("kept").alias(kept))
 
 
 def digest(documents: DataFrame) -> DataFrame:

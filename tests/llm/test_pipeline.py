@@ -76,7 +76,10 @@ def test_run_and_registry(spark, steps):
 def test_awkward_rows(spark):
     rows = [(1, None, "en", "s", 0), (None, "a b c d e f", None, None, None), (2, "", "en", "s", 0), (3, "x y z w v u", "en", "s", 11), (3, "x y z w v u", "en", "s", 11)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    clash = docs.selectExpr("*", "1 AS g", "2 AS n_words", "'x' AS kept", "0.5D AS score", "3 AS lang_pred", "4 AS hit_spans", "5 AS `a.b`")
     for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, clash, SF)
+        assert out.columns == clash.columns and {(r.g, r.n_words, r.kept) for r in out.collect()} <= {(1, 2, "x")}, name
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns, name
         out.collect()

@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from ephyspark.llm import decontam, minhash, queries, substring
+from ephyspark.llm import decontam, langid, minhash, ppm, queries, substring
 
 from . import brute
 
@@ -67,9 +68,14 @@ def test_empty_tables(spark):
 
 
 def test_clashing_columns(spark):
-    df = spark.createDataFrame([(1, "x", 3)], "doc_id long, text string, n_words long")
-    with pytest.raises(ValueError):
-        substring.remove_repeats(df)
-    with pytest.raises(ValueError):
-        decontam.mark(df, df.select("doc_id", "text"), item_id="doc_id")
+    df = spark.createDataFrame([(1, "x y", 3, "g", None, 5, 0.5)], "doc_id long, text string, n_words long, g string, hit_spans string, kept int, score double")
+    r = substring.remove_repeats(df).first()
+    assert (r.n_words, r.g, r.kept, r.hit_spans, r.score) == (2, "g", "x y", None, 0.5)
+    r = decontam.mark(df, df.select("doc_id", "text"), item_id="doc_id").first()
+    assert (r.n_words, r.g, r["items"], r.kept) == (2, "g", ["1"], 5)
+    r = ppm.score(df, F.lit(True)).first()
+    assert (r.n_tokens, r.g, r.kept) == (3, "g", 5) and r.score < 0
+    r = langid.predict(df, langid.fit(df, lang="g")).first()
+    assert (r.lang_pred, r.g, r.n_words) == ("g", "g", 3)
+    assert minhash.near_duplicates(df).count() == 1
     assert queries.queries()
