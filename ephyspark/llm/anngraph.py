@@ -31,7 +31,7 @@ from .components import components
 from .core import ensure_checkpoint_dir, share
 from .decontam import expand
 
-#: Vectors of a region at least, regions at most (which bounds the centroids that are broadcast), and vectors that fit them.
+#: Vectors of a region at least, regions at most (centroids are twice as many at most), and vectors that fit them.
 REGION, REGIONS, SAMPLE = 3000, 8192, 50_000
 SHARD, OVERLAP, CANDIDATES, DEGREE, ALPHA = 400, 2, 64, 24, 1.2
 BEAM, PROBES, AUDIT_ROWS, WANTED = 24, 3, 500, 0.98
@@ -225,9 +225,10 @@ def _region(similarity: float, beam: int):
 
 def _regions(classes: DataFrame, probes: int) -> DataFrame:
     """Class rows with region and home: once in their own region and once in each of the next nearest."""
-    per = {(r.label, r.d): r["n"] for r in classes.groupBy("label", "d").agg(F.count("*").alias("n")).where(F.col("n") > REGION).collect()}
+    each = max(REGION, math.ceil(classes.count() / REGIONS))
+    large = classes.groupBy("label", "d").agg(F.count("*").alias("n")).where(F.col("n") > each)
+    per = {(r.label, r.d): r["n"] for r in large.collect()}  # at most REGIONS labels
     total = sum(per.values())
-    each = max(REGION, math.ceil(total / REGIONS))
     centroids = {}
     if per:
         part = min(1.0, SAMPLE / total)
