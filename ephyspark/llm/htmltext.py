@@ -34,7 +34,7 @@ from .core import passes, share
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-BLOCKS = HEADINGS | frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form header hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
+BLOCKS = HEADINGS | frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCKS - frozenset("br body html caption tbody tfoot thead tr legend summary".split())
 #: Elements that end an open element of the same kind, and what they don't reach beyond.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "option": ({"option"}, {"select"})}
