@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .components import components
 from .core import ensure_checkpoint_dir, share
@@ -255,7 +256,8 @@ def _regions(classes: DataFrame, probes: int) -> DataFrame:
             out = b.take(pa.array(row, pa.int64()))
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array(region, pa.int32()), pa.array(home, pa.bool_())], names=[*out.schema.names, "region", "home"])
 
-    return classes.mapInArrow(run, "label int, d int, rep long, w long, v array<float>, region int, home boolean")
+    kind = dict(classes.dtypes)["v"]
+    return classes.mapInArrow(run, f"label int, d int, rep long, w long, v {kind}, region int, home boolean")
 
 
 def _audit(classes: DataFrame, found: DataFrame, similarity: float) -> float:
@@ -291,7 +293,8 @@ def near_duplicates(df: DataFrame, similarity: float = 0.93, key: str = "vec_id"
     bad = lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
     v = F.col(vector)
     good = v.isNotNull() & F.col(label).isNotNull() & (F.size(v) > 0) & ~F.exists(v, bad) & F.exists(v, lambda c: c != 0)
-    rows = df.select(F.col(key).alias("id"), F.when(F.coalesce(good, F.lit(False)), v.cast("array<float>")).alias("v"), F.col(label).cast("int").alias("label"))
+    kind = "array<double>" if isinstance(df.schema[vector].dataType.elementType, DoubleType) else "array<float>"
+    rows = df.select(F.col(key).cast("long").alias("id"), F.when(F.coalesce(good, F.lit(False)), v.cast(kind)).alias("v"), F.col(label).cast("int").alias("label"))
     valid = rows.where("v IS NOT NULL AND id IS NOT NULL")
     classes = valid.groupBy("label", F.size("v").alias("d"), "v").agg(F.min("id").alias("rep"), F.count("*").alias("w")).select("label", "d", "rep", "w", "v").checkpoint()
     beam, probes = BEAM, PROBES

@@ -74,8 +74,8 @@ def signatures(df: DataFrame, text: str, key: str, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in passes(batch, text):
-                u, bounds = shingle_sets(part.column(text), length)
+            for part in passes(batch, "text"):
+                u, bounds = shingle_sets(part.column("text"), length)
                 n = np.diff(bounds)
                 some = np.flatnonzero(n)
                 digest = np.zeros((2, len(n)), dtype=np.uint64)
@@ -90,11 +90,15 @@ def signatures(df: DataFrame, text: str, key: str, length: int) -> DataFrame:
                         sig[some, k] = (mix(np.minimum.reduceat(v, at)) >> np.uint64(32)).astype(np.uint32)
                 none = n == 0
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(key), pa.array(n), *(pa.array(d.view(np.int64), mask=none) for d in digest), pa.array([None if x else r.tobytes() for x, r in zip(none.tolist(), sig, strict=True)], pa.binary())],
+                    [part.column("id"), pa.array(n), *(pa.array(d.view(np.int64), mask=none) for d in digest), pa.array([None if x else r.tobytes() for x, r in zip(none.tolist(), sig, strict=True)], pa.binary())],
                     names=["id", "n_shingles", "hi", "lo", "sig"],
                 )
 
-    return df.select(key, text).mapInArrow(run, "id long, n_shingles long, hi long, lo long, sig binary")
+    return _keyed(df, text, key).mapInArrow(run, "id long, n_shingles long, hi long, lo long, sig binary")
+
+
+def _keyed(df: DataFrame, text: str, key: str) -> DataFrame:
+    return df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
 
 
 def _sig_matrix(column) -> np.ndarray:
@@ -238,7 +242,7 @@ def _exact(length: int, percent: int):
 
 def _linked(members: DataFrame, df: DataFrame, text: str, key: str, length: int, percent: int) -> DataFrame:
     """Edges (a, b) that the blocks of `members` (cand, i, j, id, comp, left, right) give, with the members' texts."""
-    texts = _filtered(df.select(F.col(key).alias("id"), F.col(text).alias("text")), members.select("id").distinct())
+    texts = _filtered(_keyed(df, text, key), members.select("id").distinct())
     return members.join(texts, "id").groupBy("cand", "i", "j").applyInArrow(_exact(length, percent), "a long, b long")
 
 

@@ -62,6 +62,8 @@ def test_links(spark, monkeypatch, region):
     assert found >= 0.98 * true and all(got[i][0] <= want[i][0] for i in want)
     if region > 100:
         assert got == want
+        wide = df.selectExpr("cast(vec_id AS int) AS vec_id", "cast(embedding AS array<double>) AS embedding", "label")
+        assert {r.vec_id: r.component_id for r in anngraph.digest(wide).collect()} == {i: w[1] for i, w in want.items()}
 
 
 def test_table(spark):
