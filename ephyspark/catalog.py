@@ -126,7 +126,6 @@ def import_nsx(spark: SparkSession, path: str, prefix: str) -> None:
     put("channels", table)
     put("channel_info", channels.withColumn("original_filename", F.lit(name)).withColumn("which_nsp", F.lit(which)).withColumn("filename", channel_name(F.col("electrode_id"), F.col("electrode_label"))))
     put("nsx_scans", read("header").select(F.lit(base).alias("filename"), time_origin_of(F.col("time_origin")).alias("acq_time"), F.lit(name).alias("original_filename"), "file_type", F.concat_ws(".", F.col("file_spec").cast("array<string>")).alias("file_spec"), "period", "channel_count", "label", "time_resolution_timestamp", F.lit(parts.count()).alias("n_partitions")))
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     fs_path = f"{prefix}/signals/which_nsx={which}"
     _delete(spark, fs_path)
     blocks = read("samples").drop("which_nsx")
