@@ -34,7 +34,7 @@ from .core import WORD_BASE, ensure_checkpoint_dir, lower_table, mix, non_space_
 
 COORDINATES = 48
 #: Members of a list whose signatures, and of a candidate group whose texts, are compared at once with as many others.
-CHUNK, MEMBERS = 1024, 512
+CHUNK, MEMBERS = 1024, 1024
 _LOWER, _WORD = lower_table(), non_space_table()
 _random = np.random.default_rng(7)
 _A = _random.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
