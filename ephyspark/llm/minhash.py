@@ -33,8 +33,8 @@ from .components import components
 from .core import WORD_BASE, ensure_checkpoint_dir, lower_table, mix, non_space_table, passes, run_hash, share, text_bytes, word_hashes, words
 
 COORDINATES = 48
-#: Members of a list whose signatures, and of a candidate group whose texts, are compared at once with as many others.
-CHUNK, MEMBERS = 1024, 1024
+#: Members of a list or group that are compared at once with as many others.
+CHUNK = 1024
 _LOWER, _WORD = lower_table(), non_space_table()
 _random = np.random.default_rng(7)
 _A = _random.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -115,6 +115,34 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(tok), pa.array(np.repeat(b.column("rep").to_numpy(), COORDINATES))], names=["tok", "rep"])
 
 
+def _shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings whose token occurs under two representatives or more, with that number; rows come sorted by token.
+
+    A token's postings (16 bytes each) are held until its last one is seen.
+    """
+    held_tok, held_rep = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    for b in batches:
+        tok = np.concatenate([held_tok, b.column("tok").to_numpy()])
+        rep = np.concatenate([held_rep, b.column("rep").to_numpy()])
+        if not len(tok):
+            continue
+        cut = int(np.searchsorted(tok, tok[-1]))
+        if cut:
+            yield from _counted(tok[:cut], rep[:cut])
+        held_tok, held_rep = tok[cut:], rep[cut:]
+    if len(held_tok):
+        yield from _counted(held_tok, held_rep)
+
+
+def _counted(tok: np.ndarray, rep: np.ndarray) -> Iterator[pa.RecordBatch]:
+    first = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
+    n = np.diff(np.append(first, len(tok)))
+    df = np.repeat(n, n)
+    keep = df > 1
+    if keep.any():
+        yield pa.RecordBatch.from_arrays([pa.array(tok[keep]), pa.array(rep[keep]), pa.array(df[keep])], names=["tok", "rep", "df"])
+
+
 def _matches(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Coordinates on which each row of a agrees with each row of b."""
     out = np.zeros((len(a), len(b)), dtype=np.uint8)
@@ -218,12 +246,12 @@ def _linked(members: DataFrame, df: DataFrame, text: str, key: str, length: int,
 
 
 def links_within(candidates: DataFrame, df: DataFrame, text: str, key: str, length: int, percent: int) -> DataFrame:
-    """Components (id, component) of exact links inside candidate groups (id, component), in blocks of MEMBERS members.
+    """Components (id, component) of exact links inside candidate groups (id, component), in blocks of CHUNK members.
 
     First each chunk is linked inside, together with the group's least member; then the members outside the group's
     largest component are compared with the other chunks. Groups that are one component by then need no second step.
     """
-    sizes = candidates.groupBy("component").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("chunks"))
+    sizes = candidates.groupBy("component").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     m = candidates.withColumnRenamed("component", "cand").join(sizes.withColumnRenamed("component", "cand"), "cand")
     m = m.withColumn("i", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).checkpoint()
     hub = m.where("id = cand").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("j <> i").select("cand", F.col("j").alias("i"), "id")
@@ -234,7 +262,7 @@ def links_within(candidates: DataFrame, df: DataFrame, text: str, key: str, leng
     wide = m.where("chunks > 1").join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     per = wide.groupBy("cand", "comp").agg(F.count("*").alias("n"))
     main = per.groupBy("cand").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"), F.count("*").alias("k"), (F.sum("n") - F.max("n")).alias("rest")).where("k > 1")
-    wide = wide.join(main, "cand").withColumn("parts", F.ceil(F.col("rest") / MEMBERS).cast("int"))
+    wide = wide.join(main, "cand").withColumn("parts", F.ceil(F.col("rest") / CHUNK).cast("int"))
     if not wide.take(1):
         return comp
     out = wide.where("comp <> main").withColumn("s", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int"))
@@ -275,8 +303,8 @@ def near_duplicates(df: DataFrame, similarity: float = 0.8, length: int = 5, tex
     s = signatures(df, text, key, length).checkpoint()
     classes = s.where("n_shingles > 0").groupBy("hi", "lo", "n_shingles").agg(F.min("id").alias("rep"))
     reps = classes.join(s.select("hi", "lo", "n_shingles", F.col("id").alias("rep"), "sig"), ["hi", "lo", "n_shingles", "rep"]).dropDuplicates(["hi", "lo", "n_shingles", "rep"]).select("rep", F.col("n_shingles").alias("n"), "sig")
-    tokens = reps.select("rep", "sig").mapInArrow(_tokens, "tok long, rep long")
-    shared = tokens.join(tokens.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1"), "tok")
+    tokens = reps.select("rep", "sig").mapInArrow(_tokens, "tok long, rep long").repartition("tok").sortWithinPartitions("tok", "rep")
+    shared = tokens.mapInArrow(_shared_tokens, "tok long, rep long, df long")
     of_rep = Window.partitionBy("rep")
     ranked = shared.withColumn("m", F.count("*").over(of_rep)).where(F.col("m") >= need).withColumn("r", F.row_number().over(of_rep.orderBy("df", "tok")))
     prefix = ranked.where(F.col("r") <= F.col("m") - need + 1).select("tok", "rep")
