@@ -10,9 +10,12 @@ are dealt to regions (nearest of a label's centroids, fitted on a bounded sample
    vector found within the range until no new one within it turns up.
 4. Pairs within the range are verified in double precision.
 
-Every vector is a query in its own region and the nearest PROBES - 1 others. Recall is audited by brute force on a bounded
-sample of queries against all vectors; below WANTED the search runs again with a doubled beam and twice the probes. A task
-emits one row per query, its count of links and its local component, so a group of m near copies makes m rows.
+Every vector is a query in each region that may hold a partner: not further from the region's centroid than the region's
+widest angle and the range together (nor nearer than its narrowest less the range), and within the range of the plane that
+divides the region from the vector's own. These bounds lose no pair. Regions of many vectors or queries are dealt to several
+tasks by parts and slices. Recall is audited by brute force on a bounded
+sample of queries against all vectors; below WANTED the search runs again with a doubled beam. A task emits one row per linked
+vector, its count of links and its local component, so a group of m near copies makes m rows for each region it is searched in.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and those without a label, link
 with nothing; vectors of different lengths never link; rows with equal ids are separate vectors; an empty table gives no rows.
@@ -29,13 +32,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from .components import components
-from .core import ensure_checkpoint_dir, share
+from .core import ensure_checkpoint_dir, mix, share
 from .decontam import expand
 
 #: Vectors of a region at least, regions at most (centroids are twice as many at most), and vectors that fit them.
 REGION, REGIONS, SAMPLE = 3000, 8192, 50_000
 SHARD, OVERLAP, CANDIDATES, DEGREE, ALPHA = 400, 2, 64, 24, 1.2
-BEAM, PROBES, AUDIT_ROWS, WANTED = 24, 3, 500, 0.98
+BEAM, AUDIT_ROWS, WANTED = 24, 500, 0.98
+#: Nearest regions that a vector is always searched in, besides all those that may hold a partner.
+PROBES = 3
+#: Queries of a region that one task takes, about, and similarities to centroids that are computed at once.
+QUERIES, TABLE = 30_000, 1 << 21
 #: Queries that are searched at once, and marks of visited nodes that they may take.
 BATCH, VISITED = 256, 1 << 26
 
@@ -201,36 +208,60 @@ def _matrix(column: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:
 
 def _region(similarity: float, beam: int):
     def run(t: pa.Table) -> pa.Table:
-        """Links of a region's queries: id, weight of the vectors linked in this region, and local component."""
+        """Linked vectors: id, weight of the vectors linked to a query in this task, and local component."""
         x = _matrix(t.column("v"), t.num_rows)
-        ids, weight, home = (t.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "w", "home"))
+        ids, weight, home, query = (t.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "w", "home", "query"))
         order = np.argsort(ids, kind="stable")
-        x, ids, weight, home = x[order], ids[order], weight[order], home[order]
+        x, ids, weight, home, query = x[order], ids[order], weight[order], home[order], query[order]
         norm, u = np.linalg.norm(x, axis=1), _unit(x)
-        nodes = np.flatnonzero(home)
+        nodes, asked = np.flatnonzero(home), np.flatnonzero(query)
         forest, n = Forest(len(ids)), np.zeros(len(ids), dtype=np.int64)
         if len(nodes):
             graph = Graph(u[nodes])
             step = max(8, min(BATCH, VISITED // len(nodes)))
-            for s in range(0, len(ids), step):
-                q, v = graph.search(u[s : s + step], similarity - 1e-6, beam)
-                q, v = q + s, nodes[v]
+            for s in range(0, len(asked), step):
+                some = asked[s : s + step]
+                q, v = graph.search(u[some], similarity - 1e-6, beam)
+                q, v = some[q], nodes[v]
                 ok = (np.einsum("ij,ij->i", x[q], x[v]) / (norm[q] * norm[v]) >= similarity) & (q != v)
                 q, v = q[ok], v[ok]
                 n += np.bincount(q, weights=weight[v], minlength=len(ids)).astype(np.int64)
                 forest.unite(q, v)
-        return pa.table([pa.array(ids), pa.array(n), pa.array(ids[forest.root])], names=["rep", "n", "root"])
+        some = np.flatnonzero((n > 0) | (forest.root != np.arange(len(ids))))
+        return pa.table([pa.array(ids[some]), pa.array(n[some]), pa.array(ids[forest.root[some]])], names=["rep", "n", "root"])
 
     return run
 
 
-def _regions(classes: DataFrame, probes: int) -> DataFrame:
-    """Class rows with region and home: once in their own region and once in each of the next nearest."""
+def reachable(u: np.ndarray, centroids: np.ndarray, narrow: np.ndarray, wide: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Own region of each unit vector, and which regions may hold a vector within the range.
+
+    `narrow` and `wide` are the least and the largest angle between a region's centroid and its own vectors.
+    """
+    s = u @ centroids.T
+    own = np.argmax(s, axis=1)
+    theta = math.acos(max(-1.0, min(1.0, similarity))) + 1e-6
+    angle = np.arccos(np.clip(s, -1, 1))
+    may = (angle <= wide + theta) & (angle >= narrow - theta)
+    if theta < math.pi / 2:
+        apart = np.sqrt(np.maximum(0, 2 - 2 * (centroids[own] @ centroids.T)))
+        may &= s[np.arange(len(s)), own][:, None] - s <= math.sin(theta) * apart + 1e-6
+    near = np.argpartition(-s, min(PROBES, len(centroids)) - 1, axis=1)[:, :PROBES]
+    np.put_along_axis(may, near, True, axis=1)
+    may[np.arange(len(s)), own] = True
+    return own, may
+
+
+def _regions(classes: DataFrame, similarity: float) -> DataFrame:
+    """Class rows with region, part and slice, as vectors to be found (home), queries or both.
+
+    A region's own vectors are dealt to parts, its queries to slices; each pair of a part and a slice is a task.
+    """
     each = max(REGION, math.ceil(classes.count() / REGIONS))
     large = classes.groupBy("label", "d").agg(F.count("*").alias("n")).where(F.col("n") > each)
     per = {(r.label, r.d): r["n"] for r in large.collect()}  # at most REGIONS labels
     total = sum(per.values())
-    centroids = {}
+    centroids = {(label, d): np.zeros((1, d)) for label, d in per}
     if per:
         part = min(1.0, SAMPLE / total)
         picked = classes.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < int(part * (1 << 20))).select("label", "d", "v").toPandas()
@@ -239,32 +270,98 @@ def _regions(classes: DataFrame, probes: int) -> DataFrame:
                 centroids[label, d] = kmeans(_unit(np.stack(rows.v.to_numpy()).astype(np.float64)), math.ceil(per[label, d] / each))
     shared = share(classes, centroids)
 
+    def large_rows(b: pa.RecordBatch):
+        """Label, size, places and unit vectors of rows with centroids, few at a time."""
+        keys = {}
+        for i, k in enumerate(zip(b.column("label").to_pylist(), b.column("d").to_pylist(), strict=True)):
+            keys.setdefault(k, []).append(i)
+        for k, rows in keys.items():
+            if (c := shared.value.get(k)) is not None:
+                step = max(1, TABLE // len(c))
+                for s in range(0, len(rows), step):
+                    some = np.array(rows[s : s + step])
+                    yield k, some, _unit(_matrix(b.column("v").take(pa.array(some)), len(some)))
+
+    def spread(batches):
+        for b in batches:
+            for (label, d), _, u in large_rows(b):
+                s = u @ shared.value[label, d].T
+                own = np.argmax(s, axis=1)
+                angle = np.arccos(np.clip(s[np.arange(len(s)), own], -1, 1))
+                for r in np.unique(own).tolist():
+                    a = angle[own == r]
+                    yield pa.RecordBatch.from_pylist([{"label": label, "d": d, "region": r, "n": len(a), "narrow": float(a.min()), "wide": float(a.max())}], schema=spread_schema)
+
+    spread_schema = pa.schema([("label", pa.int32()), ("d", pa.int32()), ("region", pa.int32()), ("n", pa.int64()), ("narrow", pa.float64()), ("wide", pa.float64())])
+    count_schema = pa.schema([("label", pa.int32()), ("d", pa.int32()), ("region", pa.int32()), ("n", pa.int64())])
+    bounds = {k: (np.full(len(c), math.inf), np.full(len(c), -math.inf), np.zeros(len(c), dtype=np.int64)) for k, c in centroids.items()}
+    if per:
+        measured = classes.mapInArrow(spread, "label int, d int, region int, n long, narrow double, wide double")
+        for r in measured.groupBy("label", "d", "region").agg(F.sum("n").alias("n"), F.min("narrow").alias("narrow"), F.max("wide").alias("wide")).collect():
+            narrow, wide, own = bounds[r.label, r.d]
+            narrow[r.region], wide[r.region], own[r.region] = r.narrow, r.wide, r["n"]
+    bound = share(classes, bounds)
+
+    def queries(batches):
+        for b in batches:
+            n = {}
+            for k, _, u in large_rows(b):
+                narrow, wide, _ = bound.value[k]
+                n[k] = n.get(k, 0) + reachable(u, shared.value[k], narrow, wide, similarity)[1].sum(axis=0)
+            for (label, d), c in n.items():
+                r = np.flatnonzero(c)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), label), pa.int32()), pa.array(np.full(len(r), d), pa.int32()), pa.array(r, pa.int32()), pa.array(c[r], pa.int64())], schema=count_schema)
+
+    tasks = {k: (np.maximum(1, -(-own // (2 * each))), np.ones(len(own), dtype=np.int64)) for k, (_, _, own) in bounds.items()}
+    if per:
+        asked = classes.mapInArrow(queries, "label int, d int, region int, n long")
+        for r in asked.groupBy("label", "d", "region").agg(F.sum("n").alias("n")).collect():
+            tasks[r.label, r.d][1][r.region] = max(1, -(-r["n"] // max(QUERIES, 2 * each)))
+    dealt = share(classes, tasks)
+
     def run(batches):
         for b in batches:
-            label, d = b.column("label").to_pylist(), b.column("d").to_pylist()
-            vectors = b.column("v").to_pylist()
-            row, region, home = [], [], []
-            for i, (l, k) in enumerate(zip(label, d, strict=True)):
-                c = shared.value.get((l, k))
-                if c is None:
-                    row.append(i), region.append(0), home.append(True)
-                    continue
-                near = np.argsort(-(c @ np.asarray(vectors[i], dtype=np.float64)), kind="stable")[:probes].tolist()
-                row += [i] * len(near)
-                region += near
-                home += [True] + [False] * (len(near) - 1)
-            out = b.take(pa.array(row, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(region, pa.int32()), pa.array(home, pa.bool_())], names=[*out.schema.names, "region", "home"])
+            rep = mix(b.column("rep").to_numpy(zero_copy_only=False).astype(np.uint64)) >> np.uint64(1)
+            rest = np.ones(b.num_rows, dtype=bool)
+            for k, some, u in large_rows(b):
+                rest[some] = False
+                narrow, wide, _ = bound.value[k]
+                parts, slices = dealt.value[k]
+                own, may = reachable(u, shared.value[k], narrow, wide, similarity)
+                turn = rep[some].astype(np.int64)
+                i, r = np.nonzero(may)
+                i, r, part = np.repeat(i, parts[r]), np.repeat(r, parts[r]), _within(parts[r])
+                slice_ = (turn[i] // 1009) % slices[r]
+                home = (r == own[i]) & (part == turn[i] % parts[r])
+                j = np.repeat(np.arange(len(some)), slices[own])
+                at = _within(slices[own])
+                j, at = (w[at != (turn[j] // 1009) % slices[own[j]]] for w in (j, at))
+                yield from rows_of(b, np.append(some[i], some[j]), np.append(r, own[j]), np.append(part, turn[j] % parts[own[j]]), np.append(slice_, at), np.append(home, np.ones(len(j), dtype=bool)), np.append(np.ones(len(i), dtype=bool), np.zeros(len(j), dtype=bool)))
+            row = np.flatnonzero(rest)
+            none, yes = np.zeros(len(row), dtype=np.int64), np.ones(len(row), dtype=bool)
+            yield from rows_of(b, row, none, none, none, yes, yes)
+
+    def rows_of(b, row, region, part, slice_, home, query):
+        for s in range(0, len(row), 8192):
+            e = slice(s, s + 8192)
+            out = b.take(pa.array(row[e], pa.int64()))
+            more = [pa.array(c[e], pa.int32()) for c in (region, part, slice_)] + [pa.array(c[e], pa.bool_()) for c in (home, query)]
+            yield pa.RecordBatch.from_arrays([*out.columns, *more], names=[*out.schema.names, "region", "part", "slice", "home", "query"])
 
     kind = dict(classes.dtypes)["v"]
-    return classes.mapInArrow(run, f"label int, d int, rep long, w long, v {kind}, region int, home boolean")
+    return classes.mapInArrow(run, f"label int, d int, rep long, w long, v {kind}, region int, part int, slice int, home boolean, query boolean")
+
+
+def _within(counts: np.ndarray) -> np.ndarray:
+    """0 .. n - 1 for each of the counts n, one after another."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
 def _audit(classes: DataFrame, found: DataFrame, similarity: float) -> float:
     """Share of the links of a bounded sample of classes that was found, against brute force over all classes."""
     n = max(1, classes.count())
     sample = classes.where(F.pmod(F.xxhash64("rep", F.lit(11)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, AUDIT_ROWS / n)))
-    rows = sample.join(found, "rep").select("label", "d", "rep", "n", "v").toPandas()
+    rows = sample.join(found, "rep", "left").select("label", "d", "rep", F.coalesce("n", F.lit(0)).alias("n"), "v").toPandas()
     queries = {}
     for (label, d), r in rows.groupby(["label", "d"]):
         queries[label, d] = (r.rep.to_numpy(), _unit(np.stack(r.v.to_numpy()).astype(np.float64)))
@@ -297,14 +394,15 @@ def near_duplicates(df: DataFrame, similarity: float = 0.93, key: str = "vec_id"
     rows = df.select(F.col(key).cast("long").alias("id"), F.when(F.coalesce(good, F.lit(False)), v.cast(kind)).alias("v"), F.col(label).cast("int").alias("label"))
     valid = rows.where("v IS NOT NULL AND id IS NOT NULL")
     classes = valid.groupBy("label", F.size("v").alias("d"), "v").agg(F.min("id").alias("rep"), F.count("*").alias("w")).select("label", "d", "rep", "w", "v").checkpoint()
-    beam, probes = BEAM, PROBES
+    placed = _regions(classes, similarity).groupBy("label", "d", "region", "part", "slice")
+    beam = BEAM
     for attempt in range(3):
-        near = _regions(classes, probes).groupBy("label", "d", "region").applyInArrow(_region(similarity, beam), "rep long, n long, root long").checkpoint()
+        near = placed.applyInArrow(_region(similarity, beam), "rep long, n long, root long").checkpoint()
         found = near.groupBy("rep").agg(F.sum("n").alias("n"))
         recall = _audit(classes, found, similarity)
         if recall >= WANTED:
             break
-        beam, probes = 2 * beam, 2 * probes
+        beam = 2 * beam
     comp = components(near.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     of_class = classes.join(found, "rep", "left").join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left")
     of_class = of_class.select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))

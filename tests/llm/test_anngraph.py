@@ -72,3 +72,48 @@ def test_table(spark):
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in anngraph.digest(df).collect()}
     assert got == plain(rows)
     assert anngraph.digest(df.limit(0)).count() == 0
+
+
+def hot(n=3000, seed=5):
+    """One label; a third of the rows is one group of distinct near copies, the others are rare pairs."""
+    r = np.random.default_rng(seed)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    group = unit(r.standard_normal((1, 64)) + 0.22 * r.standard_normal((n // 3, 64)))
+    base = unit(r.standard_normal((n // 3, 64)))
+    x = np.concatenate([group, base, unit(base + 0.02 * r.standard_normal(base.shape))]).astype(np.float32)
+    return x[r.permutation(len(x))]
+
+
+def true_links(x, least=0.93):
+    y = x.astype(np.float64)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    near = y @ y.T >= least
+    np.fill_diagonal(near, False)
+    return near
+
+
+@pytest.mark.parametrize("tasks", [1, 4])
+def test_hot_group_over_many_regions(spark, monkeypatch, tasks):
+    monkeypatch.setattr(anngraph, "REGION", 30)
+    if tasks > 1:  # regions of several slices, and k-means on so few rows that regions have several parts
+        monkeypatch.setattr(anngraph, "QUERIES", 300)
+        monkeypatch.setattr(anngraph, "SAMPLE", 60)
+    x = hot()
+    want = true_links(x)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").repartition(4)
+    got = {r.vec_id: r.n_links for r in anngraph.digest(df).collect()}
+    have, true = np.array([got[i] for i in range(len(x))]), want.sum(axis=1)
+    assert true.max() > 900 and (have <= true).all()
+    some = true > 0
+    assert have.sum() >= 0.98 * true.sum() and (have[some] / true[some]).mean() >= 0.98
+
+
+def test_bounds_lose_no_pair():
+    x = hot(1500).astype(np.float64)
+    c = anngraph.kmeans(x, 25)
+    own = np.argmax(x @ c.T, axis=1)
+    angle = np.arccos(np.clip((x * c[own]).sum(axis=1), -1, 1))
+    narrow, wide = (np.array([f(angle[own == r], initial=start) for r in range(25)]) for f, start in ((np.min, np.inf), (np.max, -np.inf)))
+    home, may = anngraph.reachable(x, c, narrow, wide, 0.93)
+    a, b = np.nonzero(true_links(x))
+    assert (home == own).all() and may[a, own[b]].all() and not may.all()
