@@ -13,8 +13,9 @@ are dealt to regions (nearest of a label's centroids, fitted on a bounded sample
 Every vector is a query in each region that may hold a partner: not further from the region's centroid than the region's
 widest angle and the range together (nor nearer than its narrowest less the range), and within the range of the plane that
 divides the region from the vector's own. These bounds lose no pair. Regions of many vectors or queries are dealt to several
-tasks by parts and slices. Recall is audited by brute force on a bounded
-sample of queries against all vectors; below WANTED the search runs again with a doubled beam. A task emits one row per linked
+tasks by parts and slices. Recall is audited by brute force on bounded samples of queries, random ones and ones known to have
+links, against all vectors, per link and per query; below WANTED the search runs again with a doubled beam, and then (at once
+if the samples have no link) it compares each query with all vectors of its regions. A task emits one row per linked
 vector, its count of links and its local component, so a group of m near copies makes m rows for each region it is searched in.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and those without a label, link
@@ -206,9 +207,14 @@ def _matrix(column: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
 
 
-def _region(similarity: float, beam: int):
+def _scan(u: np.ndarray, q: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (query, node) with a similarity of `reach` or more."""
+    return np.nonzero(q @ u.T >= reach)
+
+
+def _region(similarity: float, beam: int | None):
     def run(t: pa.Table) -> pa.Table:
-        """Linked vectors: id, weight of the vectors linked to a query in this task, and local component."""
+        """Linked vectors: id, weight of the vectors linked to a query in this task, and local component; no beam scans all."""
         x = _matrix(t.column("v"), t.num_rows)
         ids, weight, home, query = (t.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "w", "home", "query"))
         order = np.argsort(ids, kind="stable")
@@ -217,11 +223,11 @@ def _region(similarity: float, beam: int):
         nodes, asked = np.flatnonzero(home), np.flatnonzero(query)
         forest, n = Forest(len(ids)), np.zeros(len(ids), dtype=np.int64)
         if len(nodes):
-            graph = Graph(u[nodes])
+            graph = Graph(u[nodes]) if beam else None
             step = max(8, min(BATCH, VISITED // len(nodes)))
             for s in range(0, len(asked), step):
                 some = asked[s : s + step]
-                q, v = graph.search(u[some], similarity - 1e-6, beam)
+                q, v = graph.search(u[some], similarity - 1e-6, beam) if beam else _scan(u[nodes], u[some], similarity - 1e-6)
                 q, v = some[q], nodes[v]
                 ok = (np.einsum("ij,ij->i", x[q], x[v]) / (norm[q] * norm[v]) >= similarity) & (q != v)
                 q, v = q[ok], v[ok]
@@ -357,11 +363,23 @@ def _within(counts: np.ndarray) -> np.ndarray:
     return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
+def recalled(have: np.ndarray, true: np.ndarray) -> float:
+    """The lesser of the share of links found and the mean share of a query with links; 0 if no query has links."""
+    some = true > 0
+    have, true = np.minimum(have, true)[some], true[some]
+    return float(min(have.sum() / true.sum(), (have / true).mean())) if len(true) else 0.0
+
+
 def _audit(classes: DataFrame, found: DataFrame, similarity: float) -> float:
-    """Share of the links of a bounded sample of classes that was found, against brute force over all classes."""
-    n = max(1, classes.count())
-    sample = classes.where(F.pmod(F.xxhash64("rep", F.lit(11)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, AUDIT_ROWS / n)))
-    rows = sample.join(found, "rep", "left").select("label", "d", "rep", F.coalesce("n", F.lit(0)).alias("n"), "v").toPandas()
+    """Recall of bounded samples of classes, random ones and ones known to have links, against brute force over all classes."""
+    n, linked = classes.count(), found.count()
+    if not n:
+        return 1.0
+    all_ = 1 << 20
+    dealt = lambda salt, of: F.pmod(F.xxhash64("rep", F.lit(salt)), F.lit(all_)) < int(all_ * min(1.0, AUDIT_ROWS / max(1, of)))
+    known = F.col("n").isNotNull() & dealt(13, linked)
+    sample = classes.join(found, "rep", "left").where(dealt(11, n) | known)
+    rows = sample.select("label", "d", "rep", F.coalesce("n", F.lit(0)).alias("n"), "v").toPandas()
     queries = {}
     for (label, d), r in rows.groupby(["label", "d"]):
         queries[label, d] = (r.rep.to_numpy(), _unit(np.stack(r.v.to_numpy()).astype(np.float64)))
@@ -379,9 +397,7 @@ def _audit(classes: DataFrame, found: DataFrame, similarity: float) -> float:
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.int64()), pa.array([int(k) for _, k in out], pa.int64())], names=["rep", "true"])
 
     want = classes.mapInArrow(run, "rep long, true long").groupBy("rep").agg(F.sum("true").alias("true")).toPandas().set_index("rep").true
-    have = rows.set_index("rep").n
-    total = int(want.sum())
-    return 1.0 if not total else float(np.minimum(have.reindex(want.index).fillna(0), want).sum() / total)
+    return recalled(rows.set_index("rep").n.reindex(want.index).fillna(0).to_numpy(), want.to_numpy())
 
 
 def near_duplicates(df: DataFrame, similarity: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
@@ -395,14 +411,14 @@ def near_duplicates(df: DataFrame, similarity: float = 0.93, key: str = "vec_id"
     valid = rows.where("v IS NOT NULL AND id IS NOT NULL")
     classes = valid.groupBy("label", F.size("v").alias("d"), "v").agg(F.min("id").alias("rep"), F.count("*").alias("w")).select("label", "d", "rep", "w", "v").checkpoint()
     placed = _regions(classes, similarity).groupBy("label", "d", "region", "part", "slice")
-    beam = BEAM
-    for attempt in range(3):
+    beam: int | None = BEAM
+    while True:
         near = placed.applyInArrow(_region(similarity, beam), "rep long, n long, root long").checkpoint()
         found = near.groupBy("rep").agg(F.sum("n").alias("n"))
-        recall = _audit(classes, found, similarity)
+        recall = _audit(classes, found, similarity) if beam else 1.0  # a scan finds every link
         if recall >= WANTED:
             break
-        beam = 2 * beam
+        beam = 2 * BEAM if beam == BEAM and recall else None
     comp = components(near.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     of_class = classes.join(found, "rep", "left").join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left")
     of_class = of_class.select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))

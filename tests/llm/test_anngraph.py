@@ -117,3 +117,31 @@ def test_bounds_lose_no_pair():
     home, may = anngraph.reachable(x, c, narrow, wide, 0.93)
     a, b = np.nonzero(true_links(x))
     assert (home == own).all() and may[a, own[b]].all() and not may.all()
+
+
+def test_gives_up_on_no_graph(spark, monkeypatch):
+    """A graph that finds nothing is replaced by a scan, whatever the audit's sample holds."""
+    monkeypatch.setattr(anngraph, "REGION", 40)
+    monkeypatch.setattr(anngraph, "_region", _with_broken_graph(anngraph._region))
+    rows = made()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4)
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in anngraph.digest(df).collect()} == plain(rows)
+
+
+def _with_broken_graph(region):
+    def made_(similarity, beam):
+        run = region(similarity, beam)
+
+        def broken(t):
+            out = run(t)
+            return out.slice(0, 0) if beam else out
+
+        return broken
+
+    return made_
+
+
+def test_audit_counts_queries_and_links():
+    assert anngraph.recalled(np.array([1000, 0]), np.array([1000, 1])) == 0.5
+    assert anngraph.recalled(np.array([500, 1, 1]), np.array([1000, 1, 1])) < 0.51
+    assert anngraph.recalled(np.array([0, 0]), np.array([0, 0])) == 0.0
