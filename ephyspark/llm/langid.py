@@ -1,7 +1,7 @@
 """Language identification by bit-sliced Bloom filters of n-grams (operator 9).
 
-One table of bit masks serves as a Bloom filter for every language at once: a slot's bit l belongs to language l. The
-masks at an n-gram's three slots, ANDed, are all the languages that contain it. Per language the n-grams of a text that
+One table of bit masks serves as a Bloom filter for every language at once: a slot's bit l belongs to language l; beyond 64
+languages, a slot has as many words of 64 bits as they need. The masks at an n-gram's three slots, ANDed, are all the languages that contain it. Per language the n-grams of a text that
 have its bit are counted, the count is corrected for the false positives that the language's share of set bits implies,
 and the largest corrected share decides.
 
@@ -36,6 +36,8 @@ SHARE = 0.2
 #: Shares below this reject a document in a filtering stage.
 REJECT_BELOW = 0.3
 ORDERS, SLOTS = (3, 4), 3
+#: An n-gram's key is below 2 ** GRAM_BITS; a language's number stands above it.
+GRAM_BITS = 44
 
 
 def _letters() -> np.ndarray:
@@ -84,24 +86,24 @@ def _slots(keys: np.ndarray, size: int) -> list[np.ndarray]:
 
 def build(languages: list[str], grams: list[np.ndarray]) -> Model:
     """The shared table: at least eight slots for each n-gram of the largest filter, a power of two."""
-    most = max([1, *(len(g) for g in grams)])
+    most, n = max([1, *(len(g) for g in grams)]), len(languages)
     size = 1 << min(20, max(12, int(np.ceil(np.log2(8 * most)))))
-    kind = next(k for k, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(languages) <= n)
-    table = np.zeros(size, dtype=kind)
+    kind = next((k for k, bits in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32)) if n <= bits), np.uint64)
+    table = np.zeros((size, max(1, -(-n // 64))), dtype=kind)
     for l, g in enumerate(grams):
         for s in _slots(g, size):
-            table[s] |= kind(1 << l)
-    filled = np.array([np.mean((table >> kind(l)) & kind(1)) for l in range(len(languages))])
+            table[s, l // 64] |= kind(1 << l % 64)
+    filled = np.array([np.mean((table[:, l // 64] >> kind(l % 64)) & kind(1)) for l in range(n)])
     return Model(languages, table, filled**SLOTS)
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Learns from rows whose language isn't null; at most 64 languages, the most frequent ones."""
+    """Learns from rows whose language isn't null, all their languages."""
     ship(labelled.sparkSession)
     rows = labelled.where(F.col(lang).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t"))
-    found = sorted(rows.groupBy("l").count().collect(), key=lambda r: (-r["count"], r.l))[:64]
+    found = sorted(rows.groupBy("l").count().collect(), key=lambda r: (-r["count"], r.l))
     if not found:
-        return Model([], np.zeros(1, dtype=np.uint8), np.zeros(0))
+        return Model([], np.zeros((1, 1), dtype=np.uint8), np.zeros(0))
     languages = [r.l for r in found]
     scale = 1 << 30
     limit = F.create_map(*[x for r in found for x in (F.lit(r.l), F.lit(int(scale * min(1.0, sample_rows / r["count"]))))])
@@ -114,22 +116,23 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
                 l = part.column("l").to_numpy(zero_copy_only=False).astype(np.uint64)
                 for keys, good, first in ngrams(part.column("t")):
                     spread = np.repeat(l, np.diff(np.append(first, len(keys))))
-                    u, n = np.unique((keys | spread << np.uint64(48))[good], return_counts=True)
+                    u, n = np.unique((keys | spread << np.uint64(GRAM_BITS))[good], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], names=["g", "n"])
 
     counts = sample.mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
-    counts = counts.select((F.col("g") % (1 << 48)).alias("g"), F.floor(F.col("g") / (1 << 48)).cast("int").alias("l"), "n")
+    counts = counts.select((F.col("g") % (1 << GRAM_BITS)).alias("g"), F.shiftright("g", GRAM_BITS).cast("int").alias("l"), "n")
     share = counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("l")))
     kept = share.withColumn("best", F.max("p").over(Window.partitionBy("g"))).where((F.col("p") >= SHARE * F.col("best")) & (F.col("n") > 1))
     top = kept.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "g"))).where(F.col("r") <= TOP)
     got = top.select("l", "g").toPandas()
-    return build(languages, [got.g[got.l == i].to_numpy().astype(np.uint64) for i in range(len(languages))])
+    of = {l: g.to_numpy().astype(np.uint64) for l, g in got.groupby("l").g}
+    return build(languages, [of.get(i, np.zeros(0, dtype=np.uint64)) for i in range(len(languages))])
 
 
 def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds lang_pred and score, the share of the text's n-grams that the language contains."""
     df = df.drop("lang_pred", "score", "letters_")
-    shared = share(df, model)  # at most 8 MB
+    shared = share(df, model)  # at most 8 MB for each 64 languages
     own = df.columns
     schema = StructType([*df.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
@@ -155,19 +158,24 @@ def _best(m: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     rows, n = len(column), len(m.languages)
     if not n:
         return np.zeros(rows, dtype=np.int64), np.zeros(rows)
-    hits, total = np.zeros((n, rows)), np.zeros(rows)
-    kind = m.table.dtype.type
+    places, total = [], np.zeros(rows)
     for keys, good, first in ngrams(column):
-        a, b, c = _slots(keys, len(m.table))
-        mask = m.table[a] & m.table[b] & m.table[c]
-        mask[~good] = 0
+        places.append((_slots(keys, len(m.table)), good, first))
         total += np.add.reduceat(good, first, dtype=np.int64)
-        for l in range(n):
-            hits[l] += np.add.reduceat((mask >> kind(l)) & kind(1), first, dtype=np.int64)
-    false = m.false_rate[:, None]
-    share = np.clip((hits / np.maximum(total, 1) - false) / (1 - false), 0, 1)
-    best = np.argmax(share, axis=0)
-    return best, share[best, np.arange(rows)]
+    kind = m.table.dtype.type
+    best, top = np.zeros(rows, dtype=np.int64), np.full(rows, -1.0)
+    for word in range(m.table.shape[1]):
+        table, masks = np.ascontiguousarray(m.table[:, word]), []
+        for (a, b, c), good, first in places:
+            mask = table[a] & table[b] & table[c]
+            mask[~good] = 0
+            masks.append((mask, first))
+        for l in range(64 * word, min(n, 64 * word + 64)):
+            hits = sum(np.add.reduceat((mask >> kind(l % 64)) & kind(1), first, dtype=np.int64) for mask, first in masks)
+            share = np.clip((hits / np.maximum(total, 1) - m.false_rate[l]) / (1 - m.false_rate[l]), 0, 1)
+            better = share > top
+            best[better], top[better] = l, share[better]
+    return best, top
 
 
 def held_out(key: Column, fold: int) -> Column:

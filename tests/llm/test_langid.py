@@ -51,3 +51,17 @@ def test_awkward_rows(spark):
     none = df.withColumn("lang", df.lang.substr(9, 1)).replace("", None, "lang")
     assert {r.lang_pred for r in langid.digest(none).collect()} == {"und"}
     assert langid.digest(df.limit(0)).count() == 0
+
+
+def test_more_languages_than_a_word_has_bits(spark):
+    """150 languages of their own letters each; the rarest are learned as well as the first."""
+    r = np.random.default_rng(4)
+    alphabets = [[chr(0x4E00 + 40 * l + k) for k in range(40)] for l in range(150)]
+    text = lambda l: "".join(alphabets[l][k] for k in r.integers(0, 8, 60))
+    rows = [(100_000 * l + i, text(l), f"l{l:03d}") for l in range(150) for i in range(12 if l < 75 else 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    assert len(model.languages) == 150 and model.table.shape[1] == 3
+    new = spark.createDataFrame([(l, text(l)) for l in range(150)], "l int, text string")
+    got = langid.predict(new, model).collect()
+    assert all(r.lang_pred == f"l{r.l:03d}" and r.score > langid.REJECT_BELOW for r in got)
