@@ -44,9 +44,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 @_keeps_columns
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the least doc_id; null ids stay."""
-    kept = minhash.near_duplicates(docs, SIMILARITY, SHINGLE_WORDS).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    """One document of each group of near duplicates stays, the one with the least doc_id; null ids come last.
+
+    Each row is judged by its own text, whatever its id; rows with equal doc_id and text are one document.
+    """
+    keyed = docs.withColumn("key_", F.xxhash64("doc_id", "text"))
+    judged = minhash.near_duplicates(keyed, SIMILARITY, SHINGLE_WORDS, key="key_").select("key_", "component_id").distinct()
+    ids = keyed.select("key_", "doc_id").distinct()
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key_")).alias("least")
+    kept = judged.join(ids, "key_").groupBy("component_id").agg(least).select("least.key_")
+    return keyed.dropDuplicates(["key_"]).join(kept, "key_", "left_semi").drop("key_")
 
 
 @_keeps_columns

@@ -84,3 +84,13 @@ def test_awkward_rows(spark):
         assert out.columns == docs.columns, name
         out.collect()
         stage(spark, docs.limit(0), SF).collect()
+
+
+def test_near_duplicates_by_text_not_id(spark):
+    """A repeated doc_id with other texts loses none; copies without an id are one, and yield to one with an id."""
+    text = lambda w, n=40: " ".join(f"{w}{k}" for k in range(n))
+    rows = [(1, text("a")), (1, text("b")), (1, text("b")), (2, text("a") + " more"), (None, text("c")), (None, text("c")), (None, text("d")), (9, text("d")), (None, text("e")), (None, text("f")), (7, None), (7, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()]
+    want = [(1, text("a")), (1, text("b")), (None, text("c")), (9, text("d")), (None, text("e")), (None, text("f")), (7, None)]
+    assert sorted(got, key=str) == sorted(want, key=str)
