@@ -4,7 +4,8 @@ Equal texts form groups that stay together. A group's place in the order is the
 all groups with the same leading bits form one atomic unit, so the number of units is bounded by `2 ** UNIT_BITS`
 whatever the input's size, and a unit of ordinary texts is a small fraction of a shard. The driver gets one row per unit
 (its bytes and rows), binary-searches the smallest capacity at which a greedy walk over the ordered units needs no more
-than the wanted shards, and cuts there.
+than the wanted shards, and cuts there. Where that leaves shards over (a hot unit sets the capacity), the largest shards
+are halved until all are used; none grows.
 
 Slots are numbered in two steps, so that no task has to sort a shard or a hot group: rows are counted per unit and cell
 of doc_id, running sums of those counts give each cell its first slot, and rows are numbered inside their cell. Texts are
@@ -16,6 +17,10 @@ ordered by doc_id, size and checksum; an empty table gives no rows; with fewer u
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from heapq import heapify, heappop, heappush
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,7 +54,27 @@ def minimax_cuts(sizes: list[int], shards: int) -> list[int]:
             high = middle
         else:
             low = middle + 1
-    return greedy(sizes, low)
+    return spread(sizes, low, shards)
+
+
+def spread(sizes: list[int], capacity: int, shards: int) -> list[int]:
+    """As many shards as there are units, up to `shards`, none above the capacity, which greedy() meets.
+
+    While shards are left, the largest shard of several units is cut where its larger half is least.
+    """
+    cuts = greedy(sizes, capacity)
+    so_far = [0, *accumulate(sizes)]
+    heap = [(so_far[a] - so_far[b], a, b) for a, b in zip(cuts, [*cuts[1:], len(sizes)], strict=True) if b - a > 1]
+    heapify(heap)
+    while len(cuts) < shards and heap:
+        _, a, b = heappop(heap)
+        middle = bisect_left(so_far, (so_far[a] + so_far[b]) / 2, a + 1, b - 1)
+        cut = min((c for c in (middle - 1, middle) if a < c < b), key=lambda c: max(so_far[c] - so_far[a], so_far[b] - so_far[c]))
+        cuts.append(cut)
+        for x, y in ((a, cut), (cut, b)):
+            if y - x > 1:
+                heappush(heap, (so_far[x] - so_far[y], x, y))
+    return sorted(cuts)
 
 
 def assign(df: DataFrame, shards: int, text: str = "text", key: str = "doc_id", overhead: int = 16) -> DataFrame:

@@ -33,6 +33,17 @@ def test_minimax():
     assert sharding.minimax_cuts([], 3) == []
 
 
+def test_hot_unit_leaves_no_shard_empty():
+    r = random.Random(3)
+    sizes = [r.randrange(50, 150) for _ in range(3000)]
+    sizes[1700] = sum(sizes) // 2  # a third of all bytes
+    cuts = sharding.minimax_cuts(sizes, 40)
+    loads = [sum(sizes[a:b]) for a, b in zip(cuts, [*cuts[1:], len(sizes)], strict=True)]
+    assert cuts[0] == 0 and cuts == sorted(set(cuts)) and len(cuts) == 40
+    assert max(loads) <= sizes[1700] and sorted(loads)[-2] <= 2.1 * (sum(sizes) - sizes[1700]) / 39
+    assert len(sharding.minimax_cuts([5, 900, 5], 40)) == 3
+
+
 @pytest.mark.parametrize("rows", ["table", "awkward", "empty"])
 def test_shards(spark, rows):
     if rows == "table":
