@@ -37,6 +37,18 @@ def test_other_layouts():
     assert words / true > 0.97 and words / kept > 0.97 and same > 100
 
 
+def test_held_out_recall():
+    """The figure that the README states."""
+    model, r = htmltext.model(), random.Random(4711)
+    words = true = 0
+    for _ in range(1500):
+        page = htmltext.Page(htmltext.synthetic_page(r))
+        want = set(htmltext.render(page, htmltext.labelled(page).astype(bool)).split())
+        got = set(htmltext.render(page, htmltext.decode(page, model.log_odds(htmltext.features(page)))).split())
+        words, true = words + len(want & got), true + len(want)
+    assert words / true > 0.997
+
+
 @pytest.mark.parametrize(
     ("source", "text"),
     [
