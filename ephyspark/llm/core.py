@@ -1,12 +1,14 @@
 """What the operators of this subpackage share: plan sizing, Arrow slicing and vectorised word hashing.
 
 Word hashing works on the bytes of many texts at once. A byte table says which bytes belong to words, so that each
-operator can keep its own definition of a word. A word's 64-bit hash is a polynomial over a random value per byte,
-taken from one running sum over the whole buffer, so the cost is a few numpy operations per byte.
+operator can keep its own definition of a word. A word's 64-bit hash goes through its blocks of eight bytes and mixes after
+each; a run of words is hashed as a tree of halves that is mixed at each join. Neither is linear in its input, so no two
+words collide by construction, only by chance (one pair in 2**64).
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -18,13 +20,14 @@ from pyspark.sql import functions as F
 from ..session import ship
 
 U64 = np.uint64
-#: Odd multipliers of the polynomials over bytes and over words.
-BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
+#: Odd multipliers that keep the two halves of a run apart.
+LEFT, RIGHT = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
+#: Words of more bytes are hashed one by one with BLAKE2.
+LONG_WORD = 256
 #: Text bytes that one numpy pass handles; a longer text is a pass of its own.
 PASS_BYTES = 1 << 20
-_random = np.random.default_rng(20240229)
-_BYTE_VALUE = _random.integers(1, 2**63, 256, dtype=U64) | U64(1)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: The mask of the first n bytes of a block.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=U64)
 
 
 def lower_table() -> np.ndarray:
@@ -58,23 +61,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i below n at least."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        n = max(n, 1 << 16)
-        up, down = np.full(n, base, dtype=U64), np.full(n, pow(base, -1, 1 << 64), dtype=U64)
-        up[0] = down[0] = 1
-        have = _powers[base] = (np.multiply.accumulate(up), np.multiply.accumulate(down))
-    return have
+def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
+    """Entry i is the hash of h[i:i + width]; equal runs have equal hashes wherever they stand."""
+    n = len(h) - width + 1
+    if n <= 0:
+        return np.zeros(0, dtype=U64)
+    run, size, out, have, left = h, 1, None, 0, width
+    while True:
+        if left & 1:
+            out, have = (run[:n], size) if out is None else (_joined(out, run[have : have + n]), have + size)
+        left >>= 1
+        if not left:
+            return mix(out + U64(width))
+        run, size = _joined(run[:-size], run[size:]), 2 * size
 
 
-def run_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """A mixed hash of values[s:e] for each pair of starts and ends; equal runs have equal hashes wherever they stand."""
-    up, down = powers(base, len(values) + 1)
-    total = np.zeros(len(values) + 1, dtype=U64)
-    np.cumsum(values * up[: len(values)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0x632BE59BD9B4E019))
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a * LEFT + b * RIGHT)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +128,21 @@ def words(data: np.ndarray, off: np.ndarray, is_word: np.ndarray) -> tuple[np.nd
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return run_hash(_BYTE_VALUE[data], starts, ends, BYTE_BASE)
+    size = ends - starts
+    h = mix(size.astype(U64) * LEFT + RIGHT)
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    block = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+    h = mix(h ^ block[starts] & _FIRST[np.minimum(size, 8)])
+    live = np.flatnonzero((size > 8) & (size <= LONG_WORD))
+    at = 8
+    while len(live):
+        h[live] = mix(h[live] ^ block[starts[live] + at] & _FIRST[np.minimum(size[live] - at, 8)])
+        at += 8
+        live = live[size[live] > at]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def input_bytes(df: DataFrame, text: str) -> int:
@@ -149,15 +166,18 @@ def share(df: DataFrame, value):
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; one of our own only where none is set.
+    """The shared folder that the cluster names in spark.checkpoint.dir.
 
-    Also makes the package known to the tasks.
+    Where none is set, a local master (one machine, as in tests) gets a temporary folder and any other is an error, as its
+    executors would not find each other's files. Also makes the package known to the tasks.
     """
     ship(spark)
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             import tempfile
 
             named = tempfile.mkdtemp(prefix="checkpoint-")

@@ -4,14 +4,16 @@ A window is `width` consecutive words of a benchmark item (the whole item where
 shingles of up to three words; shingles are ordered by how often they occur in all documents, and as a window must be
 contained whole, its prefix is the single rarest shingle. Where that shingle occurs in a document, the positional bound
 gives the only place at which the window can start, the length bound rejects places too near the document's ends, and
-the hash of exactly those words is compared with the window's.
+the 64-bit hash of exactly those words is compared with the window's.
 
 The benchmark goes to the executors in blocks of at most BLOCK_BYTES of text, which bounds every broadcast; each further
-block is one more pass that merges its hits into those found before. Documents are never shuffled.
+block is one more pass that merges its hits into those found before. A block's windows are a few numpy arrays, some dozens of
+bytes for each word. Documents are never shuffled.
 
 Defined results: null and empty texts have no words and no hits; null and empty items have no windows; items with equal
-ids count once; repeated rows are judged alike; other columns pass through, and a
-column with the name of a new one is replaced.
+ids count once; an item without an id hits words but is in no list of items; repeated rows are judged alike; a very long
+text is one pass of its own and as large as a row may be; an empty table gives an empty table; other columns pass through,
+and a column with the name of a new one is replaced.
 """
 
 from __future__ import annotations
@@ -25,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .core import WORD_BASE, alnum_table, lower_table, passes, run_hash, share, text_bytes, word_hashes, words
+from .core import alnum_table, lower_table, passes, share, text_bytes, window_hashes, word_hashes, words
 
 #: Words of a shingle, and bytes of benchmark text that one pass over the documents handles.
-SHINGLE, BLOCK_BYTES = 3, 16 << 20
+SHINGLE, BLOCK_BYTES = 3, 8 << 20
 _LOWER, _WORD = lower_table(), alnum_table()
 _BITS = 20
 
@@ -53,7 +55,7 @@ def shingles(t: Tokens, length: int) -> tuple[np.ndarray, np.ndarray]:
     if n <= 0:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
     at = np.flatnonzero(t.document[:n] == t.document[length - 1 :])
-    return at, run_hash(t.hashes, at, at + length, WORD_BASE)
+    return at, window_hashes(t.hashes, length)[at]
 
 
 class Lookup:
@@ -76,46 +78,56 @@ class Lookup:
 
 @dataclass
 class Windows:
-    """Distinct windows of a block of items, and the items of each in compressed rows."""
+    """Distinct windows of a block of items: hash, words, and the items of each in compressed rows."""
 
     hash: np.ndarray
     length: np.ndarray
-    shingle: list[list[int]]
     item_off: np.ndarray
     items: np.ndarray
     names: list[str]
 
 
-def windows_of(ids: list, texts: list[str], width: int) -> Windows:
+def windows_of(ids: list[str | None], texts: list[str], width: int) -> tuple[Windows, Tokens, np.ndarray]:
+    """The windows, the block's words, and where among them each window begins (at one of its places)."""
     t = tokens(pa.array(texts, pa.large_string()))
-    names = sorted({str(i) for i in ids})
+    names = sorted({i for i in ids if i is not None})
     number = {x: k for k, x in enumerate(names)}
-    owners: dict[tuple[int, int], set[int]] = {}
-    inside: dict[tuple[int, int], list[int]] = {}
-    for i, item in enumerate(ids):
-        a, b = int(t.first[i]), int(t.first[i + 1])
-        n = min(width, b - a)
-        if n <= 0:
-            continue
-        q = min(SHINGLE, n)
-        s, at = np.arange(a, b - q + 1), np.arange(a, b - n + 1)
-        sh, wh = run_hash(t.hashes, s, s + q, WORD_BASE).tolist(), run_hash(t.hashes, at, at + n, WORD_BASE).tolist()
-        for k, w in enumerate(wh):
-            owners.setdefault((w, n), set()).add(number[str(item)])
-            inside.setdefault((w, n), sh[k : k + n - q + 1])
-    keys = list(owners)
-    off = np.zeros(len(keys) + 1, dtype=np.int64)
-    np.cumsum([len(owners[k]) for k in keys], out=off[1:])
-    flat = np.array([x for k in keys for x in sorted(owners[k])], dtype=np.int64)
-    return Windows(np.array([k[0] for k in keys], dtype=np.uint64), np.array([k[1] for k in keys], dtype=np.int64), [inside[k] for k in keys], off, flat, names)
+    item = np.array([-1 if i is None else number[i] for i in ids], dtype=np.int64)
+    size = np.diff(t.first)
+    least = np.minimum(size, width)
+    at, text = expand(t.first[:-1], t.first[1:] - least + (size > 0))
+    n, h = least[text], np.zeros(len(at), dtype=np.uint64)
+    for k in np.unique(n).tolist():
+        own = n == k
+        h[own] = window_hashes(t.hashes, k)[at[own]]
+    order = np.lexsort((item[text], h, n))
+    at, n, h, item = at[order], n[order], h[order], item[text][order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (n[1:] != n[:-1])
+    once = item >= 0
+    once[1:] &= new[1:] | (item[1:] != item[:-1])
+    first = np.flatnonzero(new)
+    counts = np.bincount((np.cumsum(new) - 1)[once], minlength=len(first))
+    return Windows(h[first], n[first], np.concatenate([[0], np.cumsum(counts)]), item[once], names), t, at[first]
 
 
 def _shingle_lengths(w: Windows) -> np.ndarray:
     return np.minimum(w.length, SHINGLE)
 
 
-def count_shingles(df: DataFrame, text: str, keys: dict[int, np.ndarray]) -> dict[int, int]:
-    """How often each given shingle occurs in all documents; keys by shingle length."""
+def shingle_keys(w: Windows, t: Tokens, at: np.ndarray) -> dict[int, np.ndarray]:
+    """The distinct shingles of all windows by their length."""
+    out = {}
+    q_of = _shingle_lengths(w)
+    for q in np.unique(q_of).tolist():
+        own = q_of == q
+        places, _ = expand(at[own], at[own] + w.length[own] - q + 1)
+        out[q] = np.unique(window_hashes(t.hashes, q)[places])
+    return out
+
+
+def count_shingles(df: DataFrame, text: str, keys: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """How often each given shingle occurs in all documents, beside the keys."""
     shared = share(df, keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,10 +141,14 @@ def count_shingles(df: DataFrame, text: str, keys: dict[int, np.ndarray]) -> dic
                     counts[q] += np.bincount(k, minlength=len(counts[q]))
         for q, c in counts.items():
             some = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array(shared.value[q][some].view(np.int64)), pa.array(c[some])], names=["s", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), q, dtype=np.int32)), pa.array(some), pa.array(c[some])], names=["q", "k", "n"])
 
-    rows = df.select(text).mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).collect()
-    return {r.s & (2**64 - 1): r.n for r in rows}
+    got = df.select(text).mapInArrow(run, "q int, k long, n long").groupBy("q", "k").agg(F.sum("n").alias("n")).toArrow()
+    q, k, n = (got.column(c).to_numpy() for c in ("q", "k", "n"))
+    out = {length: np.zeros(len(x), dtype=np.int64) for length, x in keys.items()}
+    for length, c in out.items():
+        c[k[q == length]] = n[q == length]
+    return out
 
 
 @dataclass
@@ -143,22 +159,24 @@ class Index:
     parts: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
 
-def build_index(w: Windows, counts: dict[int, int]) -> Index:
+def build_index(w: Windows, t: Tokens, at: np.ndarray, keys: dict[int, np.ndarray], counts: dict[int, np.ndarray]) -> Index:
     parts = []
     q_of = _shingle_lengths(w)
-    for q in np.unique(q_of):
+    for q, known in keys.items():
         own = np.flatnonzero(q_of == q)
-        rare, offset = [], []
-        for k in own:
-            s = w.shingle[k]
-            o = min(range(len(s)), key=lambda i: (counts.get(s[i], 0), s[i]))
-            rare.append(s[o])
-            offset.append(o)
-        rare, offset = np.array(rare, dtype=np.uint64), np.array(offset, dtype=np.int64)
+        sh = window_hashes(t.hashes, q)
+        rare, least, offset = np.zeros(len(own), dtype=np.int64), np.full(len(own), np.iinfo(np.int64).max), np.zeros(len(own), dtype=np.int64)
+        for o in range(int(w.length[own].max()) - q + 1):
+            inside = np.flatnonzero(w.length[own] >= q + o)
+            k = np.searchsorted(known, sh[at[own[inside]] + o])
+            c = counts[q][k]
+            better = (c < least[inside]) | (c == least[inside]) & (k < rare[inside])
+            i = inside[better]
+            rare[i], least[i], offset[i] = k[better], c[better], o
         order = np.argsort(rare, kind="stable")
-        keys, start = np.unique(rare[order], return_index=True)
-        parts.append((int(q), keys, np.append(start, len(order)), own[order], offset[order]))
-    return Index(Windows(w.hash, w.length, [], w.item_off, w.items, w.names), parts)
+        used, start = np.unique(rare[order], return_index=True)
+        parts.append((q, known[used], np.append(start, len(order)), own[order], offset[order]))
+    return Index(w, parts)
 
 
 def expand(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -180,11 +198,13 @@ def find(t: Tokens, index: Index, lookups: list[Lookup]) -> tuple[np.ndarray, np
         e = s + w.length[win]
         doc = t.document[at[i][which]]
         fits = (s >= t.first[doc]) & (e <= t.first[doc + 1])
-        s, e, win = s[fits], e[fits], win[fits]
+        s, win = s[fits], win[fits]
         if len(s):
-            same = run_hash(t.hashes, s, e, WORD_BASE) == w.hash[win]
-            starts.append(s[same])
-            found.append(win[same])
+            for n in np.unique(w.length[win]).tolist():
+                own = np.flatnonzero(w.length[win] == n)
+                same = own[window_hashes(t.hashes, n)[s[own]] == w.hash[win[own]]]
+                starts.append(s[same])
+                found.append(win[same])
     none = np.zeros(0, dtype=np.int64)
     return np.concatenate([none, *starts]), np.concatenate([none, *found])
 
@@ -203,20 +223,19 @@ def mark(df: DataFrame, benchmark: DataFrame, text: str = "text", width: int = 1
     """Adds n_words, hit_spans (maximal runs of hit words, end exclusive) and items (ids as strings, sorted)."""
     out = source = df.drop(*NEW.names)
     for ids, texts in _blocks(benchmark.select(F.col(item_id).cast("string"), F.coalesce(item_text, F.lit("")))):
-        w = windows_of(ids, texts, width)
-        q_of = _shingle_lengths(w)
-        keys = {int(q): np.unique(np.array([s for k in np.flatnonzero(q_of == q) for s in w.shingle[k]], dtype=np.uint64)) for q in np.unique(q_of)}
-        out = _scan(out, text, build_index(w, count_shingles(source, text, keys)))
+        w, t, at = windows_of(ids, texts, width)
+        keys = shingle_keys(w, t, at)
+        out = _scan(out, text, build_index(w, t, at, keys, count_shingles(source, text, keys)))
     return out
 
 
-def _blocks(items: DataFrame) -> Iterator[tuple[list[str], list[str]]]:
+def _blocks(items: DataFrame) -> Iterator[tuple[list[str | None], list[str]]]:
     ids, texts, size, any_yet = [], [], 0, False
     for i, x in items.toLocalIterator():
         if texts and size + len(x.encode()) > BLOCK_BYTES:
             yield ids, texts
             ids, texts, size, any_yet = [], [], 0, True
-        ids.append(str(i))
+        ids.append(i)
         texts.append(x)
         size += len(x.encode())
     if texts or not any_yet:
@@ -248,7 +267,7 @@ def _marked(part: pa.RecordBatch, text: str, index: Index, lookups: list[Lookup]
     np.add.at(step, start + w.length[win], -1)
     doc = t.document[start]
     j, which = expand(w.item_off[win], w.item_off[win + 1])
-    pairs = np.unique(doc[which] * max(1, len(w.names)) + w.items[j])
+    pairs = np.unique(doc[which] * max(1, len(w.names)) + w.items[j])  # windows of items without an id have none
     items: list[list[str]] = [[] for _ in range(part.num_rows)]
     for p in pairs.tolist():
         items[p // len(w.names)].append(w.names[p % len(w.names)])

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .anngraph import Forest
 from .components import components
-from .core import WORD_BASE, ensure_checkpoint_dir, lower_table, mix, non_space_table, passes, run_hash, share, text_bytes, word_hashes, words
+from .core import ensure_checkpoint_dir, lower_table, mix, non_space_table, passes, share, text_bytes, window_hashes, word_hashes, words
 
 COORDINATES = 48
 #: Members of a list or group that are compared at once with as many others.
@@ -52,21 +52,18 @@ def shingle_sets(column: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray]
     data = _LOWER[data]
     starts, ends, first = words(data, off, _WORD)
     h = word_hashes(data, starts, ends)
-    sets = []
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        if b > a:
-            n = min(length, b - a)
-            s = np.arange(a, b - n + 1)
-            sets.append((s, n))
-        else:
-            sets.append((np.zeros(0, dtype=np.int64), 1))
-    s = np.concatenate([np.zeros(0, dtype=np.int64), *(x for x, _ in sets)])
-    n = np.repeat(np.array([k for _, k in sets], dtype=np.int64), [len(x) for x, _ in sets])
-    all_h = run_hash(h, s, s + n, WORD_BASE)
-    cuts = np.concatenate([[0], np.cumsum([len(x) for x, _ in sets])]).astype(np.int64)
-    out = [np.unique(all_h[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-    bounds = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int64)
-    return np.concatenate([np.zeros(0, dtype=np.uint64), *out]), bounds
+    size = np.diff(first)
+    of = np.minimum(size, length)
+    counts = np.where(size > 0, size - of + 1, 0)
+    bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+    text = np.repeat(np.arange(len(size)), counts)
+    at = np.arange(int(bounds[-1])) - np.repeat(bounds[:-1] - first[:-1], counts)
+    all_h = np.zeros(len(at), dtype=np.uint64)
+    for k in np.unique(of[size > 0]).tolist():
+        own = of[text] == k
+        all_h[own] = window_hashes(h, k)[at[own]]
+    out = [np.unique(all_h[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    return np.concatenate([np.zeros(0, dtype=np.uint64), *out]), np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int64)
 
 
 def signatures(df: DataFrame, text: str, key: str, length: int) -> DataFrame:

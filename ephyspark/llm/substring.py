@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .core import WORD_BASE, non_space_table, passes, renamed, run_hash, text_bytes, word_hashes, words
+from .core import non_space_table, passes, renamed, text_bytes, window_hashes, word_hashes, words
 from .core import mix as mixed
 from .groups import binary_slices, deal, flat_binary, runs
 
@@ -42,7 +42,6 @@ GROUP_BYTES = 5 << 19
 #: Cells of a sketch's block at least, and blocks of a row of the sketch at most.
 BLOCK, BLOCKS = 1 << 16, 1 << 11
 _WORD = non_space_table()
-GRAM_BASE = 0xD6E8FEB86659FD93
 
 
 class Group:
@@ -65,11 +64,10 @@ class Group:
         at = np.flatnonzero(document[:n] == document[width - 1 :]) if n > 0 else np.zeros(0, dtype=np.int64)
         self.at = at
         self.row = document[at]
-        self.hash = run_hash(h, at, at + width, WORD_BASE)
+        self.hash = window_hashes(h, width)[at]
         self.minimizer = np.zeros(0, dtype=np.uint64)
         if len(at):
-            s = np.arange(len(h) - GRAM + 1)
-            least, reach, want = run_hash(h, s, s + GRAM, GRAM_BASE), 1, width - GRAM + 1
+            least, reach, want = window_hashes(h, GRAM), 1, width - GRAM + 1
             while reach < want:
                 step = min(reach, want - reach)
                 least = np.minimum(least[: len(least) - step], least[step:])
