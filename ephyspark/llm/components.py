@@ -1,16 +1,24 @@
 """Connected components of a table of links, by alternating large and small stars.
 
-Each round is two groupings by key; the number of rounds grows with the logarithm of the largest component. Links are cut
-from their lineage with checkpoint() after each round, so a lost executor costs one round at most. A node with very many
-links is one side of a join with a single row, which adaptive execution splits.
+Each round joins every link twice with a least neighbour; the number of rounds grows with the logarithm of the largest
+component. Links are cut from their lineage with checkpoint() after each round, so a lost executor costs one round at
+most. The least neighbours are partial minima before they are shuffled, and a node with very many links is one side of
+a join with a single row, which adaptive execution splits.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import ensure_checkpoint_dir
+from .core import ensure_checkpoint_dir, mix
+
+#: Digests add up modulo this power of two.
+_WRAP = 1 << 62
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -28,19 +36,29 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _state(e: DataFrame) -> tuple:
-    """Count and order-free digests of the links."""
-    row = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007), F.sum(F.xxhash64("v", "u") % 998_244_353)).first()
-    return tuple(row)
+    """Count and order-free digests of the links; a row of three numbers for each partition comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, x, y = 0, 0, 0
+        for b in batches:
+            u, v = (b.column(c).to_numpy().view(np.uint64) for c in ("u", "v"))
+            n += b.num_rows
+            x, y = (x + int(mix(mix(u) + v).sum())) % _WRAP, (y + int(mix(mix(v) ^ u).sum())) % _WRAP
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([z]) for z in (n, x, y)], names=["n", "x", "y"])
+
+    rows = e.mapInArrow(run, "n long, x long, y long").collect()
+    return tuple(sum(r[k] for r in rows) % _WRAP for k in range(3))
 
 
 def _large_star(e: DataFrame) -> DataFrame:
-    both = e.union(e.select(F.col("v"), F.col("u"))).toDF("u", "v")
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    """Links every node's larger neighbours to the least of the node and its neighbours."""
+    least = e.union(e.select("v", "u")).groupBy("u").agg(F.min("v").alias("m"))
+    return e.join(least.select(F.col("u").alias("v"), F.least("u", "m").alias("m")), "v").select("u", F.col("m").alias("v"))
 
 
 def _small_star(e: DataFrame) -> DataFrame:
+    """Links every node's smaller neighbours, and the node, to the least of these."""
     least = e.groupBy("u").agg(F.min("v").alias("m"))
-    own = least.select("u", F.col("m").alias("v"))
     others = e.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return own.union(others).where("u <> v").distinct()
+    return least.select("u", F.col("m").alias("v")).union(others).distinct()

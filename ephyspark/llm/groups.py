@@ -26,6 +26,7 @@ LEAST_GROUPS = 64
 def deal(df: DataFrame, text: str, key: str, group_bytes: int) -> tuple[DataFrame, int, int]:
     """The rows with their group `g`, the number of groups, and the input's bytes as stored.
 
+    Rows without a key are dealt by their text, so that many of them are not one group.
     A group has about `group_bytes` as stored; a task works on one group at a time, which bounds its memory.
     The number of groups follows the input's size, so what groups send to a fixed number of shards grows in proportion.
     """
@@ -34,7 +35,8 @@ def deal(df: DataFrame, text: str, key: str, group_bytes: int) -> tuple[DataFram
     few = min(LEAST_GROUPS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     groups = max(few, math.ceil(size / group_bytes))
     parts = partitions_for(df.sparkSession, size, 12 << 20)
-    return df.withColumn("g", F.pmod(F.xxhash64(key), F.lit(groups)).cast("int")).repartition(parts, "g"), groups, size
+    own = F.when(F.col(key).isNull(), F.xxhash64(text)).otherwise(F.xxhash64(key))
+    return df.withColumn("g", F.pmod(own, F.lit(groups)).cast("int")).repartition(parts, "g"), groups, size
 
 
 def binary_slices(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -74,3 +76,26 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 
+
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str], most: int) -> Iterator[pa.Table]:
+    """Tables of about `most` bytes that hold whole runs of equal keys, from batches that are sorted by the keys."""
+    held: list[pa.RecordBatch] = []
+    size, enough = 0, most
+    for batch in batches:
+        for at in range(0, batch.num_rows, 4096):
+            held.append(batch.slice(at, 4096))
+            size += held[-1].nbytes
+            if size < enough:
+                continue
+            t = pa.Table.from_batches(held).combine_chunks()
+            cut = 0
+            for k in keys:
+                v = t.column(k).to_numpy()[cut:]
+                cut += int(np.searchsorted(v, v[-1]))
+            if cut:
+                yield t.slice(0, cut)
+                t = t.slice(cut).combine_chunks()
+            held, size = t.to_batches(), t.nbytes
+            enough = max(most, 2 * size)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()

@@ -5,17 +5,24 @@
 2. Every (coordinate, value) pair of a representative is a posting. Values that occur once can match nothing. Of the m
    others a document needs `threshold` matches, so it keeps only the m - threshold + 1 rarest: two documents with enough
    matches must meet under one of these (prefix filter), and one with m below the threshold is skipped altogether.
-3. Where postings meet, coordinates are counted. First each list's least member is compared with the others (a star); then
-   lists that still hold several candidate groups compare members of different groups. Only edges that join groups are
-   kept, so all pairs at or above the threshold lie inside one candidate group and no group is written out pair by pair.
-4. Links are decided on full shingle sets inside each candidate group, in blocks of bounded size, comparing only members
-   that aren't yet in one component. In a large group only the members outside its largest component meet other chunks.
+3. Where postings meet, collisions are counted: short lists pair by pair, others first against the list's least member
+   and then only where members are still apart, so no list is written out pair by pair. What leaves a list is a forest
+   of its matches. A list of more than LIST members is dealt to parts, each with the list's least member; parts that
+   still hold several candidate groups are compared with each other.
+4. The components of these edges are candidate groups that hold all pairs at or above the threshold. Links are decided on
+   full shingle sets (64-bit shingle digests) inside each group, where a member is compared only with those that share one
+   of its rarest shingles and aren't yet in its component. A group's texts go to one task, once; a group of more than
+   BLOCK shingles is dealt to blocks, first with its least member, and then only the members outside its largest
+   component meet the other blocks.
 
 The threshold lies five standard deviations below the expected matches at the wanted similarity (a link is overlooked
 with a probability of about 1e-6); there are no caps.
 
 Defined results: null and empty texts have no shingles, link with nothing and are their own component; with fewer words
-than a shingle the whole sequence is the one shingle; rows with equal keys are one document whose texts all count.
+than a shingle the whole sequence is the one shingle; rows with equal keys are judged each by its own text; rows
+with a null key link with nothing, are kept and have a null component; a very long text is one pass of its own and as large
+as a row may be; an empty table gives an empty table; only the columns named in near_duplicates are returned, others
+are left to a join by key.
 """
 
 from __future__ import annotations
@@ -31,10 +38,15 @@ from pyspark.sql import functions as F
 from .anngraph import Forest
 from .components import components
 from .core import ensure_checkpoint_dir, lower_table, mix, non_space_table, passes, share, text_bytes, window_hashes, word_hashes, words
+from .groups import whole_runs
 
 COORDINATES = 48
-#: Members of a list or group that are compared at once with as many others.
-CHUNK = 1024
+#: Members of a list, and shingles of a group, that one task takes at once.
+LIST, BLOCK = 4096, 1 << 21
+#: Lists of so few members are compared pair by pair.
+SHORT = 24
+#: Bytes of rows that are read at once, in whole lists or groups.
+PASS = 4 << 20
 _LOWER, _WORD = lower_table(), non_space_table()
 _random = np.random.default_rng(7)
 _A = _random.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -112,84 +124,81 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(tok), pa.array(np.repeat(b.column("rep").to_numpy(), COORDINATES))], names=["tok", "rep"])
 
 
-def _shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings whose token occurs under two representatives or more, with that number; rows come sorted by token.
-
-    A token's postings (16 bytes each) are held until its last one is seen.
-    """
-    held_tok, held_rep = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    for b in batches:
-        tok = np.concatenate([held_tok, b.column("tok").to_numpy()])
-        rep = np.concatenate([held_rep, b.column("rep").to_numpy()])
-        if not len(tok):
-            continue
-        cut = int(np.searchsorted(tok, tok[-1]))
-        if cut:
-            yield from _counted(tok[:cut], rep[:cut])
-        held_tok, held_rep = tok[cut:], rep[cut:]
-    if len(held_tok):
-        yield from _counted(held_tok, held_rep)
-
-
-def _counted(tok: np.ndarray, rep: np.ndarray) -> Iterator[pa.RecordBatch]:
-    first = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
-    n = np.diff(np.append(first, len(tok)))
-    df = np.repeat(n, n)
-    keep = df > 1
-    if keep.any():
-        yield pa.RecordBatch.from_arrays([pa.array(tok[keep]), pa.array(rep[keep]), pa.array(df[keep])], names=["tok", "rep", "df"])
+def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """On how many coordinates each row of a agrees with the row of b."""
+    return np.count_nonzero(a == b, axis=1)
 
 
 def _matches(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Coordinates on which each row of a agrees with each row of b."""
     out = np.zeros((len(a), len(b)), dtype=np.uint8)
-    for k in range(COORDINATES):
-        out += a[:, k, None] == b[None, :, k]
+    for x, y in zip(np.ascontiguousarray(a.T), np.ascontiguousarray(b.T), strict=True):
+        out += x[:, None] == y
+    return out
+
+
+def _alike(threshold: int, similarity: float, sig: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether members i and j match often enough and can be as similar by their sizes."""
+    out = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9
+    some = np.flatnonzero(out)
+    for at in range(0, len(some), 1 << 14):
+        k = some[at : at + (1 << 14)]
+        out[k] = _agree(sig[i[k]], sig[j[k]]) >= threshold
     return out
 
 
-def _stars(threshold: int, similarity: float):
+def _rest(threshold: int, similarity: float, sig: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, forest: Forest, code: np.ndarray) -> None:
+    """Unites what members `left` match among `right`, comparing only members that the forest still holds apart."""
+    for at in range(0, len(left), 128):
+        i = left[at : at + 128]
+        m = _matches(sig[i], sig[right])
+        low, high = np.minimum(n[i][:, None], n[right]), np.maximum(n[i][:, None], n[right])
+        x, y = np.nonzero((m >= threshold) & (low >= similarity * high - 1e-9))
+        forest.unite(code[i][x], code[right][y])
+
+
+def _lists(threshold: int, similarity: float):
+    def forest_of(tok: np.ndarray, part: np.ndarray, rep: np.ndarray, n: np.ndarray, sig: np.ndarray) -> pa.RecordBatch | None:
+        """Edges of a forest of each list's matches; rows are whole lists, their least member first."""
+        first = np.flatnonzero(np.concatenate([[True], (tok[1:] != tok[:-1]) | (part[1:] != part[:-1])]))
+        size = np.diff(np.append(first, len(tok)))
+        lead = np.repeat(first, size)
+        small = np.repeat(size <= SHORT, size)
+        place = np.arange(len(tok)) - lead
+        # short lists: each member with all before it; others: with the first
+        j = np.flatnonzero(small)
+        times = place[j]
+        y = np.repeat(j, times)
+        x = np.repeat(lead[j], times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        k = np.flatnonzero(~small & (place > 0))
+        x, y = np.concatenate([x, lead[k]]), np.concatenate([y, k])
+        good = _alike(threshold, similarity, sig, n, x, y) & (rep[x] != rep[y])
+        forest = Forest(len(tok))
+        forest.unite(x[good], y[good])
+        own = np.arange(len(tok))
+        for s, m in zip(first[size > SHORT].tolist(), size[size > SHORT].tolist(), strict=True):
+            apart = s + np.flatnonzero(forest.root[s : s + m] != forest.root[s])
+            if len(apart):
+                _rest(threshold, similarity, sig, n, apart, np.arange(s, s + m), forest, own)
+        moved = np.flatnonzero((forest.root != own) & (rep[forest.root] != rep))
+        return pa.RecordBatch.from_arrays([pa.array(rep[forest.root[moved]]), pa.array(rep[moved])], names=["a", "b"]) if len(moved) else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of each list's first member with the others that match often enough; rows sorted by token and rep."""
-        tok_now, rep_now, sig_now, n_now = None, 0, None, 0
-        for b in batches:
-            if not b.num_rows:
-                continue
-            tok, rep, n, sig = b.column("tok").to_numpy(), b.column("rep").to_numpy(), b.column("n").to_numpy(), _sig_matrix(b.column("sig"))
-            first = np.concatenate([[True], tok[1:] != tok[:-1]])
-            if tok_now is not None and tok[0] == tok_now:
-                first[0] = False
-            lead = np.maximum.accumulate(np.where(first, np.arange(len(tok)), -1))
-            inside = lead >= 0
-            l_rep, l_n = np.where(inside, rep[lead], rep_now), np.where(inside, n[lead], n_now)
-            l_sig = sig[lead]
-            if not inside.all():
-                l_sig = np.where(inside[:, None], l_sig, sig_now)
-            good = (l_rep != rep) & ((l_sig == sig).sum(axis=1) >= threshold) & (np.minimum(l_n, n) >= similarity * np.maximum(l_n, n) - 1e-9)
-            if good.any():
-                yield pa.RecordBatch.from_arrays([pa.array(l_rep[good]), pa.array(rep[good])], names=["a", "b"])
-            k = lead[-1]
-            if k >= 0:
-                tok_now, rep_now, sig_now, n_now = tok[-1], rep[k], sig[k].copy(), n[k]
+        for t in whole_runs(batches, ["tok", "part"], PASS // 2):
+            out = forest_of(*(t.column(c).to_numpy() for c in ("tok", "part", "rep", "n")), _sig_matrix(t.column("sig")))
+            if out:
+                yield out
 
     return run
 
 
 def _across(threshold: int, similarity: float):
     def run(t: pa.Table) -> pa.Table:
-        """Candidate groups that two chunks of a list show to be one: an edge for each group that joins another."""
-        rep, group, n, chunk = (t.column(c).to_numpy() for c in ("rep", "cand", "n", "chunk"))
-        sig = _sig_matrix(t.column("sig"))
-        ci, cj = t.column("ci")[0].as_py(), t.column("cj")[0].as_py()
-        left, right = np.flatnonzero(chunk == ci), np.flatnonzero(chunk == cj)
+        """Candidate groups that two parts of a list show to be one: an edge for each group that joins another."""
+        group, n, left, right = (t.column(c).to_numpy(zero_copy_only=False) for c in ("cand", "n", "left", "right"))
         names, code = np.unique(group, return_inverse=True)
         forest = Forest(len(names))
-        for at in range(0, len(left), 256):
-            i = left[at : at + 256]
-            m = _matches(sig[i], sig[right])
-            low, high = np.minimum(n[i][:, None], n[right]), np.maximum(n[i][:, None], n[right])
-            x, y = np.nonzero((m >= threshold) & (code[i][:, None] != code[right]) & (low >= similarity * high - 1e-9))
-            forest.unite(code[i][x], code[right][y])
+        _rest(threshold, similarity, _sig_matrix(t.column("sig")), n, np.flatnonzero(left), np.flatnonzero(right), forest, code)
         return _joined(names, forest)
 
     return run
@@ -200,76 +209,173 @@ def _joined(names: np.ndarray, forest: Forest) -> pa.Table:
     return pa.table([pa.array(names[forest.root[moved]]), pa.array(names[moved])], names=["a", "b"])
 
 
-def _exact(length: int, percent: int):
+def postings_of(reps: DataFrame, need: int) -> tuple[DataFrame, DataFrame]:
+    """Prefix postings (tok, part, rep, n, sig), parts of one list each, and the long lists (tok, lead, parts).
+
+    Postings of a value are counted by partial sums, and a value's count joins its postings row by row, so a hot value is
+    no task's burden: adaptive execution splits that join.
+    """
+    tokens = reps.select("rep", "sig").mapInArrow(_tokens, "tok long, rep long")
+    counts = tokens.groupBy("tok").agg(F.count("*").alias("df"), F.min("rep").alias("lead")).where("df > 1")
+    of_rep = Window.partitionBy("rep")
+    shared = tokens.join(counts.select("tok", "df"), "tok")
+    ranked = shared.withColumn("m", F.count("*").over(of_rep)).where(F.col("m") >= need).withColumn("r", F.row_number().over(of_rep.orderBy("df", "tok")))
+    prefix = ranked.where(F.col("r") <= F.col("m") - need + 1).select("tok", "df", "rep")
+    parts = F.ceil(F.col("df") / LIST).cast("int")
+    prefix = prefix.withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int")).select("tok", "part", "rep")
+    long = counts.where(F.col("df") > LIST).select("tok", "lead", parts.alias("parts"))
+    return prefix.join(reps, "rep").select("tok", "part", "rep", "n", "sig"), long
+
+
+def candidate_groups(reps: DataFrame, need: int, similarity: float) -> DataFrame:
+    """(id, component) of representatives that match, each with the least one it reaches by matches."""
+    postings, long = postings_of(reps, need)
+    postings = postings.checkpoint()
+    long = long.checkpoint()
+    leads = long.select("tok", F.col("lead").alias("rep"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(reps, "rep")
+    lists = postings.union(leads.select("tok", "part", "rep", "n", "sig")).repartition("tok", "part").sortWithinPartitions("tok", "part", "rep")
+    edges = lists.mapInArrow(_lists(need, similarity), "a long, b long").distinct().checkpoint()
+    groups = components(edges)
+    if not long.take(1):
+        return groups
+    more = _open(postings, long, groups).groupBy("tok", "i", "j").applyInArrow(_across(need, similarity), "a long, b long").distinct().checkpoint()
+    return components(edges.union(more)) if more.take(1) else groups
+
+
+def _open(postings: DataFrame, long: DataFrame, groups: DataFrame) -> DataFrame:
+    """Members of long lists with several candidate groups: those outside the largest group, against all the list's parts."""
+    p = postings.join(long, "tok").join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    p = p.select("tok", F.col("part").alias("j"), "parts", "rep", "n", "sig", F.coalesce("component", "rep").alias("cand"))
+    return _against(p, ["tok"], F.lit(1), LIST, ["rep", "n", "sig"], "cand")
+
+
+def _against(rows: DataFrame, by: list[str], weight, most: int, carried: list[str], group: str) -> DataFrame:
+    """Of rows (by, part j of parts, group) whose `by` hold several groups: (by, i, j, carried, group, left, right).
+
+    Rows outside the largest group are dealt to parts i of about `most` in weight and sent to every part j, marked left;
+    each row stays in its own part j, marked right, once for every i.
+    """
+    per = rows.groupBy(*by, group).agg(F.sum(weight).alias("w"))
+    main = per.groupBy(*by).agg(F.max_by(group, F.struct("w", -F.col(group))).alias("main_"), F.count("*").alias("k"), (F.sum("w") - F.max("w")).alias("rest")).where("k > 1")
+    rows = rows.join(main.withColumn("lefts", F.ceil(F.col("rest") / most).cast("int")), by)
+    part = F.pmod(F.xxhash64(carried[0], F.lit(1)), F.col("lefts")).cast("int")
+    left = rows.where(F.col(group) != F.col("main_")).select(*by, part.alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), *carried, group, F.lit(True).alias("left"), F.lit(False).alias("right"))
+    right = rows.select(*by, F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("i"), "j", *carried, group, F.lit(False).alias("left"), F.lit(True).alias("right"))
+    return left.union(right)
+
+
+def link_sets(u: np.ndarray, bounds: np.ndarray, left: np.ndarray, right: np.ndarray, code: np.ndarray, forest: Forest, percent: int) -> None:
+    """Unites the codes of members whose sets (u between bounds) are linked, comparing rows `left` with rows `right`.
+
+    Shingles are ordered by how often they occur here. A linked pair shares at least `percent` of either set, so it shares
+    one of the rarest of the left one's; only members found under these, not yet united and of a fitting size, are counted.
+    """
+    _, inv, often = np.unique(u, return_inverse=True, return_counts=True)
+    rank = np.empty(len(often), dtype=np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(often))
+    word, size = rank[inv], np.diff(bounds)
+    member = np.repeat(np.arange(len(size)), size)
+    inside = np.zeros(len(size), dtype=bool)
+    inside[right] = True
+    place = np.flatnonzero(inside[member])
+    place = place[np.argsort(word[place], kind="stable")]
+    row = np.concatenate([[0], np.cumsum(np.bincount(word[place], minlength=len(often)))])
+    owner = member[place]
+    mark = np.zeros(len(often), dtype=bool)
+    for x in left.tolist():
+        own = np.sort(word[bounds[x] : bounds[x + 1]])
+        n = len(own)
+        rare = own[: n - -(-percent * n // 100) + 1]
+        _, found = _ranges(row[rare], row[rare + 1])
+        y = owner[found]
+        y = y[(forest.root[code[y]] != forest.root[code[x]]) & (100 * np.minimum(size[y], n) >= percent * np.maximum(size[y], n))]
+        if not len(y):
+            continue
+        y = np.unique(y)
+        mark[own] = True
+        which, at = _ranges(bounds[y], bounds[y + 1])
+        both = np.bincount(which, weights=mark[word[at]], minlength=len(y)).astype(np.int64)
+        mark[own] = False
+        near = y[100 * both >= percent * (n + size[y] - both)]
+        forest.unite(np.full(len(near), code[x]), code[near])
+
+
+def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which range each comes from, and all places in the ranges start..end."""
+    n = end - start
+    which = np.repeat(np.arange(len(n)), n)
+    return which, np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + start[which]
+
+
+def _sets(t: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray]:
+    u, bounds = [np.zeros(0, dtype=np.uint64)], [np.zeros(1, dtype=np.int64)]
+    for part in passes(t.select(["text"]), "text"):
+        h, b = shingle_sets(part.column("text"), length)
+        u.append(h)
+        bounds.append(b[1:] + bounds[-1][-1])
+    return np.concatenate(u), np.concatenate(bounds)
+
+
+def _whole_groups(length: int, percent: int):
+    def solve(t: pa.Table) -> pa.RecordBatch:
+        """The component of every member of some whole groups; rows are sorted by group."""
+        u, bounds = _sets(t, length)
+        ids, group = t.column("id").to_numpy(), t.column("cand").to_numpy()
+        cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)]
+        out = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            names, code = np.unique(ids[a:b], return_inverse=True)
+            forest, own = Forest(len(names)), np.arange(b - a)
+            link_sets(u[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], own[1:], own, code, forest, percent)
+            out.append((names, names[forest.root]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["id", "component"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_runs(batches, ["cand"], PASS):
+            yield solve(t)
+
+    return run
+
+
+def _block(length: int, percent: int):
     def run(t: pa.Table) -> pa.Table:
-        """Components of a block's members that full shingle sets show to be linked, as edges between component ids.
-
-        Rows marked left are compared with rows marked right, but never with those already in their own component, so a
-        block in which all are linked takes one comparison a member.
-        """
-        u, bounds = [], [np.zeros(1, dtype=np.int64)]
-        for part in passes(t.select(["text"]), "text"):
-            h, b = shingle_sets(part.column("text"), length)
-            u.append(h)
-            bounds.append(b[1:] + bounds[-1][-1])
-        bounds = np.concatenate(bounds)
-        word, code = np.unique(np.concatenate(u), return_inverse=True)
+        """Components that a block's members show to be linked, as edges between component ids."""
+        u, bounds = _sets(t, length)
         names, comp = np.unique(t.column("comp").to_numpy(), return_inverse=True)
         left, right = (np.flatnonzero(t.column(c).to_numpy(zero_copy_only=False)) for c in ("left", "right"))
-        sizes, forest, mark = np.diff(bounds), Forest(len(names)), np.zeros(len(word), dtype=bool)
-        flat = np.concatenate([np.zeros(0, dtype=np.int64), *(code[bounds[k] : bounds[k + 1]] for k in right)])
-        ends = np.cumsum(sizes[right])
-        for x in left.tolist():
-            root = forest.root[comp]
-            other = root[right] != root[x]
-            if not other.any():
-                continue
-            mark[code[bounds[x] : bounds[x + 1]]] = True
-            total = np.concatenate([[0], np.cumsum(mark[flat])])
-            mark[code[bounds[x] : bounds[x + 1]]] = False
-            both = total[ends] - total[ends - sizes[right]]
-            near = other & (both > 0) & (100 * both >= percent * (sizes[x] + sizes[right] - both))
-            y = comp[right[near]]
-            forest.unite(np.full(len(y), comp[x]), y)
+        forest = Forest(len(names))
+        link_sets(u, bounds, left, right, comp, forest, percent)
         return _joined(names, forest)
 
     return run
 
 
-def _linked(members: DataFrame, df: DataFrame, text: str, key: str, length: int, percent: int) -> DataFrame:
-    """Edges (a, b) that the blocks of `members` (cand, i, j, id, comp, left, right) give, with the members' texts."""
-    texts = _filtered(_keyed(df, text, key), members.select("id").distinct())
-    return members.join(texts, "id").groupBy("cand", "i", "j").applyInArrow(_exact(length, percent), "a long, b long")
-
+def links_within(groups: DataFrame, sizes: DataFrame, df: DataFrame, text: str, key: str, length: int, percent: int) -> DataFrame:
+    """(id, component) by exact links inside candidate groups (id, component); sizes has each id's shingles `n`."""
+    m = groups.select("id", F.col("component").alias("cand")).join(sizes, "id")
+    m = m.join(m.groupBy("cand").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("parts")), "cand").checkpoint()
+    texts = _filtered(_keyed(df, text, key), m.select("id"))
+    small = m.where("parts = 1").select("id", "cand").join(texts, "id").repartition("cand").sortWithinPartitions("cand", "id")
+    out = small.mapInArrow(_whole_groups(length, percent), "id long, component long")
+    large = m.where("parts > 1")
+    if not large.take(1):
+        return out
+    return out.union(_large_groups(large, texts, length, percent))
 
-def links_within(candidates: DataFrame, df: DataFrame, text: str, key: str, length: int, percent: int) -> DataFrame:
-    """Components (id, component) of exact links inside candidate groups (id, component), in blocks of CHUNK members.
 
-    First each chunk is linked inside, together with the group's least member; then the members outside the group's
-    largest component are compared with the other chunks. Groups that are one component by then need no second step.
-    """
-    sizes = candidates.groupBy("component").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    m = candidates.withColumnRenamed("component", "cand").join(sizes.withColumnRenamed("component", "cand"), "cand")
-    m = m.withColumn("i", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).checkpoint()
-    hub = m.where("id = cand").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("j <> i").select("cand", F.col("j").alias("i"), "id")
+def _large_groups(m: DataFrame, texts: DataFrame, length: int, percent: int) -> DataFrame:
+    """The same for groups of several blocks: each block with the group's least member, then what is apart against all."""
+    m = m.withColumn("j", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).checkpoint()
+    hub = m.where("id = cand").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("cand", "j", "id")
     yes = F.lit(True)
-    first = m.select("cand", "i", "id").union(hub).select("cand", "i", F.col("i").alias("j"), "id", F.col("id").alias("comp"), yes.alias("left"), yes.alias("right"))
-    links = _linked(first, df, text, key, length, percent).checkpoint()
-    comp = components(links)
-    wide = m.where("chunks > 1").join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-    per = wide.groupBy("cand", "comp").agg(F.count("*").alias("n"))
-    main = per.groupBy("cand").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"), F.count("*").alias("k"), (F.sum("n") - F.max("n")).alias("rest")).where("k > 1")
-    wide = wide.join(main, "cand").withColumn("parts", F.ceil(F.col("rest") / CHUNK).cast("int"))
-    if not wide.take(1):
-        return comp
-    out = wide.where("comp <> main").withColumn("s", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int"))
-    out = out.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    own = F.col("i") == F.col("j")
-    left = out.select("cand", F.col("s").alias("i"), "j", "id", "comp", yes.alias("left"), own.alias("right"))
-    right = wide.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    right = right.select("cand", F.col("s").alias("i"), F.col("i").alias("j"), "id", "comp", F.lit(False).alias("left"), yes.alias("right"))
-    second = left.union(right).groupBy("cand", "i", "j", "id", "comp").agg(F.max("left").alias("left"), F.max("right").alias("right"))
-    return components(links.union(_linked(second, df, text, key, length, percent)))
+    first = m.select("cand", "j", "id").union(hub).distinct().select("cand", F.col("j").alias("i"), "j", "id", F.col("id").alias("comp"), yes.alias("left"), yes.alias("right"))
+    solve = lambda rows: rows.join(texts, "id").groupBy("cand", "i", "j").applyInArrow(_block(length, percent), "a long, b long")
+    links = solve(first).checkpoint()
+    apart = m.join(components(links), "id", "left").select("cand", "j", "parts", "id", "n", F.coalesce("component", "id").alias("comp"))
+    second = _against(apart, ["cand"], F.col("n"), BLOCK, ["id"], "comp").checkpoint()
+    if second.take(1):
+        links = links.union(solve(second))
+    return components(links)
 
 
 #: Bits of the filter that keeps texts which no pair needs out of the shuffle; 1 MB whatever the input's size.
@@ -298,34 +404,15 @@ def near_duplicates(df: DataFrame, similarity: float = 0.8, length: int = 5, tex
     ensure_checkpoint_dir(df.sparkSession)
     need, percent = threshold_for(similarity), round(100 * similarity)
     s = signatures(df, text, key, length).checkpoint()
-    classes = s.where("n_shingles > 0").groupBy("hi", "lo", "n_shingles").agg(F.min("id").alias("rep"))
-    reps = classes.join(s.select("hi", "lo", "n_shingles", F.col("id").alias("rep"), "sig"), ["hi", "lo", "n_shingles", "rep"]).dropDuplicates(["hi", "lo", "n_shingles", "rep"]).select("rep", F.col("n_shingles").alias("n"), "sig")
-    tokens = reps.select("rep", "sig").mapInArrow(_tokens, "tok long, rep long").repartition("tok").sortWithinPartitions("tok", "rep")
-    shared = tokens.mapInArrow(_shared_tokens, "tok long, rep long, df long")
-    of_rep = Window.partitionBy("rep")
-    ranked = shared.withColumn("m", F.count("*").over(of_rep)).where(F.col("m") >= need).withColumn("r", F.row_number().over(of_rep.orderBy("df", "tok")))
-    prefix = ranked.where(F.col("r") <= F.col("m") - need + 1).select("tok", "rep")
-    postings = prefix.join(reps, "rep").select("tok", "rep", "n", "sig").checkpoint()
-    stars = postings.repartition("tok").sortWithinPartitions("tok", "rep").mapInArrow(_stars(need, similarity), "a long, b long").distinct().checkpoint()
-    candidates = components(stars)
-    more = _open(postings, candidates).groupBy("tok", "ci", "cj").applyInArrow(_across(need, similarity), "a long, b long").distinct().checkpoint()
-    if more.take(1):
-        candidates = components(stars.union(more))
-    comp = links_within(candidates, df, text, key, length, percent)
-    own = s.join(classes, ["hi", "lo", "n_shingles"], "left").select("id", "n_shingles", F.coalesce("rep", "id").alias("rep"))
-    out = own.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    reach = F.coalesce("component", "rep")
-    return out.select(F.col("id").alias(key), "n_shingles", reach.alias("component_id"), F.coalesce(reach == F.col("id"), F.lit(True)).alias("kept"))
-
-
-def _open(postings: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Members of lists that hold three or more and several candidate groups, dealt to pairs of chunks."""
-    p = postings.join(candidates.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("cand", F.coalesce("component", "rep")).drop("component")
-    lists = p.groupBy("tok").agg(F.count("*").alias("size"), F.min("cand").alias("x"), F.max("cand").alias("y")).where("size > 2 AND x <> y")
-    p = p.join(lists.select("tok", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks")), "tok")
-    p = p.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    p = p.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    return p.select("tok", "rep", "n", "sig", "cand", "chunk", F.least("chunk", "other").cast("int").alias("ci"), F.greatest("chunk", "other").cast("int").alias("cj"))
+    some = s.where("n_shingles > 0 AND id IS NOT NULL")
+    reps = some.groupBy("hi", "lo", "n_shingles").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")).checkpoint()
+    classes, reps = reps.drop("sig"), reps.select("rep", F.col("n_shingles").alias("n"), "sig")
+    groups = candidate_groups(reps, need, similarity)
+    sizes = reps.groupBy(F.col("rep").alias("id")).agg(F.sum("n").alias("n"))
+    comp = links_within(groups, sizes, df, text, key, length, percent).select(F.col("id").alias("rep"), "component")
+    reach = classes.join(comp, "rep", "left").select("hi", "lo", "n_shingles", F.coalesce("component", "rep").alias("reach"))
+    out = s.join(reach, ["hi", "lo", "n_shingles"], "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("reach", "id")).alias("reach"))
+    return out.select(F.col("id").alias(key), "n_shingles", F.col("reach").alias("component_id"), F.coalesce(F.col("reach") == F.col("id"), F.lit(True)).alias("kept"))
 
 
 def digest(documents: DataFrame) -> DataFrame:

@@ -79,3 +79,57 @@ def test_clashing_columns(spark):
     assert (r.lang_pred, r.g, r.n_words) == ("g", "g", 3)
     assert minhash.near_duplicates(df.selectExpr("cast(doc_id AS int) AS doc_id", "text")).count() == 1
     assert queries.queries()
+
+
+def variants(n, words=60, changed=2, seed=5):
+    """Texts that differ from one another in a few words; most pairs match often, few are linked."""
+    r = random.Random(seed)
+    base = [f"w{k}" for k in range(words)]
+    out = []
+    for i in range(n):
+        w = list(base)
+        for k in r.sample(range(words), changed):
+            w[k] = f"n{r.randrange(30)}"
+        out.append((i, " ".join(w)))
+    return out
+
+
+@pytest.mark.parametrize("limits", [{}, {"LIST": 64, "SHORT": 4, "BLOCK": 4000}, {"LIST": 40, "BLOCK": 900, "PASS": 1 << 12}])
+def test_large_groups(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(minhash, name, value)
+    rows = variants(300) + [(1000 + i, t) for i, t in variants(200, changed=1)] + [(2000, " ".join(f"w{k}" for k in range(60)))]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == brute.near(rows)
+
+
+def test_group_texts_move_once(spark, monkeypatch):
+    """5,000 variants of one text: the rows that carry texts to the exact comparison stay below twice the members."""
+    moved = spark.sparkContext.accumulator(0)
+    solve = minhash._whole_groups
+
+    def counted(length, percent):
+        inner = solve(length, percent)
+
+        def run(batches):
+            def seen():
+                for b in batches:
+                    moved.add(b.num_rows)
+                    yield b
+
+            return inner(seen())
+
+        return run
+
+    monkeypatch.setattr(minhash, "_whole_groups", counted)
+    rows = variants(5000)
+    got = minhash.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()
+    assert len(got) == 5000 and 0 < moved.value < 2 * 5000
+
+
+def test_rows_without_key_and_repeated_rows(spark):
+    t = "one two three four five six seven"
+    df = spark.createDataFrame([(None, t), (None, t), (1, t), (2, t), (2, t)], "doc_id long, text string")
+    got = sorted(tuple(r) for r in minhash.digest(df).where("doc_id IS NOT NULL").collect())
+    assert got == [(1, 3, 1, True), (2, 3, 1, False), (2, 3, 1, False)]
+    assert [(r.n_shingles, r.component_id, r.kept) for r in minhash.digest(df).where("doc_id IS NULL").collect()] == [(3, None, True)] * 2
