@@ -9,15 +9,17 @@ What is scored is the text's token sequence, as in the base: A-Z lower-cased, wo
 
 The trie is never in one place. Groups of documents send their distinct byte runs with the training counts to shards
 by the last two bytes of the context; a shard holds whole subtries of the orders two and up, and answers with the log
-probability of each run asked for. Orders zero and one are one table of 65,536 counts, which is broadcast. Word counts
+probability of each run asked for. Contexts of two bytes that more than one in HOT_ONE_IN training symbols follows are split by
+their third byte: there a shard holds subtries of the orders three and up. What these need of order two, and orders zero and
+one, are merged before and broadcast: 65,536 counts, and 256 for each of at most HOT_ONE_IN hot contexts. Word counts
 for the base score travel in the same way, by word hash. What is sent grows with the corpus: all training rows count.
 
 A shard's task holds one shard of all groups' requests: a few kilobytes a group, and shards grow in number with the groups.
 At most MOST_SHARDS are used, so that a row holds dozens of runs; corpora of many terabytes should raise GROUP_BYTES.
 
 Defined results: null and empty texts are the end alone; without training rows every byte has probability 1/256; rows
-that are repeated learn and score again; a null key learns; other columns pass through, and a column with the name of a new one is
-replaced.
+that are repeated learn and score again; a null key learns; a very long text is one pass of its own and as large as a row may
+be; an empty table gives an empty table; other columns pass through, and a column with the name of a new one is replaced.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..session import ship
-from .core import lower_table, mix, non_space_table, passes, renamed, share, text_bytes, word_hashes, words
+from .core import ensure_checkpoint_dir, lower_table, mix, non_space_table, passes, renamed, share, text_bytes, word_hashes, words
 from .groups import binary_slices, deal, flat_binary, runs
 from .langid import held_out
 
@@ -46,6 +48,7 @@ END, SPACE = 10, 32
 GROUP_BYTES = 4 << 20
 #: Shards of runs, and as many of words; a group sends one row to each.
 LEAST_SHARDS, MOST_SHARDS = 256, 8192
+HOT_ONE_IN = 256
 _LOWER, _WORD = lower_table(), non_space_table()
 #: The word hash that stands for the end token.
 END_TOKEN = np.uint64(0x7F4A7C159E3779B9)
@@ -89,7 +92,7 @@ class Symbols:
 class Group:
     """Distinct runs and words of a group of documents, in the order in which they go to the shards."""
 
-    def __init__(self, table: pa.Table, text: str, shards: int):
+    def __init__(self, table: pa.Table, text: str, shards: int, hot: np.ndarray):
         runs_, docs, words_, word_docs, n_words, base = [], [], [], [], [], 0
         for part in passes(table.select([text]), text):
             s = Symbols(part.column(text))
@@ -104,7 +107,7 @@ class Group:
         self.run_doc = np.concatenate([np.zeros(0, dtype=np.int32), *docs])
         self.word_doc = np.concatenate([np.zeros(0, dtype=np.int64), *word_docs, np.arange(base)])
         words_.append(np.full(base, END_TOKEN))
-        self.run, self.runs, run_shard = _distinct(np.concatenate([np.zeros(0, dtype=np.uint64), *runs_]), lambda u: mix(u >> np.uint64(8) & _mask(2)), shards)
+        self.run, self.runs, run_shard = _distinct(np.concatenate([np.zeros(0, dtype=np.uint64), *runs_]), lambda u: _place(u, hot), shards)
         self.word, self.words, word_shard = _distinct(np.concatenate(words_), lambda u: u, shards)
         self.shard = np.concatenate([run_shard, word_shard + shards])
 
@@ -118,6 +121,13 @@ class Group:
         )
 
 
+def _place(runs_: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """A hash of the part of the context by which a run is dealt: two bytes, of hot contexts three."""
+    context = runs_ >> np.uint64(8)
+    split = hot[(context & _mask(2)).astype(np.int64)] >= 0
+    return mix(np.where(split, context & _mask(3) | np.uint64(1 << 32), context & _mask(2)))
+
+
 def _distinct(keys: np.ndarray, place, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Codes into the distinct keys, those keys ordered by shard, and their shards."""
     code, unique = pd.factorize(keys)
@@ -129,19 +139,29 @@ def _distinct(keys: np.ndarray, place, shards: int) -> tuple[np.ndarray, np.ndar
 
 
 class Low:
-    """Orders zero and one: counts of symbols, and of symbols after a byte."""
+    """Orders zero and one, and order two of the hot contexts: counts of symbols in all, after a byte and after two.
 
-    def __init__(self, pairs: np.ndarray):
+    `hot` has for each context of two bytes its row in the order-two tables, or -1.
+    """
+
+    def __init__(self, pairs: np.ndarray, contexts: np.ndarray, triples: np.ndarray):
         one = pairs.reshape(256, 256).astype(np.float64)
         zero = one.sum(axis=0)
-        self.count = [zero[None, :], one]
-        self.total = [np.array([zero.sum()]), one.sum(axis=1)]
-        self.seen = [np.array([float((zero > 0).sum())]), (one > 0).sum(axis=1).astype(np.float64)]
-        self.shorter = [np.zeros(1), ((one > 0) * zero[None, :]).sum(axis=1)]
+        two = triples.reshape(-1, 256).astype(np.float64)
+        self.hot = np.full(1 << 16, -1, dtype=np.int32)
+        self.hot[contexts] = np.arange(len(contexts), dtype=np.int32)
+        self.count = [zero[None, :], one, two]
+        self.total = [c.sum(axis=1) for c in self.count]
+        self.seen = [(c > 0).sum(axis=1).astype(np.float64) for c in self.count]
+        below = [np.zeros((1, 256)), zero[None, :], one[contexts & 255]]
+        self.shorter = [((c > 0) * b).sum(axis=1) for c, b in zip(self.count, below, strict=True)]
 
 
 def log_probabilities(keys: np.ndarray, counts: np.ndarray, low: Low) -> np.ndarray:
-    """log10 probability of each distinct run's symbol in its context, from the counts of all runs of whole subtries."""
+    """log10 probability of each distinct run's symbol in its context, from the counts of all runs of whole subtries.
+
+    Runs in hot contexts come with subtries of three bytes; their order two is in `low`.
+    """
     levels = []
     for k in range(ORDER, 1, -1):
         gram, inv = np.unique(keys & _mask(k + 1), return_inverse=True)
@@ -158,10 +178,19 @@ def log_probabilities(keys: np.ndarray, counts: np.ndarray, low: Low) -> np.ndar
             if k > 2:
                 shorter_gram, _, shorter_count = levels[ORDER - k + 1][:3]
                 below = shorter_count[np.searchsorted(shorter_gram, gram & _mask(k))]
+                if k == 3:
+                    row = low.hot[(gram >> np.uint64(8) & _mask(2)).astype(np.int64)]
+                    of = np.flatnonzero(row >= 0)
+                    below[of] = low.count[2][row[of], (gram[of] & _mask(1)).astype(np.int64)]
             else:
                 below = low.count[1][(gram >> np.uint64(8) & _mask(1)).astype(np.int64), (gram & _mask(1)).astype(np.int64)]
             shorter = np.bincount(at, weights=below * (c > 0), minlength=nodes)[at[inv]]
             c, total, seen = c[inv], total[at[inv]], seen[at[inv]]
+            if k == 2:
+                row = low.hot[(keys >> np.uint64(8) & _mask(2)).astype(np.int64)]
+                of = np.flatnonzero(row >= 0)
+                row = row[of]
+                c[of], total[of], seen[of], shorter[of] = low.count[2][row, symbol[of]], low.total[2][row], low.seen[2][row], low.shorter[2][row]
         else:
             row = before if k else np.zeros(len(keys), dtype=np.int64)
             c, total, seen, shorter = low.count[k][row, symbol], low.total[k][row], low.seen[k][row], low.shorter[k][row]
@@ -198,21 +227,50 @@ def _answer(low: Low, shards: int):
     return run
 
 
-def pair_counts(rows: DataFrame, text: str) -> np.ndarray:
-    """Counts of symbols after bytes in the rows: 65,536 numbers whatever the input's size."""
+def _triples(runs_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct runs of a symbol after two bytes, and their counts."""
+    symbols = runs_.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :3].T
+    present = np.zeros(256, dtype=bool)
+    for x in symbols:
+        present[x] = True
+    used = np.flatnonzero(present)
+    n = len(used)
+    if n > 160:  # a table of all triples would be larger than the text
+        key, count = np.unique(runs_ & _mask(3), return_counts=True)
+        return key.astype(np.int64), count
+    rank = np.zeros(256, dtype=np.int32)
+    rank[used] = np.arange(n)
+    table = np.bincount(rank[symbols[0]] + rank[symbols[1]] * np.int32(n) + rank[symbols[2]] * np.int32(n * n), minlength=n**3)
+    some = np.flatnonzero(table)
+    return used[some // (n * n)] << 16 | used[some // n % n] << 8 | used[some % n], table[some]
+
+
+def low_orders(rows: DataFrame, text: str) -> Low:
+    """Counts of symbols after a byte, and after the hot pairs of bytes: a bounded number whatever the input's size."""
+    ensure_checkpoint_dir(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 16, dtype=np.int64)
         for batch in batches:
             for part in passes(batch, text):
-                total += np.bincount((Symbols(part.column(text)).runs & _mask(2)).astype(np.int64), minlength=1 << 16)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["p", "n"])
+                key, n = _triples(Symbols(part.column(text)).runs)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["p", "n"])
 
-    got = rows.select(text).mapInArrow(run, "p long, n long").groupBy("p").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(1 << 16, dtype=np.int64)
-    out[got.p.to_numpy(dtype=np.int64)] = got.n.to_numpy(dtype=np.int64)
-    return out
+    triples = rows.select(text).mapInArrow(run, "p long, n long").groupBy("p").agg(F.sum("n").alias("n")).checkpoint()
+
+    def table(keyed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        got = keyed.groupBy("p").agg(F.sum("n").alias("n")).toArrow()
+        return got.column("p").to_numpy(), got.column("n").to_numpy()
+
+    pairs, followed = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
+    for counts, key in ((pairs, F.col("p") % (1 << 16)), (followed, F.shiftright("p", 8))):
+        p, n = table(triples.select(key.alias("p"), "n"))
+        counts[p] = n
+    contexts = np.flatnonzero(followed * HOT_ONE_IN > followed.sum())
+    hot = np.zeros((len(contexts), 256), dtype=np.int64)
+    if len(contexts):
+        p, n = table(triples.where(F.shiftright("p", 8).isin(contexts.tolist())))
+        hot[np.searchsorted(contexts, p >> 8), p & 255] = n
+    return Low(pairs, contexts, hot)
 
 
 def score(df: DataFrame, train: Column, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -223,7 +281,7 @@ def score(df: DataFrame, train: Column, text: str = "text", key: str = "doc_id")
     df, names = renamed(chosen, {"n_tokens", "n_known", "train_tokens", "base_score", "score"})
     marked = df.withColumnRenamed(names.pop("train_"), "train_")
     df, text, key = marked.drop("train_"), names[text], names[key]
-    low = share(df, Low(pair_counts(marked.where("train_"), text)))
+    low = share(df, low_orders(marked.where("train_"), text))
     dealt, groups, _ = deal(marked, text, key, GROUP_BYTES)
     shards = min(MOST_SHARDS, max(LEAST_SHARDS, groups // 4))
     fields = df.schema.fields
@@ -231,7 +289,7 @@ def score(df: DataFrame, train: Column, text: str = "text", key: str = "doc_id")
 
     def ask(table: pa.Table) -> pa.Table:
         train_ = table.column("train_").combine_chunks().to_numpy(zero_copy_only=False)
-        return Group(table, text, shards).message(table.column("g")[0].as_py(), train_)
+        return Group(table, text, shards, low.value.hot).message(table.column("g")[0].as_py(), train_)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _answer(low.value, shards)(batches)
@@ -240,7 +298,7 @@ def score(df: DataFrame, train: Column, text: str = "text", key: str = "doc_id")
         own = [left.column(f.name) for f in fields]
         if not left.num_rows:
             return pa.table([*own, *(pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=schema.names)
-        group = Group(left, text, shards)
+        group = Group(left, text, shards, low.value.hot)
         right = right.sort_by("shard")
         ours = pc.less(right.column("shard"), shards)
         chance, _ = flat_binary(right.filter(ours).column("values"), np.float32)

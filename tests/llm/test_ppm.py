@@ -4,6 +4,7 @@ import math
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from ephyspark.llm import ppm
@@ -50,8 +51,10 @@ def plain_scores(rows):
     return out
 
 
-@pytest.mark.parametrize("rows", ["table", "awkward"])
-def test_scores(spark, rows):
+@pytest.mark.parametrize(("rows", "hot"), [("table", ppm.HOT_ONE_IN), ("awkward", ppm.HOT_ONE_IN), ("awkward", 1 << 40), ("awkward", 1)])
+def test_scores(spark, monkeypatch, rows, hot):
+    """Few, all and no contexts are split by their third byte."""
+    monkeypatch.setattr(ppm, "HOT_ONE_IN", hot)
     rows = documents(spark)[:60] if rows == "table" else awkward()
     want = plain_scores(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
@@ -68,3 +71,18 @@ def test_no_training_rows(spark):
     got = ppm.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == len(rows) and all(r.score == pytest.approx(-3 * math.log10(256), rel=1e-6) and r.train_tokens == 0 for r in got)
     assert ppm.digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_repeated_rows_and_rows_without_key(spark):
+    rows = [(None, "x y"), (None, "x y"), (4, "x y"), (4, "x y"), (None, None)]
+    got = ppm.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 5 and {r.train_tokens for r in got} == {13}
+    assert len({r.score for r in got if r.n_tokens == 3}) == 1 and [r.n_tokens for r in got].count(1) == 1
+
+
+def test_triples():
+    r = np.random.default_rng(3)
+    for top in (30, 256):
+        runs = r.integers(0, top, 5000, dtype=np.uint64) | r.integers(0, top, 5000, dtype=np.uint64) << np.uint64(8) | r.integers(0, top, 5000, dtype=np.uint64) << np.uint64(16)
+        key, n = ppm._triples(runs | np.uint64(1 << 40))
+        assert dict(zip(key.tolist(), n.tolist(), strict=True)) == Counter(runs.tolist())
