@@ -10,8 +10,9 @@ Chosen texts are cut into blocks at block elements and line breaks, character re
 block becomes one space, and blocks are joined by one newline.
 
 Defined results: null, empty and unparsable pages, and pages without main text, give the empty text; unclosed and stray
-tags are repaired; pages are judged one by one, so repeated rows give equal texts; other columns pass through,
-and a column with the name of the new one is replaced.
+tags are repaired; pages are judged one by one, so repeated rows give equal texts; a long or broken page takes time in
+proportion to its length and is held whole by one task; an empty table gives an empty table; other columns pass through, and a
+column with the name of the new one is replaced.
 """
 
 from __future__ import annotations
@@ -57,14 +58,21 @@ STEMS = {
 GROUPS = list(STEMS)
 EXACT = {"ad": "ad", "ads": "ad", "adv": "ad", "head": "edge", "foot": "edge", "side": "side"}
 
-_TOKEN = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[!?][^>]*>)", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_MARK = re.compile(r"[\"'>]")
+_RAW_END = {t: re.compile(f"</{t}", re.I) for t in RAW}
+#: Attributes of more characters are not remembered.
+LONG_ATTRIBUTES = 400
 _ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|aria-label|data-role|name)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-@lru_cache(maxsize=20_000)
 def attribute_groups(attributes: str) -> int:
     """A bit for each group with a token among the naming attributes, and one for hidden elements."""
+    return _remembered_groups(attributes) if len(attributes) <= LONG_ATTRIBUTES else _attribute_groups(attributes)
+
+
+def _attribute_groups(attributes: str) -> int:
     bits = 0
     for _, value in _ATTRIBUTE.findall(attributes):
         for token in _PIECE.findall(value):
@@ -80,6 +88,74 @@ def attribute_groups(attributes: str) -> int:
     return bits
 
 
+_remembered_groups = lru_cache(maxsize=20_000)(_attribute_groups)
+
+
+class Tags:
+    """The tags of a page in order, found by scans that only go forward.
+
+    A tag ends at the first `>` outside quotes, or at the first one at all where its quotes don't close. Where nothing
+    more is to be found is remembered, and so are the quotes from which a scan ran into the end of the page: no later scan
+    goes beyond them, so a page takes time in proportion to its length however it is broken.
+    """
+
+    def __init__(self, source: str):
+        self.source, self.size = source, len(source)
+        self.known: dict[str, int] = {}
+        self.failed: set[int] = set()
+
+    def next_of(self, what: str, at: int) -> int:
+        """The next place of a mark, or the page's size; places asked for must not go back."""
+        k = self.known.get(what, -1)
+        if k < at:
+            k = self.source.find(what, at)
+            k = self.known[what] = self.size if k < 0 else k
+        return k
+
+    def end_of(self, at: int) -> int:
+        """The place of the `>` that ends a tag whose name ends at `at`, or the page's size."""
+        first = self.next_of(">", at)
+        if first == self.size or min(self.next_of('"', at), self.next_of("'", at)) > first:
+            return first
+        i, opened = min(self.next_of('"', at), self.next_of("'", at)), []
+        while True:
+            if i in self.failed:
+                break
+            opened.append(i)
+            close = self.source.find(self.source[i], i + 1)
+            m = _MARK.search(self.source, close + 1) if close >= 0 else None
+            if not m:
+                break
+            i = m.start()
+            if m[0] == ">":
+                return i
+        self.failed.update(opened)
+        return first
+
+    def __iter__(self) -> Iterator[tuple[int, int, bool, str, str]]:
+        """Start, end, whether it closes, name and attributes; comments and declarations have no name."""
+        s, at = self.source, 0
+        while (start := s.find("<", at)) >= 0:
+            at = start + 1
+            if s.startswith("!--", at):
+                end = s.find("-->", at + 3)
+                at = self.size if end < 0 else end + 3
+                yield start, at, False, "", ""
+            elif s.startswith(("!", "?"), at):
+                if (end := self.next_of(">", at)) < self.size:
+                    at = end + 1
+                    yield start, at, False, "", ""
+            else:
+                closes = s.startswith("/", at)
+                if self.next_of(">", at) == self.size or not (name := _NAME.match(s, at + closes)):
+                    continue
+                if (end := self.end_of(name.end())) < self.size:
+                    at = end + 1
+                    jump = yield start, at, closes, name[0], s[name.end() : end]
+                    if jump:
+                        at = jump
+
+
 class Page:
     """A page's nodes in document order; a text node holds its characters and the number of its block."""
 
@@ -88,58 +164,58 @@ class Page:
         at, block = 0, 0
         self._add(KIND["html"], -1, 0, 0)
         top = [("", 0, False)]
-        find = _TOKEN.search
+        #: Where in `top` the open elements of each name stand, and those that are blocks.
+        places: dict[str, list[int]] = {}
+        blocks: list[int] = []
+
+        def cut(k: int) -> None:
+            for name, _, _ in reversed(top[k:]):
+                places[name].pop()
+            del top[k:]
+            while blocks and blocks[-1] >= k:
+                blocks.pop()
+
+        last = lambda names: max((places[t][-1] for t in names if places.get(t)), default=0)
         n = len(source)
-        while at < n:
-            m = find(source, at)
-            start = m.start() if m else n
+        tags = iter(Tags(source))
+        tag_found = next(tags, None)
+        while tag_found:
+            jump = None
+            start, end, slash, tag, attributes = tag_found
             if start > at:
                 self._add_text(source[at:start], top[-1], block)
-            if not m:
+            at = end
+            if tag:
+                tag = tag.lower()
+                if tag in BLOCKS:
+                    block += 1
+                if slash:
+                    if places.get(tag):
+                        cut(places[tag][-1])
+                elif tag != "html" or len(top) > 1:
+                    if tag in CLOSES_P and blocks and top[blocks[-1]][0] == "p":
+                        cut(blocks[-1])
+                    if tag in ENDS:
+                        same, wall = ENDS[tag]
+                        if (k := last(same)) > last(wall):
+                            cut(k)
+                    if tag not in VOID:
+                        parent = top[-1][1]
+                        self._add(KIND.get(tag, INLINE), parent, self.depth[parent] + 1, attribute_groups(attributes) if "=" in attributes or "hidden" in attributes else 0)
+                        if tag in RAW:
+                            close = _RAW_END[tag].search(source, at)
+                            at = jump = source.find(">", close.start()) + 1 or n if close else n
+                        elif not attributes.endswith("/"):
+                            top.append((tag, len(self.kind) - 1, tag == "a" or top[-1][2]))
+                            places.setdefault(tag, []).append(len(top) - 1)
+                            if tag in BLOCKS:
+                                blocks.append(len(top) - 1)
+            try:
+                tag_found = tags.send(jump)
+            except StopIteration:
                 break
-            at = m.end()
-            slash, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-            if not tag:
-                continue
-            tag = tag.lower()
-            if tag in BLOCKS:
-                block += 1
-            if slash:
-                for k in range(len(top) - 1, 0, -1):
-                    if top[k][0] == tag:
-                        del top[k:]
-                        break
-                continue
-            if tag == "html" and len(top) == 1:
-                continue
-            if tag in CLOSES_P:
-                for k in range(len(top) - 1, 0, -1):
-                    name = top[k][0]
-                    if name == "p":
-                        del top[k:]
-                        break
-                    if name in BLOCKS:
-                        break
-            if tag in ENDS:
-                same, wall = ENDS[tag]
-                for k in range(len(top) - 1, 0, -1):
-                    if top[k][0] in wall:
-                        break
-                    if top[k][0] in same:
-                        del top[k:]
-                        break
-            if tag in VOID:
-                continue
-            parent = top[-1][1]
-            self._add(KIND.get(tag, INLINE), parent, self.depth[parent] + 1, attribute_groups(attributes) if "=" in attributes or "hidden" in attributes else 0)
-            if tag in RAW:
-                end = re.compile(f"</{tag}", re.I).search(source, at)
-                close = end.start() if end else n
-                at = source.find(">", close) + 1 if end else n
-                at = at or n
-                continue
-            if not attributes.endswith("/"):
-                top.append((tag, len(self.kind) - 1, tag == "a" or top[-1][2]))
+        if at < n:
+            self._add_text(source[at:], top[-1], block)
 
     def _add(self, kind: int, parent: int, depth: int, bits: int) -> None:
         self.kind.append(kind)
@@ -155,7 +231,7 @@ class Page:
         text = html.unescape(raw) if "&" in raw else raw
         size = len(text) if not text.isspace() else 0
         if not size:
-            if self.text[-1] is not None and self.block[-1] == block:
+            if self.text[-1] is not None and self.block[-1] == block and not self.text[-1][-1].isspace():
                 self.text[-1] += " "
             return
         self._add(TEXT, inside[1], self.depth[inside[1]] + 1, 0)
@@ -225,16 +301,16 @@ def decode(page: Page, odds: np.ndarray) -> np.ndarray:
 
 
 def render(page: Page, chosen: np.ndarray) -> str:
-    blocks: list[str] = []
+    blocks: list[list[str]] = []
     last = None
     for i in np.flatnonzero(chosen).tolist():
         if page.kind[i] == TEXT:
             if page.block[i] == last:
-                blocks[-1] += page.text[i]
+                blocks[-1].append(page.text[i])
             else:
-                blocks.append(page.text[i])
+                blocks.append([page.text[i]])
                 last = page.block[i]
-    return "\n".join(x for x in (" ".join(b.split()) for b in blocks) if x)
+    return "\n".join(x for x in (" ".join("".join(b).split()) for b in blocks) if x)
 
 
 class Trees:

@@ -3,7 +3,9 @@
 import html
 import random
 import re
+import time
 
+import numpy as np
 import pytest
 
 from ephyspark.llm import htmltext
@@ -62,3 +64,35 @@ def test_pages(spark, source, text):
     got = htmltext.digest(spark.createDataFrame([(1, "u", source), (2, "u", None)], "page_id long, url string, html string")).collect()
     by = {r.page_id: r.text for r in got}
     assert by[2] == "" and (text is None or by[1] == text)
+
+
+@pytest.mark.parametrize(
+    "piece",
+    ["<a", "</b>", "<!", "<a \">", "<a \"'>", "<a \">\" ", "<a '", "<li>", "<p>a", "<b> </b>", "<div>", "<script>", "<!--", "< ", "<td><b>", "class = "],
+)
+def test_broken_pages_take_linear_time(piece):
+    source = "<p><div><b>" + piece * (1_000_000 // len(piece)) + "<hr>"
+    began = time.process_time()
+    page = htmltext.Page(source)
+    assert time.process_time() - began < 2
+    htmltext.render(page, np.ones(len(page.kind), dtype=bool))
+    assert time.process_time() - began < 4
+
+
+def test_quotes():
+    """A tag ends outside quotes; where they don't close, at the first mark."""
+    texts = lambda s: [t for t in htmltext.Page(s).text if t]
+    assert texts("<a title='x>y'>in</a>") == ["in"]
+    assert texts("<a title='x>y</a>") == ["y"]
+    assert texts('<a ">" <a ">" <b>t') == ["t"]
+    assert texts('<a ">" <b') == ['" <b']
+    assert texts("a < b <c") == ["a < b <c"]
+
+
+def test_empty_repeated_and_clashing(spark):
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert htmltext.digest(none).collect() == []
+    html_ = "<article><h1>T</h1><p>" + "some words here " * 20 + "</p></article><footer>f</footer>"
+    df = spark.createDataFrame([(1, "u", html_, "old", 7)] * 3, "page_id long, url string, html string, main_text string, kind int")
+    got = htmltext.extract(df).collect()
+    assert len({tuple(r) for r in got}) == 1 and len(got) == 3 and got[0].kind == 7 and got[0].main_text.startswith("T\nsome words")
