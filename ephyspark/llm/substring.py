@@ -9,16 +9,19 @@ found exactly, which also reduces any hot passage to one row per group. Across g
 1. A window is represented by its minimizer, the least hash among its `GRAM`-word runs; equal windows have equal
    minimizers. Each group makes a partition sketch: in each of `DEPTH` rows, the cells that its minimizers touch. The
    sketches are merged block by block by addition, so a counter says in how many groups, at most, a
-   minimizer occurs (it overestimates, never the reverse), and each group is told which of its cells count two or more.
-   No task and no driver holds the sketch: its width follows the input's size and its blocks are spread over tasks.
-2. Only windows estimated to occur in two groups go on. They are grouped exactly, by minimizer and window hash (128 bits
-   together), in order of document and place; all but the first are reported back to their group.
+   minimizer occurs (it overestimates, never the reverse), and each group is told which of its cells count two or more,
+   and which count `HOT` or more. No task and no driver holds the sketch: its width follows the input's size and its
+   blocks are spread over tasks.
+2. Only windows estimated to occur in two groups go on. They are grouped exactly, by minimizer and window hash (64 bits
+   each), in order of document and place; all but the first are reported back to their group. The windows of a hot
+   minimizer are split over `PARTS` parts by their hash, in which equal windows still meet.
 
 Each step is one pass over the dealt documents, whose exchange Spark reuses, so texts are shuffled once.
 
 Defined results: null and empty texts and texts shorter than a window lose nothing; rows with equal keys are one group's
-neighbours and count as consecutive, ordered by text; a null key precedes all others; other columns pass through, and a
-column with the name of a new one is replaced.
+neighbours and count as consecutive, ordered by text; rows with a null key precede all others, in the order of a hash of their
+text; a very long text is one pass of its own and as large as a row may be; an empty table gives an empty table; other
+columns pass through, and a column with the name of a new one is replaced.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -41,6 +45,8 @@ GRAM, DEPTH = 8, 2
 GROUP_BYTES = 5 << 19
 #: Cells of a sketch's block at least, and blocks of a row of the sketch at most.
 BLOCK, BLOCKS = 1 << 16, 1 << 11
+#: Groups that a minimizer must occur in to be split, and the parts that it is split into.
+HOT, PARTS = 128, 256
 _WORD = non_space_table()
 
 
@@ -48,7 +54,10 @@ class Group:
     """The windows of a group's documents, in order of key and text."""
 
     def __init__(self, table: pa.Table, key: str, text: str, width: int):
-        self.table = table.sort_by([(key, "ascending"), (text, "ascending")]).combine_chunks() if table.num_rows > 1 else table
+        if table.num_rows > 1:
+            by = [(key, "ascending"), (text, "ascending")]
+            table = table.take(pc.sort_indices(table.select([key, text]), by, null_placement="at_start")).combine_chunks()
+        self.table = table
         self.width = width
         hashes, counts = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
         for part in passes(self.table.select([text]), text):
@@ -87,24 +96,25 @@ class Group:
 
 def _merge_blocks(size: int, dtype):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Adds the sketches of each block and answers every group: 1 for each of its cells that counts two or more."""
+        """Adds the sketches of each block and answers every group: 1 for each of its cells that counts two, 2 for HOT."""
         for t in runs(batches, "block"):
             cells, n = flat_binary(t.column("cells"), dtype)
-            many = np.bincount(cells, minlength=size) >= 2
-            yield pa.RecordBatch.from_arrays([t.column("g").combine_chunks(), t.column("block").combine_chunks(), binary_slices(many[cells].astype(np.uint8), np.concatenate([[0], np.cumsum(n)]))], names=["g", "block", "many"])
+            count = np.bincount(cells, minlength=size)
+            many = (count >= 2).astype(np.uint8) + (count >= HOT)
+            yield pa.RecordBatch.from_arrays([t.column("g").combine_chunks(), t.column("block").combine_chunks(), binary_slices(many[cells], np.concatenate([[0], np.cumsum(n)]))], names=["g", "block", "many"])
 
     return run
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of windows that are not the first of their kind; rows come in order of minimizer, document and place."""
+    """Runs of windows that are not the first of their kind; rows come in order of minimizer, part, document and place."""
     last, seen = None, np.zeros(0, dtype=np.uint64)
     for b in batches:
         if not b.num_rows:
             continue
         h, n = flat_binary(b.column("hashes"), np.uint64)
         take = lambda name: b.column(name).to_numpy(zero_copy_only=False)
-        m = np.repeat(take("m").view(np.uint64), n)
+        m = np.repeat(take("m").view(np.uint64) ^ take("part").astype(np.uint64), n)  # a hash by its part: one list of windows
         g, r = np.repeat(take("g"), n), np.repeat(take("r"), n)
         pos = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(take("pos"), n)
         order = np.argsort(h ^ m * np.uint64(0x9E3779B97F4A7C15), kind="stable")
@@ -144,24 +154,23 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", width
         return pa.table([g, pa.array(blocks), data], names=["g", "block", "cells"])
 
     def candidates(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["m", "key", "r", "pos", "g", "hashes"]
+        names = ["m", "part", "key", "r", "pos", "g", "hashes"]
         group = Group(left, key, text, width) if left.num_rows else None
         if group is None or not len(group.at):
-            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())], names=names)
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())], names=names)
         m, back = np.unique(group.minimizer, return_inverse=True)
         by_row = group.cells(m, cells)
         used = np.unique(np.concatenate(by_row))
         many, _ = flat_binary(right.sort_by("block").column("many"), np.uint8)
-        repeated = np.ones(len(m), dtype=bool)
-        for c in by_row:
-            repeated &= many[np.searchsorted(used, c)] > 0
-        i = np.flatnonzero(repeated[back] & ~group.again)
+        level = np.min([many[np.searchsorted(used, c)] for c in by_row], axis=0)[back]
+        i = np.flatnonzero((level > 0) & ~group.again)
+        part = np.where(level[i] > 1, 1 + (group.hash[i] % np.uint64(PARTS)).astype(np.int32), 0).astype(np.int32)
         new = np.ones(len(i), dtype=bool)
-        new[1:] = (np.diff(group.at[i]) != 1) | (np.diff(back[i]) != 0) | (np.diff(group.row[i]) != 0)
+        new[1:] = (np.diff(group.at[i]) != 1) | (np.diff(back[i]) != 0) | (np.diff(group.row[i]) != 0) | (np.diff(part) != 0)
         s = np.flatnonzero(new)
         row, at = group.row[i][s], group.at[i][s]
         keys = group.table.column(key).cast(pa.int64()).fill_null(-(2**63)).to_numpy()
-        columns = [pa.array(m[back[i][s]].view(np.int64)), pa.array(keys[row]), pa.array(row.astype(np.int32)), pa.array((at - group.first[row]).astype(np.int32))]
+        columns = [pa.array(m[back[i][s]].view(np.int64)), pa.array(part[s]), pa.array(keys[row]), pa.array(row.astype(np.int32)), pa.array((at - group.first[row]).astype(np.int32))]
         g = pa.array(np.full(len(s), left.column("g")[0].as_py(), dtype=np.int32))
         return pa.table([*columns, g, binary_slices(group.hash[i], np.append(s, len(i)))], names=names)
 
@@ -195,8 +204,8 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", width
 
     sketches = dealt.groupBy("g").applyInArrow(sketch, "g int, block long, cells binary")
     answers = sketches.repartition("block").sortWithinPartitions("block", "g").mapInArrow(_merge_blocks(block, dtype), "g int, block long, many binary")
-    exact = dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(candidates, "m long, key long, r int, pos int, g int, hashes binary")
-    later = exact.repartition("m").sortWithinPartitions("m", "key", "r", "pos").mapInArrow(_later, "g int, r int, pos int, n int")
+    exact = dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(candidates, "m long, part int, key long, r int, pos int, g int, hashes binary")
+    later = exact.repartition("m", "part").sortWithinPartitions("m", "part", "key", "g", "r", "pos").mapInArrow(_later, "g int, r int, pos int, n int")
     out = dealt.groupBy("g").cogroup(later.groupBy("g")).applyInArrow(finish, schema)
     return out.select(*[F.col(n).alias(c) for c, n in names.items()], "n_words", "n_removed", F.col("kept").alias(kept))
 

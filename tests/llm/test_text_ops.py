@@ -133,3 +133,16 @@ def test_rows_without_key_and_repeated_rows(spark):
     got = sorted(tuple(r) for r in minhash.digest(df).where("doc_id IS NOT NULL").collect())
     assert got == [(1, 3, 1, True), (2, 3, 1, False), (2, 3, 1, False)]
     assert [(r.n_shingles, r.component_id, r.kept) for r in minhash.digest(df).where("doc_id IS NULL").collect()] == [(3, None, True)] * 2
+
+
+def test_hot_minimizer_and_rows_without_key(spark, monkeypatch):
+    """One common run of words in most documents, split by window; null keys come first and are spread."""
+    monkeypatch.setattr(substring, "HOT", 2)
+    r = random.Random(8)
+    common = " ".join(f"c{k}" for k in range(30))
+    rows = [(i, " ".join(f"v{r.randrange(50)}" for _ in range(r.randrange(25))) + f" {common} " + " ".join(f"v{r.randrange(50)}" for _ in range(25))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.digest(df).collect()} == brute.repeats(rows)
+    mixed = spark.createDataFrame([(None, rows[0][1])] * 2 + [(None, rows[1][1]), (5, rows[0][1])], "doc_id long, text string")
+    got = substring.digest(mixed).collect()
+    assert sum(r.n_removed == 0 for r in got) == 1 and [r.n_removed for r in got if r.doc_id == 5] == [len(rows[0][1].split())]
