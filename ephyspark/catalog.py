@@ -2,19 +2,24 @@
 
 A prefix is a folder. Its tables are replaced file by file, so importing a recording again replaces its earlier rows:
 `nev_scans`, `nev_header`, `ext_<TAG>`, `event_<type>`, `event_spike`, `nsx_scans`, `nsx_header`, `channels`, `packets`,
-`partition_info` and `signals`, the last one partitioned by which_nsx, partition and electrode_id.
+`partition_info` and `signals`, the last one partitioned by which_nsx, original_filename, partition and electrode_id, so
+that recordings of one prefix stand side by side.
 """
 
 from __future__ import annotations
 
 import re
+import struct
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import channel_name, expand_svec, time_origin_of
-from .operators.signal import long_view
+from .operators.signal import long_view, packet_offsets, partition_at_pauses, slope_intercept
 from .operators.tables import first_match, read_table, upsert_parquet
 from .sources import register
 from .sources.files import list_files, size, stem
@@ -43,8 +48,12 @@ def _siblings(path: str) -> tuple[str, list[str]]:
     return base, found
 
 
-def import_nsp(spark: SparkSession, path: str, prefix: str, exclude_events: str | tuple[str, ...] = ("spike",), exclude_nsx: str | tuple[int, ...] = ()) -> Collection:
-    """Imports an event file and its signal files, given any of them or their common beginning."""
+def import_nsp(spark: SparkSession, path: str, prefix: str, exclude_events: str | tuple[str, ...] = ("spike",), exclude_nsx: str | tuple[int, ...] = (), progress: Callable[[str], None] | None = None) -> Collection:
+    """Imports an event file and its signal files, given any of them or their common beginning.
+
+    `progress` is called with the name of each file and table when it is done.
+    """
+    told = progress or (lambda _: None)
     register(spark)
     base, files = _siblings(path)
     skip = set(expand_svec(exclude_nsx)) if isinstance(exclude_nsx, str) else set(exclude_nsx)
@@ -54,13 +63,14 @@ def import_nsp(spark: SparkSession, path: str, prefix: str, exclude_events: str
         raise FileNotFoundError(f"no recording {base}.nev or {base}.ns1 to .ns9")
     for f in use:
         if f.lower().endswith(".nev"):
-            import_nev(spark, f, prefix, excluded)
+            import_nev(spark, f, prefix, excluded, told)
         else:
-            import_nsx(spark, f, prefix)
+            import_nsx(spark, f, prefix, told)
+        told(stem(f))
     return get_nsp(spark, prefix) if any(f.lower().endswith(".nev") for f in use) else Collection(prefix, {}, _signal_tables(spark, prefix))
 
 
-def import_nev(spark: SparkSession, path: str, prefix: str, exclude_events: set[str] = frozenset({"spike"})) -> None:
+def import_nev(spark: SparkSession, path: str, prefix: str, exclude_events: set[str] = frozenset({"spike"}), told: Callable[[str], None] = lambda _: None) -> None:
     """Imports the tables of one event file; excluded kinds of events are never decoded."""
     file, name = read_nev_file(path), stem(path)
     read = lambda table: spark.read.format("nev").option("table", table).load(path)
@@ -77,7 +87,11 @@ def import_nev(spark: SparkSession, path: str, prefix: str, exclude_events: set[
         "bytes_in_data_packet",
         "comment",
     )
-    put = lambda table, df: upsert_parquet(spark, f"{prefix}/{table}", df, "original_filename", [name])
+
+    def put(table: str, df: DataFrame) -> None:
+        upsert_parquet(spark, f"{prefix}/{table}", df, "original_filename", [name])
+        told(f"{name}: {table}")
+
     put("nev_scans", scans)
     put("nev_header", header)
     for tag in file.spec.tags:
@@ -87,13 +101,17 @@ def import_nev(spark: SparkSession, path: str, prefix: str, exclude_events: set[
             put(f"event_{e.event}", read(f"event:{e.event}"))
 
 
-def import_nsx(spark: SparkSession, path: str, prefix: str) -> None:
+def import_nsx(spark: SparkSession, path: str, prefix: str, told: Callable[[str], None] = lambda _: None) -> None:
     """Imports one signal file: headers, packet index, partitions at pauses and calibrated blocks by channel."""
     file, name = read_nsx_file(path), stem(path)
     which = int(path[-1])
     read = lambda table: spark.read.format("nsx").option("table", table).load(path)
     base = re.sub(r"(?i)\.ns[1-9]$", "", name)
-    put = lambda table, df, key="original_filename", values=(name,): upsert_parquet(spark, f"{prefix}/{table}", df, key, list(values))
+
+    def put(table: str, df: DataFrame) -> None:
+        upsert_parquet(spark, f"{prefix}/{table}", df, "original_filename", [name])
+        told(f"{name}: {table}")
+
     packets = read("packets").withColumn("original_filename", F.lit(name)).withColumn("which_nsx", F.lit(which))
     parts = (
         packets.groupBy("partition", "sample_rate")
@@ -126,17 +144,46 @@ def import_nsx(spark: SparkSession, path: str, prefix: str) -> None:
     put("channels", table)
     put("channel_info", channels.withColumn("original_filename", F.lit(name)).withColumn("which_nsp", F.lit(which)).withColumn("filename", channel_name(F.col("electrode_id"), F.col("electrode_label"))))
     put("nsx_scans", read("header").select(F.lit(base).alias("filename"), time_origin_of(F.col("time_origin")).alias("acq_time"), F.lit(name).alias("original_filename"), "file_type", F.concat_ws(".", F.col("file_spec").cast("array<string>")).alias("file_spec"), "period", "channel_count", "label", "time_resolution_timestamp", F.lit(parts.count()).alias("n_partitions")))
-    fs_path = f"{prefix}/signals/which_nsx={which}"
-    _delete(spark, fs_path)
+    fs_path = f"{prefix}/signals/which_nsx={which}/original_filename={name}"
     blocks = read("samples").drop("which_nsx")
     deal = max(1, -(-size(path) // SPLIT))
     out = blocks.repartition(deal * max(1, min(64, file.header["channel_count"])), "partition", "electrode_id", F.floor(F.col("start_sample") / (1 << 24)))
     out.sortWithinPartitions("partition", "electrode_id", "start_sample").write.mode("overwrite").partitionBy("partition", "electrode_id").parquet(fs_path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def samples_by_bytes(spark: SparkSession, path: str) -> DataFrame:
+    """A second importer of signals, to check the first: file_id, electrode_id, partition, sample and value.
+
+    It takes whole files as binary values (2 GB at most) and walks through their packets one by one; partitions, sample
+    numbers and calibration are DataFrame operations. Partitions follow the header's own resolution. Nothing of the data
+    source's planning, splitting and numeric code is used but the channel table.
+    """
+    register(spark)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ns[1-9]").load(path).select("path", "content")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for file, x in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+                wide = x[8] == 3
+                end, (period, resolution), count = struct.unpack_from("<I", x, 10)[0], struct.unpack_from("<II", x, 286), struct.unpack_from("<I", x, 310)[0]
+                at, head, rows = end, struct.Struct("<BQI" if wide else "<BII"), []
+                while at + head.size <= len(x) and x[at] == 1:
+                    _, tick, n = head.unpack_from(x, at)
+                    at += head.size
+                    values = np.frombuffer(x, dtype="<i2", count=n * count, offset=at)
+                    rows.append((stem(file), len(rows), tick / resolution, n, 30000 / period, count, values.tolist()))
+                    at += 2 * n * count
+                kinds = (pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.int32(), pa.list_(pa.int16()))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["file_id", "packet_seq", "t", "n", "rate", "width", "x"])
+
+    p = files.mapInArrow(walk, "file_id string, packet_seq long, t double, n long, rate double, width int, x array<short>")
+    p = partition_at_pauses(p, ["file_id"], ["packet_seq"], F.col("t"), F.col("t") + F.col("n") / F.col("rate"), F.lit(2) / F.col("rate"))
+    p = packet_offsets(p, "packet_seq", F.col("n"), ["file_id", "partition"], "first_")
+    s = p.select("file_id", "partition", "first_", "width", F.posexplode("x").alias("k", "raw"))
+    s = s.select("file_id", "partition", (F.col("k") % F.col("width")).alias("position"), (F.col("first_") + F.floor(F.col("k") / F.col("width"))).alias("sample"), "raw")
+    channels = slope_intercept(spark.read.format("nsx").option("table", "channels").load(path)).select("file_id", "position", "electrode_id", "slope", "intercept")
+    return s.join(channels, ["file_id", "position"]).select("file_id", "electrode_id", "partition", "sample", (F.col("raw") * F.col("slope") + F.col("intercept")).alias("value"))
 
 
 def _tables(spark: SparkSession, prefix: str) -> list[str]:
@@ -219,17 +266,17 @@ class Channel:
 
 
 def get_channel(spark: SparkSession, prefix: str, channel_id: int) -> Channel | None:
-    """An electrode in the signal file with the highest number that has it, its first record if it has several."""
+    """An electrode in the signal file with the highest number that has it, of the first recording, its first record."""
     info = read_table(spark, f"{prefix}/channel_info")
     if info is None:
         return None
     own = info.where(F.col("electrode_id") == channel_id)
-    best = own.withColumn("rank_", F.row_number().over(Window.partitionBy("electrode_id").orderBy(F.desc("which_nsp"), "position"))).where("rank_ = 1").drop("rank_")
+    best = first_match(own.withColumn("down_", -F.col("which_nsp")), ["electrode_id"], ["down_", "original_filename", "position"]).drop("down_")
     row = best.first()
     if row is None:
         return None
-    blocks = spark.read.parquet(f"{prefix}/signals").where((F.col("which_nsx") == row.which_nsp) & (F.col("electrode_id") == channel_id))
-    return Channel(best, blocks)
+    blocks = spark.read.parquet(f"{prefix}/signals").where((F.col("which_nsx") == row.which_nsp) & (F.col("original_filename") == row.original_filename) & (F.col("electrode_id") == channel_id))
+    return Channel(best, blocks.drop("original_filename"))
 
 
 def spike_waveforms(spark: SparkSession, prefix: str) -> DataFrame | None:

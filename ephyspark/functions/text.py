@@ -143,13 +143,15 @@ def decode_percent(x: str | None, nil: str = "", compat: bool = True) -> str | N
 
 
 def percent_decode(text: Column, nil: str = "", compat: bool = True) -> Column:
+    """`decode_percent` of a column; only texts with an escape or a NUL go through Python."""
     ship(SparkSession.getActiveSession())
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda x: decode_percent(x, nil, compat), na_action="ignore")
 
-    return run(text)
+    coded = text.contains("%") | text.contains("\0")
+    return F.when(coded, run(F.when(coded, text))).otherwise(text)
 
 
 def trim_value(x: str, compat: bool = False) -> str:

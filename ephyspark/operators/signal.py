@@ -21,7 +21,7 @@ def slope_intercept(channels: DataFrame) -> DataFrame:
     """Adds slope and intercept from a channel table's digital and analog bounds, and rewrites the units to uV."""
     s = unit_scale(F.col("units"))
     low, high = F.col("min_analog_value") * s, F.col("max_analog_value") * s
-    d_low, d_high = F.col("min_digital_value"), F.col("max_digital_value")
+    d_low, d_high = (F.col(f"{k}_digital_value").cast("double") for k in ("min", "max"))  # a range may exceed 16 bits
     out = channels.withColumn("slope", (high - low) / (d_high - d_low))
     out = out.withColumn("intercept", ((high + low) - F.col("slope") * (d_high + d_low)) / 2)
     return out.withColumn("units", F.when(F.col("units").isin(*MICROVOLTS), "uV").otherwise(F.col("units")))
@@ -58,18 +58,21 @@ def summarise_partitions(df: DataFrame, keys: Sequence[str], start: Column, end:
     return df.groupBy(*keys).agg(F.count("*").alias("n_packets"), F.sum(points).cast("bigint").alias("n_samples"), F.min(start).alias("start_time"), F.max(end).alias("end_time"))
 
 
-def packet_offsets(df: DataFrame, order: str, length: Column, within: Sequence[str] = (), out: str = "byte_offset", blocks: int = 64) -> DataFrame:
-    """Adds the exclusive running sum of lengths in the given order.
+def packet_offsets(df: DataFrame, order: str, length: Column, within: Sequence[str] = (), out: str = "byte_offset", levels: int = 10) -> DataFrame:
+    """Adds the exclusive running sum of lengths in the given order; rows without an order come first, ties in any order.
 
-    Without `within` the order spans the whole table. It is computed in two steps, so that no task gets all rows: sums per
-    block of the order column, and running sums inside each block.
+    Without `within` the order, a number or a time, spans the whole table. It is computed in two steps, so that no task gets
+    all rows: sums per block of the order column, and running sums inside each block. The 2 ** levels blocks lie between
+    approximate quantiles, so they hold about equally many rows however the values are spread.
     """
     if within:
         w = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumn(out, F.coalesce(F.sum(length).over(w), F.lit(0)).cast("bigint"))
-    bounds = df.agg(F.min(order).alias("a"), F.max(order).alias("b")).first()
-    width = max(1, -(-((bounds.b or 0) - (bounds.a or 0) + 1) // blocks)) if bounds.a is not None else 1
-    df = df.withColumn("block_", F.floor((F.col(order) - F.lit(bounds.a or 0)) / width))
+    blocks = 1 << levels
+    bounds = df.agg(F.percentile_approx(order, [k / blocks for k in range(1, blocks)], 10 * blocks).alias("bounds_"))
+    halves = F.array(*[F.lit(1 << k) for k in reversed(range(levels))])
+    block = F.aggregate(halves, F.lit(0), lambda low, step: F.when(F.element_at("bounds_", low + step) <= F.col(order), low + step).otherwise(low))
+    df = df.crossJoin(F.broadcast(bounds)).withColumn("block_", block).drop("bounds_")  # one row
     sums = df.groupBy("block_").agg(F.sum(length).alias("sum_"))
     before = Window.orderBy("block_").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
     sums = sums.select("block_", F.coalesce(F.sum("sum_").over(before), F.lit(0)).alias("skip_"))

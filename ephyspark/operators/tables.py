@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 import time
+import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -59,36 +60,59 @@ def backup(spark: SparkSession, path: str) -> str | None:
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
-    return spark.read.parquet(path) if _exists(spark, path)[2] else None
+    """A stored table, or None; an upsert that broke off between its two renames is undone first."""
+    fs, p, there = _exists(spark, path)
+    old = spark._jvm.org.apache.hadoop.fs.Path(path + _OLD)
+    if not there and fs.exists(old):
+        there = fs.rename(old, p)
+    return spark.read.parquet(path) if there else None
+
+
+#: What a table is called for the moment in which its successor takes its name.
+_OLD = "_replaced"
+
 
+def upsert_parquet(spark: SparkSession, path: str, new: DataFrame, index_column: str | None = None, obsolete_values: Iterable | DataFrame | None = None, tsv: bool = False, keep_backup: bool = False) -> None:
+    """`append_table` on a stored table: written beside it under a name of its own and then renamed into its place.
 
-def upsert_parquet(spark: SparkSession, path: str, new: DataFrame, index_column: str | None = None, obsolete_values: Iterable | None = None, tsv: bool = False, keep_backup: bool = False) -> None:
-    """`append_table` on a stored table: written beside it and then renamed over it, as a table can't replace itself."""
+    The old table is renamed away before and deleted after, so a crash leaves one of them whole; read_table finds it.
+    """
     if new.isEmpty():
         return
     merged = append_table(read_table(spark, path), new, index_column, obsolete_values)
+    staged = f"{path}_{uuid.uuid4().hex}"
+    merged.write.parquet(staged)
     fs, p, there = _exists(spark, path)
-    fresh = spark._jvm.org.apache.hadoop.fs.Path(path + "_new")
-    merged.write.mode("overwrite").parquet(path + "_new")
+    fresh, old = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (staged, path + _OLD))
     if there and keep_backup:
         backup(spark, path)
     elif there:
-        fs.delete(p, True)
-    fs.rename(fresh, p)
+        fs.delete(old, True)
+        fs.rename(p, old)
+    if not fs.rename(fresh, p):
+        raise OSError(f"can't put a new table at {path}")
+    fs.delete(old, True)
     if tsv:
         write_tsv(read_table(spark, path), path + ".tsv")
 
 
+def upsert_partition(spark: SparkSession, path: str, new: DataFrame, *keys: str) -> None:
+    """Replaces the stored partitions of the keys that the new rows have, and leaves all others alone."""
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+
+
 def write_tsv(df: DataFrame, path: str) -> None:
     """Tab-separated with a header; strings are quoted, nested columns are written as JSON."""
     flat = [F.to_json(c).alias(c) if k.startswith(("array", "struct", "map")) else F.base64(c).alias(c) if k == "binary" else F.col(c) for c, k in df.dtypes]
     df.select(*flat).write.mode("overwrite").option("sep", "\t").option("header", True).option("quoteAll", True).csv(path)
 
 
-def first_match(df: DataFrame, keys: list[str], order: Column | str) -> DataFrame:
-    """The first row of each key in the given order."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return df.withColumn("rank_", F.row_number().over(w)).where("rank_ = 1").drop("rank_")
+def first_match(df: DataFrame, keys: list[str], order: str | list[str], last: bool = False) -> DataFrame:
+    """The first row of each key by the given columns, nulls first, or the last one; one row a key leaves each task."""
+    order = [order] if isinstance(order, str) else order
+    by = F.struct(*(x for k, c in enumerate(order) for x in (F.col(c).isNotNull().alias(f"n{k}"), F.col(c).alias(f"c{k}"))))
+    row = (F.max_by if last else F.min_by)(F.struct(*df.columns), by)
+    return df.groupBy(*keys).agg(row.alias("row_")).select("row_.*")
 
 
 def lookup(df: DataFrame, table: DataFrame, left: str, right: str, order: str) -> DataFrame:

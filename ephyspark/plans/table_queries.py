@@ -132,8 +132,9 @@ def union_by_name_fill(spark, sf_dir):
 
 
 def pad_array(spark, sf_dir):
-    e = _read(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 4).alias("x"))
-    return e.select("vec_id", F.posexplode(S.pad(F.col("x").cast("array<double>"), F.lit(8), F.lit(0.0))).alias("pos", "x"))
+    """Whole vectors, padded with zeros to four components more than the longest of 64."""
+    e = _read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    return e.select("vec_id", F.posexplode(S.pad(F.col("x"), F.lit(68), F.lit(0.0))).alias("pos", "x"))
 
 
 def pad_to_longest(spark, sf_dir):
@@ -166,7 +167,7 @@ def id_dispatch(spark, sf_dir):
 def preferred_source(spark, sf_dir):
     """For each part the supplier with the highest number, as a channel is taken from the highest file."""
     l = _read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
-    return U.first_match(l, ["l_partkey"], F.desc("l_suppkey"))
+    return U.first_match(l, ["l_partkey"], "l_suppkey", last=True)
 
 
 def first_match_lookup(spark, sf_dir):
@@ -180,7 +181,9 @@ def label_semi(spark, sf_dir):
 
 
 def key_difference(spark, sf_dir):
-    return _read(spark, sf_dir, "customer").join(_read(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Customers none of whose orders is pending."""
+    pending = _read(spark, sf_dir, "orders").where("o_orderstatus = 'P'")
+    return _read(spark, sf_dir, "customer").join(pending, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 def index_subset_na(spark, sf_dir):
@@ -209,7 +212,9 @@ def meta_round_trip(spark, sf_dir):
 
 
 def percent_decode(spark, sf_dir):
-    return _read(spark, sf_dir, "pages").select("page_id", T.percent_decode(F.col("url"), compat=False).alias("url"))
+    """Addresses as they are, and with every reserved character and some odd escapes written as percent codes."""
+    u = F.col("url")
+    return _read(spark, sf_dir, "pages").select("page_id", T.percent_decode(u, compat=False).alias("url"), T.percent_decode(F.concat(F.url_encode(u), F.lit("%25%%x%zz%c3%A9")), compat=False).alias("decoded"))
 
 
 def tolerance_diff(spark, sf_dir):
@@ -227,6 +232,7 @@ def rate_time(spark, sf_dir):
 
 
 def little_endian(spark, sf_dir):
+    """Numbers of two and four bytes that the first five bytes of a name hold."""
     name = F.col("p_name").cast("binary")
     return _read(spark, sf_dir, "part").select("p_partkey", T.unsigned(name, 1, 2).alias("u16"), T.unsigned(name, 2, 4).alias("u32"))
 
@@ -266,7 +272,7 @@ _SQL = {
     "svec_expand": "SELECT p_partkey, unnest(generate_series(p_size::BIGINT, p_size::BIGINT + 3)) AS idx FROM part UNION SELECT p_partkey, 7::BIGINT FROM part UNION SELECT p_partkey, unnest(generate_series(p_size::BIGINT - 1, p_size::BIGINT + 1)) FROM part WHERE p_size > 0 UNION SELECT p_partkey, 1::BIGINT FROM part WHERE p_size = 0",
     "upsert_replace": "SELECT l_orderkey AS o_orderkey, CAST(sum(l_quantity) AS BIGINT) AS n_units FROM lineitem GROUP BY l_orderkey UNION ALL SELECT o_orderkey, 0 FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)",
     "union_by_name_fill": "SELECT c_name AS name, c_nationkey AS nation, c_mktsegment AS segment, NULL::DOUBLE AS balance FROM customer UNION ALL SELECT s_name, s_nationkey, NULL, s_acctbal FROM supplier",
-    "pad_array": "SELECT vec_id, CAST(unnest(range(8)) AS INTEGER) AS pos, unnest(list_resize(CAST(embedding[1:4] AS DOUBLE[]), 8, 0::DOUBLE)) AS x FROM embeddings",
+    "pad_array": "SELECT vec_id, CAST(unnest(range(68)) AS INTEGER) AS pos, unnest(list_resize(CAST(embedding AS DOUBLE[]), 68, 0::DOUBLE)) AS x FROM embeddings WHERE embedding IS NOT NULL",
     "pad_to_longest": "SELECT p_partkey, (SELECT max(length(p_type)) FROM part) AS n, CAST(list_sum(list_transform(string_split(p_type, ''), lambda c: ascii(c))) AS DOUBLE) AS total FROM part",
     "time_origin_text": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m%dT%H:%M:%S.%g') AS acq_time FROM orders",
     "bit_flags": "SELECT p_partkey, '0' || (p_size & 1) || ' 0' || ((p_size >> 1) & 1) || ' 0' || ((p_size >> 2) & 1) || ' 0' || ((p_size >> 3) & 1) || ' 0' || ((p_size >> 4) & 1) || ' 0' || ((p_size >> 5) & 1) || ' 0' || ((p_size >> 6) & 1) || ' 0' || ((p_size >> 7) & 1) AS flags FROM part",
@@ -276,12 +282,13 @@ _SQL = {
     "preferred_source": "SELECT l_partkey, max(l_suppkey) AS l_suppkey FROM lineitem GROUP BY l_partkey",
     "first_match_lookup": "SELECT c_custkey, c_name, o_orderkey, o_orderstatus FROM customer JOIN (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) AS o ON c_custkey = o_custkey AND r = 1",
     "label_semi": "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
-    "key_difference": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "key_difference": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')",
     "index_subset_na": 'SELECT "order", sample, n_name AS value FROM (VALUES (0, 3), (1, 99), (2, 3), (3, 0), (4, -1), (5, 24)) AS t("order", sample) LEFT JOIN nation ON n_nationkey = sample',
     "max_length_agg": "SELECT lang, CAST(max(length(text)) AS BIGINT) AS max_length, count(*) AS n FROM documents GROUP BY lang",
     "vector_explode": "SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS pos, unnest(embedding) AS x FROM embeddings",
     "json_meta": "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events",
     "meta_round_trip": "SELECT n_nationkey, n_name AS name, n_nationkey AS key FROM nation",
+    "percent_decode": "SELECT page_id, url, url || '%%xzzé' AS decoded FROM pages",
     "tolerance_diff": f"SELECT CAST(sum(CASE WHEN y IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_missing, max(abs(x - y)) AS max_diff, sum(CASE WHEN y IS NULL THEN 1 ELSE 0 END) = 0 AND max(abs(x - y)) <= 1e-10 AS equal FROM (SELECT event_id, value * slope + intercept AS x, CASE WHEN event_type <> 'signup' THEN value * slope + intercept END AS y FROM events JOIN ({_SLOPES}) AS c USING (event_type)) AS d",
     "rate_time": "SELECT event_id, round(CAST(epoch_us(ts) AS DOUBLE) / CASE WHEN event_type = 'click' THEN 1000 ELSE 30000 END, 3) AS time_in_seconds, 30000::DOUBLE / (user_id + 1) AS sample_rate FROM events",
     "little_endian": "SELECT p_partkey, CAST(ascii(p_name) + 256 * ascii(substr(p_name, 2, 1)) AS BIGINT) AS u16, CAST(ascii(substr(p_name, 2, 1)) + 256 * ascii(substr(p_name, 3, 1)) + 65536 * ascii(substr(p_name, 4, 1)) + 16777216::BIGINT * ascii(substr(p_name, 5, 1)) AS BIGINT) AS u32 FROM part",

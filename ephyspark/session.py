@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -31,3 +32,15 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.join("ephyspark", os.path.relpath(full, home)))
     sc.addPyFile(path)
     _shipped.add(sc.applicationId)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares, from spark.checkpoint.dir; a temporary one on a local master where none is set."""
+    sc = spark.sparkContext
+    named = sc._jsc.sc().getCheckpointDir()
+    folder = named.get() if named.isDefined() else spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="shared-")
+    return f"{folder}/{uuid.uuid4().hex}"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import glob
 import os
+import uuid
 from typing import BinaryIO
 from urllib.parse import urlparse
 
@@ -24,6 +25,29 @@ def open_input(path: str) -> BinaryIO:
     return store.open_input_file(inner)
 
 
+def write_file(path: str, content: bytes) -> None:
+    """Writes a file under another name and renames it, so that a task that runs twice leaves one whole file."""
+    part = f"{path}.{uuid.uuid4().hex}.part"
+    if (name := local(path)) is not None:
+        with open(local(part), "wb") as f:
+            f.write(content)
+        os.replace(local(part), name)
+        return
+    store, inner = fs.FileSystem.from_uri(path)
+    with store.open_output_stream(inner + part.removeprefix(path)) as f:
+        f.write(content)
+    store.move(inner + part.removeprefix(path), inner)
+
+
+def make_folder(path: str) -> str:
+    if (name := local(path)) is not None:
+        os.makedirs(name, exist_ok=True)
+    else:
+        store, inner = fs.FileSystem.from_uri(path)
+        store.create_dir(inner, recursive=True)
+    return path
+
+
 def size(path: str) -> int:
     if (name := local(path)) is not None:
         return os.path.getsize(name)

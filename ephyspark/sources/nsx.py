@@ -7,15 +7,16 @@ calibrated microvolts per partition and electrode). Options: `channels` ("1-16,2
 `tolerate_truncation` accepts a cut last packet, `true_time` partitions by the file's own time resolution where versions
 2.x would otherwise be partitioned by nanoseconds, `split_bytes` is the size of a read task.
 
-Planning reads packet headers only. Samples are split into byte ranges of whole blocks; a range may span many packets, so
-files with one sample a packet are read as well as files with one packet. Filters on electrode_id and partition are
+Planning reads packet headers only, of several files at a time. Samples are split into byte ranges of whole blocks; a range
+may span many packets and is read in one piece, so files with one sample a packet are read as well as files with one packet. Filters on electrode_id and partition are
 pushed into the plan where spark.sql.python.filterPushdown.enabled is set.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ from .files import list_files, open_input, size, stem
 
 #: Samples of a block of one channel, and raw bytes of a read task.
 BLOCK, SPLIT_BYTES = 16384, 64 << 20
+#: Files whose packet headers are read at once while planning.
+PLANNERS = 16
 #: Sampling clock of the format in Hz, and the scale of each unit to microvolts. Fixed values.
 CLOCK, MICROVOLTS = 30000, {"V": 1e6, "mV": 1e3}
 
@@ -148,16 +151,23 @@ def which_of(path: str) -> int | None:
     return int(end) if end.isdigit() and len(end) == 1 else None
 
 
+@dataclass
+class Span:
+    """Samples from `start` on of a partition, and the parts of packets that hold them."""
+
+    partition: int
+    start: int
+    relative_time: float
+    points: np.ndarray
+    offsets: np.ndarray
+
+
 @dataclass
 class Split(InputPartition):
+    """A read task: a file, and for samples the spans that it reads; short partitions share a task."""
+
     path: str
-    partition: int = 0
-    start: int = 0
-    stop: int = 0
-    relative_time: float = 0.0
-    #: The packets that the samples start..stop of the partition lie in.
-    points: tuple[int, ...] = ()
-    offsets: tuple[int, ...] = ()
+    spans: list[Span] = field(default_factory=list)
 
 
 class NsxDataSource(DataSource):
@@ -206,8 +216,9 @@ class NsxReader(DataSourceReader):
         if self.table != "samples":
             return [Split(p) for p in paths]
         out: list[InputPartition] = []
-        for p in paths:
-            out += self._plan(read_file(p))
+        with ThreadPoolExecutor(PLANNERS) as pool:
+            for splits in pool.map(lambda p: list(self._plan(read_file(p))), paths):
+                out += splits
         return out or [Split("")]
 
     def _plan(self, file: File) -> Iterator[Split]:
@@ -221,10 +232,12 @@ class NsxReader(DataSourceReader):
         start = seconds(file, index.tick, self.true_time)
         number = partition_numbers(start, index.points, file.rate)
         step = max(1, self.split_bytes // (BLOCK * max(1, width))) * BLOCK
-        for part in np.unique(number):
-            if self.partition_filter is not None and int(part) not in self.partition_filter:
+        spans, held = [], 0
+        cuts = np.append(np.flatnonzero(np.diff(number, prepend=0)), len(number))
+        for c, d in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            own, part = np.arange(c, d), int(number[c])
+            if self.partition_filter is not None and part not in self.partition_filter:
                 continue
-            own = np.flatnonzero(number == part)
             total = np.concatenate([[0], np.cumsum(points[own])])
             for a in range(0, int(total[-1]), step):
                 b = min(a + step, int(total[-1]))
@@ -232,7 +245,13 @@ class NsxReader(DataSourceReader):
                 begin = np.maximum(a, total[first:last])
                 n = np.minimum(b, total[first + 1 : last + 1]) - begin
                 offset = index.offset[own[first:last]] + (begin - total[first:last]) * width
-                yield Split(file.path, int(part), a, b, float(start[own[0]]), tuple(n.tolist()), tuple(offset.tolist()))
+                spans.append(Span(part, a, float(start[c]), n, offset))
+                held += b - a
+                if held >= step:
+                    yield Split(file.path, spans)
+                    spans, held = [], 0
+        if spans:
+            yield Split(file.path, spans)
 
     def read(self, partition: Split) -> Iterator[pa.RecordBatch]:
         if not partition.path:
@@ -261,26 +280,46 @@ class NsxReader(DataSourceReader):
         use = [k for k, c in enumerate(file.channels) if self.channels is None or c["electrode_id"] in self.channels]
         if not use:
             return
-        raw = np.empty((split.stop - split.start, count), dtype="<i2")
-        at = 0
+        spans = split.spans
+        offsets, points = (np.concatenate([getattr(s, a) for s in spans]) for a in ("offsets", "points"))
+        begin, end = int(offsets[0]), int(offsets[-1] + 2 * points[-1] * count)
         with open_input(file.path) as f:
-            for n, offset in zip(split.points, split.offsets, strict=True):
-                f.seek(offset)
-                data = f.read(2 * n * count)
-                if len(data) < 2 * n * count:
-                    raise EOFError(f"{file.path} ends inside a packet")
-                raw[at : at + n] = np.frombuffer(data, dtype="<i2").reshape(n, count)
-                at += n
+            f.seek(begin)
+            data = f.read(end - begin)
+        if len(data) < end - begin:
+            raise EOFError(f"{file.path} ends inside a packet")
+        raw = packet_samples(np.frombuffer(data, dtype=np.uint8), offsets - begin, points, count)
         slope, intercept = calibration(file.channels)
+        # blocks of all spans: where each begins among the samples read, and what it belongs to
+        sizes = np.array([s.points.sum() for s in spans])
+        blocks = -(-sizes // BLOCK)
+        span = np.repeat(np.arange(len(spans)), blocks)
+        inside = (np.arange(len(span)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * BLOCK
+        cuts = pa.array(np.append(np.repeat(np.cumsum(sizes) - sizes, blocks) + inside, len(raw)).astype(np.int32))
+        of = lambda name: np.array([getattr(s, name) for s in spans])[span]
+        same = lambda v, t: pa.array([v] * len(span), t)
         for k in use:
             x = raw[:, k] * slope[k] + intercept[k]
-            cuts = np.append(np.arange(0, len(x), BLOCK), len(x)).astype(np.int32)
-            m = len(cuts) - 1
-            same = lambda v, t, m=m: pa.array([v] * m, t)
-            columns = [same(stem(file.path), pa.string()), same(which_of(file.path), pa.int32()), same(split.partition, pa.int32()), same(file.channels[k]["electrode_id"], pa.int32()), pa.array(split.start + cuts[:-1].astype(np.int64)), same(split.relative_time, pa.float64()), same(file.rate, pa.float64()), pa.ListArray.from_arrays(pa.array(cuts), pa.array(x))]
+            columns = [same(stem(file.path), pa.string()), same(which_of(file.path), pa.int32()), pa.array(of("partition").astype(np.int32)), same(file.channels[k]["electrode_id"], pa.int32()), pa.array(of("start") + inside), pa.array(of("relative_time")), same(file.rate, pa.float64()), pa.ListArray.from_arrays(cuts, pa.array(x))]
             yield pa.RecordBatch.from_arrays(columns, names=SAMPLES.names)
 
 
+def packet_samples(data: np.ndarray, offsets: np.ndarray, points: np.ndarray, count: int) -> np.ndarray:
+    """Samples (rows by channels) of packets at the given places; runs of equal packets at an equal stride are one view."""
+    out = np.empty((int(points.sum()), count), dtype="<i2")
+    stride = np.diff(offsets, append=-1)
+    new = np.ones(len(points), dtype=bool)
+    new[1:] = (points[1:] != points[:-1]) | (stride[1:] != stride[:-1])
+    at = 0
+    runs = np.append(np.flatnonzero(new), len(points)).tolist()
+    for a, b in zip(runs[:-1], runs[1:], strict=True):
+        n, k = int(points[a]), b - a
+        view = np.lib.stride_tricks.as_strided(data[int(offsets[a]) :], (k, 2 * n * count), (int(stride[a]) if k > 1 else 0, 1))
+        out[at : at + k * n] = np.ascontiguousarray(view).view("<i2").reshape(k * n, count)
+        at += k * n
+    return out
+
+
 def _batch(rows: list[dict], schema: T.StructType) -> pa.RecordBatch:
     from pyspark.sql.pandas.types import to_arrow_schema
 

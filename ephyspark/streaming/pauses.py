@@ -24,8 +24,7 @@ def upsert_stream(rows: DataFrame, path: str, index_column: str, checkpoint: str
 
     def put(batch: DataFrame, _: int) -> None:
         batch = batch.persist()
-        keys = [r[0] for r in batch.select(index_column).distinct().collect()]  # names of the batch's files
-        upsert_parquet(batch.sparkSession, path, batch, index_column, keys)
+        upsert_parquet(batch.sparkSession, path, batch, index_column, batch)
         batch.unpersist()
 
     return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

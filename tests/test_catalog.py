@@ -1,5 +1,7 @@
 """Import to the catalog and lookups, end to end."""
 
+import os
+
 import numpy as np
 import pytest
 
@@ -111,3 +113,34 @@ def test_index_text(spark):
     n = spark.createDataFrame([([5, 1, 2, 3, 9, 3, None],), ([],), ([4],)], "n array<bigint>")
     assert [r.s for r in n.select(T.deparse_svec(n.n).alias("s")).collect()] == ["1-3,5,9", "", "4"]
     assert n.select(T.deparse_svec(n.n, max_lag=4).alias("s")).first().s == "1-9"
+
+
+def test_two_recordings_in_one_prefix(spark, tmp_path):
+    """Importing a second recording leaves the first one's signals alone; progress names every table."""
+    x = np.arange(40, dtype=np.int16).reshape(20, 2)
+    channels = [{"electrode_id": k + 1, "electrode_label": f"c{k}"} for k in range(2)]
+    for name, factor in (("one", 1), ("two", 3)):
+        writers.nsx(tmp_path / f"{name}.ns5", channels=channels, packets=[(0, factor * x)], period=1)
+    prefix, told = str(tmp_path / "catalog"), []
+    for name in ("one", "two", "one"):
+        catalog.import_nsp(spark, str(tmp_path / f"{name}.ns5"), prefix, progress=told.append)
+    got = {r.file_id: r.n for r in spark.read.parquet(f"{prefix}/signals").selectExpr("file_id", "size(data) AS n").groupBy("file_id").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()}
+    assert got == {"one.ns5": 40, "two.ns5": 40}
+    assert spark.read.parquet(f"{prefix}/packets").count() == 2
+    assert told.count("one.ns5") == 2 and "two.ns5: packets" in told
+
+
+def test_broken_off_upsert_is_undone(spark, tmp_path):
+    path = str(tmp_path / "t")
+    U.upsert_parquet(spark, path, spark.range(3))
+    os.rename(path, path + U._OLD)
+    assert U.read_table(spark, path).count() == 3 and not os.path.exists(path + U._OLD)
+    U.upsert_parquet(spark, path, spark.range(3, 5), "id", spark.range(2))
+    assert sorted(r.id for r in U.read_table(spark, path).collect()) == [2, 3, 4]
+    assert sorted(os.listdir(tmp_path)) == ["t"]
+
+
+def test_first_match(spark):
+    rows = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", None, "z"), ("b", 5, "w")], "k string, n int, v string")
+    assert sorted(r.v for r in U.first_match(rows, ["k"], "n").collect()) == ["y", "z"]
+    assert sorted(r.v for r in U.first_match(rows, ["k"], "n", last=True).collect()) == ["w", "x"]

@@ -3,8 +3,10 @@
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from ephyspark.plans import table_queries
+from ephyspark.operators import signal as S
+from ephyspark.plans import recording_queries, table_queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -23,10 +25,15 @@ def rows(df: pd.DataFrame) -> list:
     return sorted(map(str, df.astype(object).where(df.notna(), None).itertuples(index=False, name=None)))
 
 
-@pytest.mark.parametrize("name", sorted(table_queries.oracle_sql()))
+QUERIES = table_queries.queries() | recording_queries.queries()
+SQL = table_queries.oracle_sql() | recording_queries.oracle_sql()
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_same_rows(spark, duck, name):
-    got = table_queries.queries()[name](spark, SF).toPandas()
-    want = duck.execute(table_queries.oracle_sql()[name]).df()
+    got = QUERIES[name](spark, SF).toPandas()
+    want = duck.execute(SQL[name]).df()
+    assert len(want)
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
     for c in got.columns:
@@ -34,9 +41,9 @@ def test_same_rows(spark, duck, name):
             assert got[c].dtype == want[c].dtype, c
 
 
-def test_percent_decode(spark):
-    from ephyspark.functions.text import decode_percent
-
-    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url").collect()
-    got = {r.page_id: r.url for r in table_queries.queries()["percent_decode"](spark, SF).collect()}
-    assert got == {r.page_id: decode_percent(r.url, compat=False) for r in pages}
+def test_offsets_of_rows_without_order_and_skewed_values(spark):
+    rows = [(None, 5), (1, 1), (2, 2), (10**12, 3), (None, 7), (3, 4)]
+    got = {(r.k, r.n): r.byte_offset for r in S.packet_offsets(spark.createDataFrame(rows, "k long, n long"), "k", F.col("n"), levels=3).collect()}
+    assert len(got) == 6 and {got[None, 5], got[None, 7]} in ({0, 5}, {0, 7})
+    assert [got[k] for k in ((1, 1), (2, 2), (3, 4), (10**12, 3))] == [12, 13, 15, 19]
+    assert S.packet_offsets(spark.createDataFrame([], "k long, n long"), "k", F.col("n")).count() == 0
