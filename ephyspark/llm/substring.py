@@ -46,7 +46,7 @@ GROUP_BYTES = 5 << 19
 #: Cells of a sketch's block at least, and blocks of a row of the sketch at most.
 BLOCK, BLOCKS = 1 << 16, 1 << 11
 #: Groups that a minimizer must occur in to be split, and the parts that it is split into.
-HOT, PARTS = 128, 256
+HOT, PARTS = 32, 256
 _WORD = non_space_table()
 
 
