@@ -7,12 +7,13 @@ and the largest corrected share decides.
 
 N-grams are of three and four bytes over lower-cased text in which all that isn't a letter is a space; n-grams with two
 spaces in a row are left out. A filter is fitted on at most about SAMPLE_ROWS labelled rows of each language, chosen by
-a hash of the key, and holds its TOP most frequent n-grams that are not far more usual in another language.
+a hash of the key, and holds its most frequent n-grams that are not far more usual in another language, TOP at most; of those
+as frequent as the last ones it holds whole 256ths by hash.
 
 Defined results: null texts and texts without a letter are `und` with score 0, and so is everything if no row is
 labelled; a text without any known n-gram gets the language with the most labelled rows and score 0; ties go to the
-language with more labelled rows, then by name; repeated rows are judged alike; other columns pass
-through, and a column with the name of a new one is replaced.
+language with more labelled rows, then by name; repeated rows are judged alike; a very long text is one pass of its own and
+as large as a row may be; an empty table gives an empty table; other columns pass through, and a column with the name of a new one is replaced.
 """
 
 from __future__ import annotations
@@ -21,13 +22,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from ..session import ship
-from .core import lower_table, mix, passes, share, text_bytes
+from .core import ensure_checkpoint_dir, lower_table, mix, passes, share, text_bytes
 
 #: Labelled rows of a language that the fit uses (about), and n-grams that its filter holds.
 SAMPLE_ROWS, TOP = 2000, 60_000
@@ -36,6 +37,8 @@ SHARE = 0.2
 #: Shares below this reject a document in a filtering stage.
 REJECT_BELOW = 0.3
 ORDERS, SLOTS = (3, 4), 3
+#: Parts of n-grams that are equally frequent.
+TIES = 256
 #: An n-gram's key is below 2 ** GRAM_BITS; a language's number stands above it.
 GRAM_BITS = 44
 
@@ -99,7 +102,7 @@ def build(languages: list[str], grams: list[np.ndarray]) -> Model:
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learns from rows whose language isn't null, all their languages."""
-    ship(labelled.sparkSession)
+    ensure_checkpoint_dir(labelled.sparkSession)
     rows = labelled.where(F.col(lang).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t"))
     found = sorted(rows.groupBy("l").count().collect(), key=lambda r: (-r["count"], r.l))
     if not found:
@@ -121,14 +124,30 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
 
     counts = sample.mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
     counts = counts.select((F.col("g") % (1 << GRAM_BITS)).alias("g"), F.shiftright("g", GRAM_BITS).cast("int").alias("l"), "n")
-    share = counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("l")))
-    kept = share.withColumn("best", F.max("p").over(Window.partitionBy("g"))).where((F.col("p") >= SHARE * F.col("best")) & (F.col("n") > 1))
-    top = kept.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "g"))).where(F.col("r") <= TOP)
-    got = top.select("l", "g").toPandas()
+    counts = counts.checkpoint()  # n-grams of the bounded sample
+    total = {r.l: r.n for r in counts.groupBy("l").agg(F.sum("n").alias("n")).collect()}
+    if not total:
+        return build(languages, [np.zeros(0, dtype=np.uint64)] * len(languages))
+    by_language = lambda values: F.create_map(*[F.lit(x) for item in values.items() for x in item])[F.col("l")]
+    usual = counts.withColumn("p", F.col("n") / by_language(total)).withColumn("best", F.max("p").over(Window.partitionBy("g")))
+    kept = usual.where((F.col("p") >= SHARE * F.col("best")) & (F.col("n") > 1)).select("l", "g", "n", F.pmod(F.xxhash64("g"), F.lit(TIES)).cast("long").alias("tie"))
+    cut = cuts(kept.groupBy("l", "n", "tie").agg(F.count("*").alias("m")).toPandas())
+    place = F.col("n") * TIES - F.col("tie")
+    got = kept.where(place >= by_language({l: cut.get(l, 0) for l in total})).select("l", "g").toPandas()
     of = {l: g.to_numpy().astype(np.uint64) for l, g in got.groupby("l").g}
     return build(languages, [of.get(i, np.zeros(0, dtype=np.uint64)) for i in range(len(languages))])
 
 
+def cuts(histogram: pd.DataFrame) -> dict[int, int]:
+    """For each language the least place (n * TIES - tie) at which its filter has TOP n-grams at most."""
+    out = {}
+    for l, h in histogram.assign(place=histogram.n * TIES - histogram.tie).groupby("l"):
+        h = h.sort_values("place", ascending=False)
+        inside = h.place[h.m.cumsum() <= TOP]
+        out[int(l)] = int(inside.iloc[-1]) if len(inside) else int(h.place.iloc[0]) + 1
+    return out
+
+
 def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds lang_pred and score, the share of the text's n-grams that the language contains."""
     df = df.drop("lang_pred", "score", "letters_")

@@ -1,7 +1,12 @@
 """Operator 9: accuracy on held-out documents, the filter's promises, and awkward rows."""
 
+import zlib
+from collections import Counter
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from ephyspark.llm import langid
 
@@ -65,3 +70,60 @@ def test_more_languages_than_a_word_has_bits(spark):
     new = spark.createDataFrame([(l, text(l)) for l in range(150)], "l int, text string")
     got = langid.predict(new, model).collect()
     assert all(r.lang_pred == f"l{r.l:03d}" and r.score > langid.REJECT_BELOW for r in got)
+
+
+def plain_grams(text, order):
+    """N-grams of a text, one by one: letters are lower-cased ASCII and bytes from 0x80, all else is a space."""
+    raw = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in (text or "").encode())
+    raw = b" " + raw + b" "
+    return [raw[i : i + order] for i in range(len(raw) - order + 1) if b"  " not in raw[i : i + order]]
+
+
+def test_against_plain_sets(spark, monkeypatch):
+    """The whole path with plain sets in place of the filters: same n-grams learned, same shares up to the false positives."""
+    monkeypatch.setattr(langid, "TOP", 700)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    rows = docs.collect()
+    learn = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 5 and r.lang is not None]
+    counts = {l: Counter(g for r in learn if r.lang == l for k in langid.ORDERS for g in plain_grams(r.text, k)) for l in {r.lang for r in learn}}
+    share = {l: {g: n / sum(c.values()) for g, n in c.items()} for l, c in counts.items()}
+    best = Counter()
+    for p in share.values():
+        for g, v in p.items():
+            best[g] = max(best[g], v)
+    sets = {}
+    for l, c in counts.items():
+        use = sorted((n for g, n in c.items() if n > 1 and share[l][g] >= langid.SHARE * best[g]), reverse=True)
+        least = use[langid.TOP] if len(use) > langid.TOP else 1  # all above it are held, of those as frequent a part
+        sets[l] = ({g for g, n in c.items() if n > least and share[l][g] >= langid.SHARE * best[g]}, {g for g, n in c.items() if n >= max(2, least) and share[l][g] >= langid.SHARE * best[g]})
+    model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"), 0)))
+    assert set(model.languages) == set(sets)
+    key = lambda g: np.array([int.from_bytes(g, "little") | len(g) << 40], dtype=np.uint64)
+    for number, l in enumerate(model.languages):
+        for g in sets[l][0]:
+            assert all(int(model.table[s, number // 64][0]) >> number % 64 & 1 for s in langid._slots(key(g), len(model.table)))
+    got = {r.doc_id: r for r in langid.digest(docs).collect()}
+    for r in rows:
+        grams = [g for k in langid.ORDERS for g in plain_grams(r.text, k)]
+        if not any(c.isalpha() for c in r.text or ""):
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        low = {l: sum(g in a for g in grams) / len(grams) for l, (a, _) in sets.items()}
+        high = {l: sum(g in b for g in grams) / len(grams) for l, (_, b) in sets.items()}
+        noise = 0.05 + 2 / len(grams) ** 0.5 * 0.1
+        assert low[got[r.doc_id].lang_pred] - noise <= got[r.doc_id].score <= high[got[r.doc_id].lang_pred] + noise
+        sure = [l for l in sets if all(low[l] > high[o] + 2 * noise for o in sets if o != l)]
+        assert not sure or got[r.doc_id].lang_pred == sure[0]
+
+
+def test_cuts():
+    """Whole groups of equal frequency and tie, TOP at most; nothing where the first group is larger."""
+    h = pd.DataFrame({"l": [0, 0, 0, 1], "n": [9, 5, 5, 4], "tie": [3, 1, 2, 0], "m": [langid.TOP - 10, 10, 1, langid.TOP + 1]})
+    c = langid.cuts(h)
+    assert [n * langid.TIES - t >= c[l] for l, n, t in zip(h.l, h.n, h.tie, strict=True)] == [True, True, False, False]
+
+
+def test_repeated_rows(spark):
+    rows = [(i, "the cat and the dog", "en") for i in range(20)] * 2 + [(50, "der hund und die katze", "de")] * 3
+    got = langid.digest(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(got) == 43 and len({(r.doc_id, r.lang_pred, r.score) for r in got}) == 21
