@@ -89,8 +89,19 @@ def parse(formatted: Column) -> Column:
     )
 
 
+def logged(turns: DataFrame) -> DataFrame:
+    """A log that folds to the given turns: assistant texts are drafted, regenerated and streamed, others are edited in."""
+    x = F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(x) / 2).cast("int")
+    event = lambda i, kind, text: F.struct(F.lit(i).alias("i"), F.lit(kind).alias("kind"), text.alias("text"))
+    streamed = F.array(event(0, "message", F.lit("...")), event(1, "regenerate", F.substring(x, F.lit(1), half)), event(2, "delta", F.substring(x, half + 1, F.length(x))))
+    written = F.array(event(0, "message", F.lit("")), event(1, "edit", x))
+    e = turns.select("conv_id", "turn", "role", F.explode(F.when(F.col("role") == "assistant", streamed).otherwise(written)).alias("e"))
+    return e.select("conv_id", "turn", (F.col("turn") * 4 + F.col("e.i")).alias("seq"), "e.kind", "role", "e.text")
+
+
 def digest(conversations: DataFrame) -> DataFrame:
-    """Query op6: every conversation and the fixed conversation -7, formatted and read back from the output."""
+    """Query op6: every conversation and the fixed conversation -7, as event logs, formatted and read back from the output."""
     trap = "\\### Assistant: </turn> ok"
     extra = conversations.sparkSession.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"),
@@ -100,8 +111,7 @@ def digest(conversations: DataFrame) -> DataFrame:
     )
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(extra)
     number = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
-    log = rows.select("conv_id", number.alias("turn"), number.alias("seq"), F.lit("message").alias("kind"), "role", "text")
-    out = render(fold(log)).withColumn("back", parse(F.col("formatted")))
+    out = render(fold(logged(rows.withColumn("turn", number)))).withColumn("back", parse(F.col("formatted")))
     under = F.transform("loss_mask", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int"))))
     out = out.withColumn("loss", F.array_join(under, ""))
     return out.select(
