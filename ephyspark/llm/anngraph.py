@@ -19,7 +19,8 @@ if the samples have no link) it compares each query with all vectors of its regi
 vector, its count of links and its local component, so a group of m near copies makes m rows for each region it is searched in.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and those without a label, link
-with nothing; vectors of different lengths never link; rows with equal ids are separate vectors; an empty table gives no rows.
+with nothing; vectors of different lengths never link; rows with equal ids are separate vectors that count one another; a row without an id
+has no links, a null component and is kept; an empty table gives no rows; only the columns named in near_duplicates are returned.
 """
 
 from __future__ import annotations
@@ -423,8 +424,9 @@ def near_duplicates(df: DataFrame, similarity: float = 0.93, key: str = "vec_id"
     of_class = classes.join(found, "rep", "left").join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left")
     of_class = of_class.select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
     out = rows.join(of_class, ["label", "v"], "left")
-    reach = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).alias("n_links"), reach.alias("component_id"), F.coalesce(reach == F.col("id"), F.lit(True)).alias("kept"), F.lit(recall).alias("audit_recall"))
+    reach = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
+    n_links = F.when(F.col("id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0))
+    return out.select(F.col("id").alias(key), n_links.cast("long").alias("n_links"), reach.alias("component_id"), F.coalesce(reach == F.col("id"), F.lit(True)).alias("kept"), F.lit(recall).alias("audit_recall"))
 
 
 def digest(embeddings: DataFrame) -> DataFrame:

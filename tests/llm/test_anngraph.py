@@ -145,3 +145,9 @@ def test_audit_counts_queries_and_links():
     assert anngraph.recalled(np.array([1000, 0]), np.array([1000, 1])) == 0.5
     assert anngraph.recalled(np.array([500, 1, 1]), np.array([1000, 1, 1])) < 0.51
     assert anngraph.recalled(np.array([0, 0]), np.array([0, 0])) == 0.0
+
+
+def test_repeated_ids_and_rows_without_id(spark):
+    rows = [(1, [1.0, 0.0], 3), (1, [1.0, 0.0], 3), (2, [1.0, 0.01], 3), (None, [1.0, 0.0], 3), (None, None, 3), (5, [0.0, 1.0], 3), (5, [1.0, 0.0], None)]
+    got = sorted((tuple(r) for r in anngraph.digest(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()), key=str)
+    assert got == sorted([(1, 2, 1, True)] * 2 + [(2, 2, 1, False)] + [(None, 0, None, True)] * 2 + [(5, 0, 5, True)] * 2, key=str)
