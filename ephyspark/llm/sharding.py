@@ -12,7 +12,8 @@ of doc_id, running sums of those counts give each cell its first slot, and rows
 read once and never shuffled; the few numbers kept of each row are written to the checkpoint folder.
 
 Defined results: a null text counts no bytes and belongs with the empty text; rows that are repeated are all kept and
-ordered by doc_id, size and checksum; an empty table gives no rows; with fewer units than shards, some shards are empty.
+ordered by doc_id, size and checksum; an empty table gives no rows; with fewer units than shards, some shards are empty; only
+the columns named in assign are returned, whatever the others are called.
 """
 
 from __future__ import annotations
