@@ -84,6 +84,12 @@ def test_awkward_rows(spark):
         assert out.columns == docs.columns, name
         out.collect()
         stage(spark, docs.limit(0), SF).collect()
+    name, encode = corpus_pipeline.STAGES[4]
+    want = encode(spark, docs, SF).columns
+    assert encode(spark, clash, SF).columns == want and encode(spark, docs.limit(0), SF).collect() == []
+    got = encode(spark, clash, SF).collect()
+    assert len(got) == 5 and all(r.round_trip and r.n_tokens == len(r.ids) for r in got)
+    assert [r.n_tokens for r in got if r.doc_id in (1, 2)] == [0, 0] and len({str(r) for r in got if r.doc_id == 3}) == 1
 
 
 def test_near_duplicates_by_text_not_id(spark):
