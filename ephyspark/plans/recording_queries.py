@@ -225,7 +225,9 @@ def catalog_events(spark, sf_dir):
     parts = spark.read.parquet(f"{prefix}/partition_info").groupBy(F.col("original_filename").alias("file"), F.lit("samples").alias("kind"), F.lit(1).cast("long").alias("key")).agg(F.sum("n_samples").cast("double").alias("value"))
     signals = spark.read.parquet(f"{prefix}/signals").select(F.col("file_id").alias("file"), F.lit("signal").alias("kind"), F.col("electrode_id").cast("long").alias("key"), F.aggregate("data", F.lit(0.0), lambda a, x: a + x).alias("x")).groupBy("file", "kind", "key").agg(F.round(F.sum("x"), 6).alias("value"))
     headers = found.nsx["ns3"].select(F.col("original_filename").alias("file"), F.lit("header").alias("kind"), F.col("which_nsx").cast("long").alias("key"), F.col("period").cast("double").alias("value"))
-    return events.union(parts).union(signals).union(headers)
+    piece = catalog.get_channel(spark, prefix, 7).slice(partition=1, first=1, last=4)
+    piece = piece.select(F.col("file_id").alias("file"), F.lit("slice").alias("kind"), F.col("sample").alias("key"), F.round("value", 6).alias("value"))
+    return events.union(parts).union(signals).union(headers).union(piece)
 
 
 def stored_upserts(spark, sf_dir):
@@ -239,7 +241,18 @@ def stored_upserts(spark, sf_dir):
     return read_table(spark, f"{path}/orders").withColumn("store", F.lit("keys")).unionByName(read_table(spark, f"{path}/dealt").withColumn("store", F.lit("partitions")))
 
 
-_ALL = [nev_digital, nev_comments, nev_buttons, nev_spikes, nev_records, nsx_packets, nsx_channels, nsx_samples, nsx_one_channel, importers_agree, bci_signals, bci_states, bci_parameters, bci_definitions, array_slices, catalog_events, stored_upserts]
+def tsv_and_backup(spark, sf_dir):
+    """The backup of a stored table, and its successor read from its tab-separated copy."""
+    path = f"{shared_folder(spark)}/suppliers"
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_name", F.concat(F.lit("a\"\t"), F.col("s_nationkey").cast("string")).alias("note"))
+    upsert_parquet(spark, path, s)
+    upsert_parquet(spark, path, s.withColumn("s_name", F.upper("s_name")), "s_suppkey", s, tsv=True, keep_backup=True)
+    kept = spark.read.parquet(f"{path}_*backup*").withColumn("store", F.lit("backup"))
+    tsv = spark.read.option("sep", "\t").option("header", True).schema(s.schema).csv(f"{path}.tsv").withColumn("store", F.lit("tsv"))
+    return kept.unionByName(tsv)
+
+
+_ALL = [nev_digital, nev_comments, nev_buttons, nev_spikes, nev_records, nsx_packets, nsx_channels, nsx_samples, nsx_one_channel, importers_agree, bci_signals, bci_states, bci_parameters, bci_definitions, array_slices, catalog_events, stored_upserts, tsv_and_backup]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -297,7 +310,9 @@ _SQL = {
       SELECT f || '.nev' AS file, 'event' AS kind, row_number() OVER (PARTITION BY f ORDER BY k) - 1 AS key, (k % 65536)::DOUBLE AS value FROM {_FILES}
       UNION ALL SELECT f || '.ns3', 'samples', 1, sum(1 + k % 3)::DOUBLE FROM {_FILES} GROUP BY f
       UNION ALL SELECT f || '.ns3', 'signal', electrode_id, round(sum(((k * 7 + s * 13 + 100 * c) % 2000 - 1000) * slope::DOUBLE + intercept::DOUBLE), 6) FROM (SELECT *, unnest(range(1 + k % 3)) AS s FROM {_FILES}) AS x, {_VALUES} GROUP BY f, electrode_id
-      UNION ALL SELECT DISTINCT f || '.ns3', 'header', 3, {30000 // RATE}::DOUBLE FROM {_FILES}""",
+      UNION ALL SELECT DISTINCT f || '.ns3', 'header', 3, {30000 // RATE}::DOUBLE FROM {_FILES}
+      UNION ALL SELECT 'a.ns3', 'slice', key, ((k * 7 + s * 13 + 100) % 2000 - 1000) * 2.5::DOUBLE - 2500 FROM (VALUES (1::BIGINT, 1, 0), (2, 1, 1), (3, 2, 0), (4, 2, 1)) AS v(key, k, s)""",
+    "tsv_and_backup": "SELECT s_suppkey, s_name, 'a\"' || chr(9) || s_nationkey AS note, 'backup' AS store FROM supplier UNION ALL SELECT s_suppkey, upper(s_name), 'a\"' || chr(9) || s_nationkey, 'tsv' FROM supplier",
     "stored_upserts": "SELECT o_orderkey, o_orderstatus, CASE o_orderstatus WHEN 'F' THEN 2 ELSE 1 END AS version, 'keys' AS store FROM orders UNION ALL SELECT o_orderkey, o_orderstatus, CASE o_orderstatus WHEN 'P' THEN 3 ELSE 1 END, 'partitions' FROM orders",
 }
 

@@ -78,6 +78,12 @@ def gap_partition(spark, sf_dir):
     return _partitioned(spark, sf_dir).select("event_id", "user_id", "partition")
 
 
+def sample_islands(spark, sf_dir):
+    """Runs of events whose minutes, counted from a user's first event and rounded, step by two hundred at most."""
+    e = _read(spark, sf_dir, "events").withColumn("t", _micros("ts") / F.lit(6e7))
+    return S.sample_islands(e, ["user_id"], "t", 1.0, 200).select("event_id", "user_id", "island")
+
+
 def partition_summary(spark, sf_dir):
     p = S.summarise_partitions(_partitioned(spark, sf_dir), ["user_id", "partition"], F.col("t"), F.col("t"), F.lit(1))
     return p.withColumn("duration", (F.col("end_time") - F.col("start_time")) / F.lit(1e6))
@@ -252,7 +258,7 @@ def name_list(spark, sf_dir):
     return _read(spark, sf_dir, "region").join(n, F.col("r_regionkey") == F.col("n_regionkey")).select("r_name", "names")
 
 
-_ALL = [calibrate_affine, unit_normalization, gap_partition, partition_summary, packet_offsets, write_offsets, chunk_plan, islands_to_ranges, deparse_svec, svec_expand, upsert_replace, union_by_name_fill, pad_array, pad_to_longest, time_origin_text, bit_flags, channel_filename, event_exclude, id_dispatch, preferred_source, first_match_lookup, label_semi, key_difference, index_subset_na, max_length_agg, vector_explode, json_meta, meta_round_trip, percent_decode, tolerance_diff, rate_time, little_endian, pattern_matches, file_suffix, name_list]
+_ALL = [calibrate_affine, unit_normalization, gap_partition, sample_islands, partition_summary, packet_offsets, write_offsets, chunk_plan, islands_to_ranges, deparse_svec, svec_expand, upsert_replace, union_by_name_fill, pad_array, pad_to_longest, time_origin_text, bit_flags, channel_filename, event_exclude, id_dispatch, preferred_source, first_match_lookup, label_semi, key_difference, index_subset_na, max_length_agg, vector_explode, json_meta, meta_round_trip, percent_decode, tolerance_diff, rate_time, little_endian, pattern_matches, file_suffix, name_list]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -263,6 +269,7 @@ _SQL = {
     "calibrate_affine": f"SELECT event_id, event_type, round(value * slope + intercept, 6) AS calibrated FROM events JOIN ({_SLOPES}) AS c USING (event_type)",
     "unit_normalization": f"SELECT event_type, n, 'uV' AS units, round(slope, 9) AS slope, round(intercept, 9) AS intercept FROM (SELECT event_type, count(*) AS n FROM events GROUP BY event_type) AS e JOIN ({_SLOPES}) AS c USING (event_type)",
     "gap_partition": f'SELECT event_id, user_id, "partition" FROM ({_PARTITIONED}) AS p',
+    "sample_islands": "SELECT event_id, user_id, CAST(1 + sum(brk) OVER (PARTITION BY user_id ORDER BY k RANGE UNBOUNDED PRECEDING) AS INTEGER) AS island FROM (SELECT *, CASE WHEN k - lag(k) OVER (PARTITION BY user_id ORDER BY k) > 200 THEN 1 ELSE 0 END AS brk FROM (SELECT event_id, user_id, round_even(epoch_us(ts) / 6e7::DOUBLE - min(epoch_us(ts) / 6e7::DOUBLE) OVER (PARTITION BY user_id), 0) AS k FROM events) AS r) AS b",
     "partition_summary": f'SELECT user_id, "partition", count(*) AS n_packets, count(*) AS n_samples, min(t) AS start_time, max(t) AS end_time, (max(t) - min(t)) / 1e6::DOUBLE AS duration FROM ({_PARTITIONED}) AS p GROUP BY user_id, "partition"',
     "packet_offsets": "SELECT doc_id, n_chars * 2 + 9 AS length, CAST(sum(n_chars * 2 + 9) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - (n_chars * 2 + 9) AS BIGINT) AS byte_offset FROM documents",
     "write_offsets": "SELECT l_orderkey, l_linenumber, n, CAST(sum(n) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS UNBOUNDED PRECEDING) - n AS BIGINT) AS write_offset FROM (SELECT l_orderkey, l_linenumber, CAST(sum(l_quantity) AS BIGINT) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber) AS l",

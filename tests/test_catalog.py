@@ -144,3 +144,31 @@ def test_first_match(spark):
     rows = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", None, "z"), ("b", 5, "w")], "k string, n int, v string")
     assert sorted(r.v for r in U.first_match(rows, ["k"], "n").collect()) == ["y", "z"]
     assert sorted(r.v for r in U.first_match(rows, ["k"], "n", last=True).collect()) == ["w", "x"]
+
+
+def test_descriptions(spark, tmp_path):
+    from ephyspark.describe import describe
+    from ephyspark.operators.arrays import ArrayStore
+    from ephyspark.specs import get_specification
+
+    x = np.arange(40, dtype=np.int16).reshape(20, 2)
+    writers.nsx(tmp_path / "d.ns5", packets=[(0, x)], period=1, channels=[{"electrode_id": k + 1, "electrode_label": f"c{k}"} for k in range(2)])
+    writers.nev(tmp_path / "d.nev", extended=EXTENDED, packets=[("digital_inputs", 0, {"timestamp": 30 * k}) for k in range(7)])
+    prefix = str(tmp_path / "catalog")
+    found = catalog.import_nsp(spark, str(tmp_path / "d.nev"), prefix)
+    tables = catalog.load_all(spark, prefix)
+    assert "signals: ns5" in describe(found) and describe(catalog.get_channel(spark, prefix, 2)).startswith("<channel 2 c1>")
+    for table, text in {"nsx_header": "signal file header: 1", "nev_header": "event file header: 1", "channel_info": "channels: 2", "channels": "channels: 2", "event_digital_inputs": "and 2 more", "packets": "20 samples at 0.0000 s", "partition_info": "partitions: 1", "ext_NEUEVLBL": "header records", "signals": "table: 2"}.items():
+        assert text in describe(tables[table]), table
+    s = get_specification("2.3", "nev")
+    assert "event spike (1 to 2048)" in describe(s) and describe(s.header[0]) == "<field file_type: string, 8 bytes at 0>" and "waveform" in describe(s.events[1])
+    assert "packet: header, timestamp" in describe(get_specification("3.0", "nsx"))
+    store = ArrayStore(spark, str(tmp_path / "array"))
+    assert describe(store).startswith("<no array>") and describe(store.allocate([2, 3])).startswith("<array 2 x 3>")
+    writers.bci(tmp_path / "r.dat", states=[("Stim", 8, 0, 0, 0)])
+    from ephyspark.bci2000 import read_bci2000
+
+    r = read_bci2000(spark, str(tmp_path / "r.dat"))
+    assert "2 channels, 50 samples; states: Stim" in describe(r) and "BCI2000 header" in describe(r.header)
+    with pytest.raises(TypeError):
+        describe(3)
