@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .core import ensure_checkpoint_dir, mix
@@ -51,14 +51,23 @@ def _state(e: DataFrame) -> tuple:
     return tuple(sum(r[k] for r in rows) % _WRAP for k in range(3))
 
 
+def _apart(node: str) -> Column:
+    """The node itself, in a form that the planner takes for another column.
+
+    Adaptive execution splits a join's partition only where both sides come from an exchange made for the join; the
+    grouping's own partitioning, used again, would leave all links of a hub in one task.
+    """
+    return F.bitwise_not(F.bitwise_not(node))
+
+
 def _large_star(e: DataFrame) -> DataFrame:
     """Links every node's larger neighbours to the least of the node and its neighbours."""
     least = e.union(e.select("v", "u")).groupBy("u").agg(F.min("v").alias("m"))
-    return e.join(least.select(F.col("u").alias("v"), F.least("u", "m").alias("m")), "v").select("u", F.col("m").alias("v"))
+    return e.join(least.select(_apart("u").alias("v"), F.least("u", "m").alias("m")), "v").select("u", F.col("m").alias("v"))
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     """Links every node's smaller neighbours, and the node, to the least of these."""
     least = e.groupBy("u").agg(F.min("v").alias("m"))
-    others = e.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    others = e.join(least.select(_apart("u").alias("u"), "m"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return least.select("u", F.col("m").alias("v")).union(others).distinct()
