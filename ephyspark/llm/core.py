@@ -159,9 +159,21 @@ def partitions_for(spark: SparkSession, size: int, each: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / each))
 
 
+#: Bytes of an Arrow batch, where the session leaves it to us. Texts are copied several times on their way to Python.
+BATCH_BYTES, _BATCH_SETTING = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+_FORMER = ("67108864b", "64MB")
+
+
+def prepare(spark: SparkSession) -> None:
+    """Makes the package known to the tasks, and Arrow batches smaller unless the session has a size of its own."""
+    ship(spark)
+    if spark.conf.get(_BATCH_SETTING, None) in _FORMER:
+        spark.conf.set(_BATCH_SETTING, f"{BATCH_BYTES}b")
+
+
 def share(df: DataFrame, value):
     """A broadcast of something whose size is bounded, for tasks that find this package."""
-    ship(df.sparkSession)
+    prepare(df.sparkSession)
     return df.sparkSession.sparkContext.broadcast(value)
 
 
@@ -171,7 +183,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     Where none is set, a local master (one machine, as in tests) gets a temporary folder and any other is an error, as its
     executors would not find each other's files. Also makes the package known to the tasks.
     """
-    ship(spark)
+    prepare(spark)
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None)

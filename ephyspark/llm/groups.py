@@ -16,8 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
-from .core import input_bytes, partitions_for
+from .core import input_bytes, partitions_for, prepare
 
 #: Groups that a small input is dealt to at least.
 LEAST_GROUPS = 64
@@ -30,7 +29,7 @@ def deal(df: DataFrame, text: str, key: str, group_bytes: int) -> tuple[DataFram
     A group has about `group_bytes` as stored; a task works on one group at a time, which bounds its memory.
     The number of groups follows the input's size, so what groups send to a fixed number of shards grows in proportion.
     """
-    ship(df.sparkSession)
+    prepare(df.sparkSession)
     size = input_bytes(df, text)
     few = min(LEAST_GROUPS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     groups = max(few, math.ceil(size / group_bytes))

@@ -34,8 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from ..session import ship
-from .core import ensure_checkpoint_dir, lower_table, mix, non_space_table, passes, renamed, share, text_bytes, word_hashes, words
+from .core import ensure_checkpoint_dir, lower_table, mix, non_space_table, passes, prepare, renamed, share, text_bytes, word_hashes, words
 from .groups import binary_slices, deal, flat_binary, runs
 from .langid import held_out
 
@@ -276,7 +275,7 @@ def low_orders(rows: DataFrame, text: str) -> Low:
 def score(df: DataFrame, train: Column, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Adds n_tokens, n_known, train_tokens, base_score and score; learns from the rows where `train` holds."""
     new = StructType([StructField("n_tokens", LongType()), StructField("n_known", LongType()), StructField("known_", DoubleType()), StructField("score", DoubleType())])
-    ship(df.sparkSession)
+    prepare(df.sparkSession)
     chosen = df.withColumn("train_", F.coalesce(train, F.lit(False)))
     df, names = renamed(chosen, {"n_tokens", "n_known", "train_tokens", "base_score", "score"})
     marked = df.withColumnRenamed(names.pop("train_"), "train_")
