@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's docs, so a lost executor never costs more than one stage. All but the last return the columns of documents.
+
+In every stage an empty table gives an empty table, nulls may stand in any column, and further columns pass through the
+stages that keep columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +39,8 @@ def _keeps_columns(stage):
 
 @_keeps_columns
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, and those in no language that the labels teach, go; a missing label is filled in."""
+    """Documents without a letter (null and empty texts among them), and those in no language that the labels teach, go; a
+    missing label is filled in. Repeated rows are judged alike."""
     model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"), 0)))
     judged = langid.predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= langid.REJECT_BELOW))
     return judged.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
@@ -58,7 +62,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 @_keeps_columns
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of passages that stand earlier in the corpus go; untouched texts stay as they are, emptied ones go."""
+    """Words of passages that stand earlier in the corpus go; untouched texts stay as they are, emptied ones go.
+
+    Null, empty and short texts are untouched; of rows with equal ids the order of texts decides which comes first.
+    """
     out = substring.remove_repeats(docs, width=WINDOW_WORDS).where("n_removed = 0 OR n_removed < n_words")
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
     return out.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*docs.columns)
@@ -66,12 +73,15 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 @_keeps_columns
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a window of a benchmark item go."""
+    """Documents that contain a window of a benchmark item go; null and empty texts stay, repeated rows go or stay together."""
     return decontam.mark(docs, read(spark, sf_dir, "benchmark"), width=LEAK_WORDS).where(F.size("hit_spans") == 0).select(*docs.columns)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids, and whether decoding gives the text back."""
+    """doc_id, lang, source, n_tokens, ids, and whether decoding gives the text back.
+
+    A null or empty text has no tokens; each row is encoded on its own, repeated ones too; other columns are left out.
+    """
     out = bpe.encode_decode(docs.select("doc_id", "lang", "source", "text"), bpe_path())
     return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
 
