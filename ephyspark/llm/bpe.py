@@ -31,7 +31,7 @@ from .core import passes, share
 #: Fixed value: the published pre-token pattern of byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Entries of a cache before it is emptied, and the longest pre-token that is kept, in characters.
-CACHE_ENTRIES, CACHE_CHARS = 250_000, 64
+CACHE_ENTRIES, CACHE_CHARS = 500_000, 64
 _NONE = 1 << 40
 
 
