@@ -42,15 +42,71 @@ def event_seconds(ticks: Column, resolution: Column, version: Column) -> Column:
     return ticks.cast("double") / r
 
 
-def partition_at_pauses(df: DataFrame, channel: Sequence[str], order: Sequence[str], start: Column, end: Column, slack: Column, out: str = "partition") -> DataFrame:
+#: A channel is split into blocks from so many rows on, if it also holds more than one in BLOCKS of all rows.
+HOT_ROWS, LEVELS = 1 << 20, 10
+#: Estimated bytes of a table that one task takes whole, however its rows are spread over channels.
+WHOLE_BYTES = 64 << 20
+BLOCKS = 1 << LEVELS
+#: Types that have approximate quantiles.
+_ORDERED = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "date", "timestamp")
+
+
+def _bounds(order: str, blocks: int) -> Column:
+    """Approximate quantiles of a column between blocks of about equally many rows."""
+    return F.percentile_approx(order, [k / blocks for k in range(1, blocks)], 10 * blocks).alias("bounds_")
+
+
+def _block(order: str, levels: int) -> Column:
+    """The block of a row by a binary search in bounds_; rows without an order are in the first."""
+    halves = F.array(*[F.lit(1 << k) for k in reversed(range(levels))])
+    return F.aggregate(halves, F.lit(0), lambda low, step: F.when(F.element_at("bounds_", low + step) <= F.col(order), low + step).otherwise(low))
+
+
+def partition_at_pauses(df: DataFrame, channel: Sequence[str], order: Sequence[str], start: Column, end: Column, slack: Column, out: str = "partition", hot_rows: int = HOT_ROWS, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
     """Numbers maximal runs without a pause: a row breaks where its start is off the end before it by more than the slack.
 
-    One window per channel; a channel's rows are sorted in one task, as gaps depend on every row before.
+    One window per channel. A channel of more than `hot_rows` rows and more than one in BLOCKS of all rows, of which there
+    are BLOCKS at most, is split at approximate quantiles of the first order column: breaks are numbered inside each block,
+    and a row per block carries them, and the end before it, on to the next. Rows with the same first order value stay in
+    one block. Tables that the planner estimates at `whole_bytes` or less, and order columns without quantiles (texts), leave
+    the channels whole; the numbers are the same. Null channels are a channel; nulls in the order come first, ties in any
+    order; a null start, end or slack never breaks.
     """
-    w = Window.partitionBy(*channel).orderBy(*order)
-    off = F.abs(start - F.lag(end).over(w)) > slack
-    running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("break_", F.when(off, 1).otherwise(0)).withColumn(out, (F.sum("break_").over(running) + 1).cast("int")).drop("break_")
+    marked = df.withColumn("key_", F.struct(*channel)).withColumn("s_", start).withColumn("e_", end).withColumn("l_", slack)
+    split = dict(df.dtypes)[order[0]].startswith(_ORDERED) and _estimated_bytes(df) > whole_bytes
+    if split:
+        item = F.xxhash64(*channel)
+        top = F.expr(f"approx_top_k(xxhash64({', '.join(f'`{c}`' for c in channel)}), {BLOCKS}, {16 * BLOCKS})")
+        stats = df.agg(top.alias("top_"), F.count("*").alias("n_"), _bounds(order[0], BLOCKS))
+        least = F.greatest(F.lit(hot_rows), F.floor(F.col("n_") / BLOCKS))
+        hot = F.transform(F.filter("top_", lambda x: x["count"] > least), lambda x: x["item"])
+        stats = stats.select(hot.alias("hot_"), "bounds_")  # one row
+        block = F.when(F.array_contains("hot_", item), _block(order[0], LEVELS)).otherwise(-1)
+        marked = marked.crossJoin(F.broadcast(stats)).withColumn("block_", block).drop("hot_", "bounds_")
+    else:
+        marked = marked.withColumn("block_", F.lit(-1))
+    w = Window.partitionBy("key_", "block_").orderBy(*order)
+    off = lambda before: F.when(F.abs(F.col("s_") - before) > F.col("l_"), 1).otherwise(0)
+    marked = marked.withColumn("break_", off(F.lag("e_").over(w)))
+    number = F.sum("break_").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + 1
+    if not split:
+        return marked.withColumn(out, number.cast("int")).select(*_others(df, out), out)
+    place = marked.where("block_ >= 0").withColumn("r_", F.row_number().over(w))
+    ends = place.groupBy("key_", "block_").agg(F.sum("break_").alias("n_"), F.min_by(F.struct("s_", "l_"), "r_").alias("first_"), F.max_by("e_", "r_").alias("last_"))
+    blocks = Window.partitionBy("key_").orderBy("block_")  # BLOCKS rows at most
+    ends = ends.select("key_", "block_", "n_", "first_.*", F.lag("last_").over(blocks).alias("before_")).withColumn("enter_", off(F.col("before_")))
+    skip = F.sum(F.col("n_") + F.col("enter_")).over(blocks.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_")
+    numbered = marked.withColumn("number_", number).join(ends.select("key_", "block_", skip.alias("skip_")), ["key_", "block_"], "left")
+    return numbered.withColumn(out, (F.col("number_") + F.coalesce("skip_", F.lit(0))).cast("int")).select(*_others(df, out), out)
+
+
+def _estimated_bytes(df: DataFrame) -> int:
+    """The planner's estimate; nothing is run."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def _others(df: DataFrame, out: str) -> list[Column]:
+    return [F.col(f"`{c}`") for c in df.columns if c != out]
 
 
 def summarise_partitions(df: DataFrame, keys: Sequence[str], start: Column, end: Column, points: Column) -> DataFrame:
@@ -68,11 +124,8 @@ def packet_offsets(df: DataFrame, order: str, length: Column, within: Sequence[s
     if within:
         w = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumn(out, F.coalesce(F.sum(length).over(w), F.lit(0)).cast("bigint"))
-    blocks = 1 << levels
-    bounds = df.agg(F.percentile_approx(order, [k / blocks for k in range(1, blocks)], 10 * blocks).alias("bounds_"))
-    halves = F.array(*[F.lit(1 << k) for k in reversed(range(levels))])
-    block = F.aggregate(halves, F.lit(0), lambda low, step: F.when(F.element_at("bounds_", low + step) <= F.col(order), low + step).otherwise(low))
-    df = df.crossJoin(F.broadcast(bounds)).withColumn("block_", block).drop("bounds_")  # one row
+    bounds = df.agg(_bounds(order, 1 << levels))
+    df = df.crossJoin(F.broadcast(bounds)).withColumn("block_", _block(order, levels)).drop("bounds_")  # one row
     sums = df.groupBy("block_").agg(F.sum(length).alias("sum_"))
     before = Window.orderBy("block_").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
     sums = sums.select("block_", F.coalesce(F.sum("sum_").over(before), F.lit(0)).alias("skip_"))

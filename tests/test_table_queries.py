@@ -47,3 +47,42 @@ def test_offsets_of_rows_without_order_and_skewed_values(spark):
     assert len(got) == 6 and {got[None, 5], got[None, 7]} in ({0, 5}, {0, 7})
     assert [got[k] for k in ((1, 1), (2, 2), (3, 4), (10**12, 3))] == [12, 13, 15, 19]
     assert S.packet_offsets(spark.createDataFrame([], "k long, n long"), "k", F.col("n")).count() == 0
+
+
+def plain_partitions(rows):
+    by, out = {}, set()
+    for c, t, k in rows:
+        by.setdefault(c, []).append((t is not None, t or 0, k, t))
+    for c, own in by.items():
+        number, last = 1, None
+        for _, _, k, t in sorted(own):
+            number += last is not None and abs(t - last) > 2
+            out.add((c, t, k, number))
+            last = t
+    return out
+
+
+@pytest.mark.parametrize("hot_rows", [1, 100, 1 << 20])
+def test_partitions_of_hot_channels(spark, hot_rows):
+    """Split channels are numbered as whole ones: null and single-row channels, rows without a time, long pauses and ties."""
+    rows, step = [(1, None, -1), (None, None, -2)], [1, 1, 1, 5, 0, 2, 3]
+    for c, n in ((None, 900), (1, 3000), (2, 20), (3, 1)):
+        t = 0
+        for k in range(n):
+            t += step[(k * k + (c or 0)) % 7] + 4000 * (k % 500 == 499)
+            rows.append((c, t, k))
+    df = spark.createDataFrame(rows, "ch int, t long, k int").repartition(5)
+    t = F.col("t")
+    got = S.partition_at_pauses(df, ["ch"], ["t", "k"], t, t, F.lit(2), hot_rows=hot_rows, whole_bytes=0)
+    assert got.columns == ["ch", "t", "k", "partition"]
+    assert {tuple(r) for r in got.collect()} == plain_partitions(rows)
+    assert S.partition_at_pauses(df.limit(0), ["ch"], ["t", "k"], t, t, F.lit(2), hot_rows=hot_rows, whole_bytes=0).count() == 0
+
+
+def test_partitions_by_times_and_texts(spark):
+    rows = [(1, 0), (1, 1), (1, 9), (1, 10), (2, 5)]
+    df = spark.createDataFrame(rows, "ch int, t long").selectExpr("*", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, t) AS time", "format_string('%02d', t) AS text")
+    t = F.col("t")
+    for order in ("t", "time", "text"):
+        got = S.partition_at_pauses(df, ["ch"], [order], t, t, F.lit(2), hot_rows=1, whole_bytes=0)
+        assert sorted((r.ch, r.t, r.partition) for r in got.collect()) == [(1, 0, 1), (1, 1, 1), (1, 9, 2), (1, 10, 2), (2, 5, 1)], order
