@@ -7,16 +7,20 @@ calibrated microvolts per partition and electrode). Options: `channels` ("1-16,2
 `tolerate_truncation` accepts a cut last packet, `true_time` partitions by the file's own time resolution where versions
 2.x would otherwise be partitioned by nanoseconds, `split_bytes` is the size of a read task.
 
-Planning reads packet headers only, of several files at a time. Samples are split into byte ranges of whole blocks; a range
-may span many packets and is read in one piece, so files with one sample a packet are read as well as files with one packet. Filters on electrode_id and partition are
-pushed into the plan where spark.sql.python.filterPushdown.enabled is set.
+Planning reads file headers, of several files at a time, and of files larger than a read task the packet headers, piece by
+piece. Samples are split into byte ranges of whole blocks; a range may span many packets and is read in one piece, so files
+with one sample a packet are read as well as files with one packet. The plan holds a few numbers for each range, however many
+packets and partitions are in it; the task reads their headers again. Filters on electrode_id and partition are pushed into
+the plan where spark.sql.python.filterPushdown.enabled is set.
 """
 
 from __future__ import annotations
 
+import math
+import struct
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +34,8 @@ from .files import list_files, open_input, size, stem
 
 #: Samples of a block of one channel, and raw bytes of a read task.
 BLOCK, SPLIT_BYTES = 16384, 64 << 20
-#: Files whose packet headers are read at once while planning.
-PLANNERS = 16
+#: Files whose headers are read at once while planning, and bytes of a file that are looked through at once.
+PLANNERS, PIECE = 16, 8 << 20
 #: Sampling clock of the format in Hz, and the scale of each unit to microvolts. Fixed values.
 CLOCK, MICROVOLTS = 30000, {"V": 1e6, "mV": 1e3}
 
@@ -78,43 +82,52 @@ def read_file(path: str) -> File:
     return File(path, spec, header, channels, size(path))
 
 
-def scan_packets(file: File) -> Packets:
-    """The headers of all packets; ends at the first byte that is no packet marker.
+def scan(file: File, at: int | None = None, piece: int = PIECE) -> Iterator[Packets]:
+    """The headers of packets from a byte on, by pieces of the file; ends at the first byte that is no packet marker.
 
-    Where packets follow at a constant stride, a record view reads many headers at once; otherwise each header is read on
-    its own and the samples are skipped.
+    Packets that follow at a constant stride are read by a record view, which doubles as long as they do. After a packet of
+    more than 4096 bytes only the next header is read and the samples are skipped.
     """
     head = sum(x.bytes for x in file.spec.packet)
+    one = struct.Struct("<" + "".join({1: "B", 4: "I", 8: "q"}[x.bytes] for x in file.spec.packet))
     width = 2 * file.header["channel_count"]
-    dtype = record_dtype(file.spec.packet, head)
-    ticks, points, offsets, at = [], [], [], file.header["bytes_in_headers"]
+    at = file.header["bytes_in_headers"] if at is None else at
+    n, stride, place = -1, 4097, 1
     with open_input(file.path) as f:
-        while at + head <= file.bytes:
+        while place and at + head <= file.bytes:
             f.seek(at)
-            one = np.frombuffer(f.read(head), dtype=dtype)
-            if one["header"][0] != 1:
-                break
-            n = int(one["number_of_data_points"][0])
-            stride = head + n * width
-            if stride <= 4096:
-                f.seek(at)
-                data = f.read(min(8 << 20, file.bytes - at))
-                rows = np.frombuffer(data, dtype=record_dtype(file.spec.packet, stride), count=len(data) // stride)
-                same = (rows["header"] == 1) & (rows["number_of_data_points"] == n)
-                k = len(rows) if same.all() else int(np.argmin(same))
-                if k > 0:
-                    ticks.append(rows["timestamp"][:k].astype(np.int64))
-                    points.append(np.full(k, n, dtype=np.int64))
-                    offsets.append(at + stride * np.arange(k) + head)
-                    at += k * stride
+            data = f.read(min(max(head, piece) if stride <= 4096 else head, file.bytes - at))
+            runs, walked, many, place, ended = [], [], 1, 0, False
+            while place + head <= len(data):
+                marker, tick, now = one.unpack_from(data, place)
+                if ended := marker != 1:
+                    break
+                many, n, stride = 2 * many if now == n else 1, now, head + now * width
+                count = min(many, (len(data) - place) // stride)
+                if count < 2:
+                    walked.append((tick, n, at + place + head))
+                    place += stride
                     continue
-            ticks.append(one["timestamp"].astype(np.int64))
-            points.append(np.array([n], dtype=np.int64))
-            offsets.append(np.array([at + head], dtype=np.int64))
-            at += stride
+                rows = np.frombuffer(data, dtype=record_dtype(file.spec.packet, stride), count=count, offset=place)
+                same = (rows["header"] == 1) & (rows["number_of_data_points"] == n)
+                k = count if same.all() else int(np.argmin(same))
+                run = np.stack([rows["timestamp"][:k].astype(np.int64), np.full(k, n), at + place + stride * np.arange(k) + head], axis=1)
+                runs += [walked, run]
+                walked, place = [], place + k * stride
+            found = np.concatenate([np.array(x, dtype=np.int64).reshape(-1, 3) for x in (*runs, walked)])
+            if len(found):
+                tick, points, offset = np.ascontiguousarray(found.T)
+                yield Packets(tick, points, offset, int(offset[-1] + points[-1] * width) > file.bytes)
+            if ended:
+                return
+            at += place
+
+
+def scan_packets(file: File) -> Packets:
+    """The headers of all packets."""
     none = np.zeros(0, dtype=np.int64)
-    t, n, o = (np.concatenate([none, *v]) for v in (ticks, points, offsets))
-    return Packets(t, n, o, bool(len(o)) and int(o[-1] + n[-1] * width) > file.bytes)
+    found = [Packets(none, none, none, False), *scan(file)]
+    return Packets(*(np.concatenate([getattr(x, k) for x in found]) for k in ("tick", "points", "offset")), found[-1].truncated)
 
 
 def seconds(file: File, tick: np.ndarray, true_time: bool) -> np.ndarray:
@@ -152,22 +165,58 @@ def which_of(path: str) -> int | None:
 
 
 @dataclass
-class Span:
-    """Samples from `start` on of a partition, and the parts of packets that hold them."""
+class Before:
+    """What the packets before some packet decide: their partition, its samples so far and first time, and the last one's end."""
+
+    partition: int = 1
+    samples: int = 0
+    relative_time: float = math.nan
+    end: float = math.nan
+
+
+@dataclass
+class Placed:
+    """The packets of a piece with their partitions, the samples of those before each packet, and their first times."""
 
-    partition: int
-    start: int
-    relative_time: float
+    index: Packets
     points: np.ndarray
-    offsets: np.ndarray
+    partition: np.ndarray
+    start: np.ndarray
+    relative_time: np.ndarray
+    end: np.ndarray
+
+    def before(self, k: int, first: Before) -> Before:
+        """What holds before packet k, `first` before the piece."""
+        k -= 1
+        return first if k < 0 else Before(int(self.partition[k]), int(self.start[k] + self.points[k]), float(self.relative_time[k]), float(self.end[k]))
+
+
+def placed(file: File, index: Packets, before: Before, true_time: bool) -> Placed:
+    """Places the packets of a piece; a cut last packet has the samples that are there."""
+    points = index.points.copy()
+    if index.truncated:
+        points[-1] = max(0, (file.bytes - index.offset[-1]) // (2 * file.header["channel_count"]))
+    t = seconds(file, index.tick, true_time)
+    end = t + index.points / file.rate
+    gap = np.abs(t - np.append(before.end, end[:-1])) > 2 / file.rate  # false where nothing is before
+    first = np.maximum.accumulate(np.where(gap, np.arange(len(t)), -1))  # -1: goes on from the piece before
+    total = np.cumsum(points) - points
+    since = t[0] if math.isnan(before.relative_time) else before.relative_time
+    return Placed(index, points, before.partition + np.cumsum(gap), total - np.where(first < 0, -before.samples, total[first]), np.where(first < 0, since, t[first]), end)
 
 
 @dataclass
 class Split(InputPartition):
-    """A read task: a file, and for samples the spans that it reads; short partitions share a task."""
+    """A read task: a file, and for samples how many from where on, -1 for all; short partitions share a task.
+
+    It begins `skip` samples after the packet whose header is at byte `at`.
+    """
 
     path: str
-    spans: list[Span] = field(default_factory=list)
+    samples: int = -1
+    at: int | None = None
+    skip: int = 0
+    before: Before | None = None
 
 
 class NsxDataSource(DataSource):
@@ -222,36 +271,42 @@ class NsxReader(DataSourceReader):
         return out or [Split("")]
 
     def _plan(self, file: File) -> Iterator[Split]:
-        index = scan_packets(file)
-        if index.truncated and not self.tolerate:
-            raise ValueError(f"{file.path}: the last packet is cut; option tolerate_truncation reads what is there")
+        """Read tasks that begin where blocks do; a file that makes only one is not looked into."""
         width = 2 * file.header["channel_count"]
-        points = index.points.copy()
-        if index.truncated:
-            points[-1] = max(0, (file.bytes - index.offset[-1]) // width)
-        start = seconds(file, index.tick, self.true_time)
-        number = partition_numbers(start, index.points, file.rate)
         step = max(1, self.split_bytes // (BLOCK * max(1, width))) * BLOCK
-        spans, held = [], 0
-        cuts = np.append(np.flatnonzero(np.diff(number, prepend=0)), len(number))
-        for c, d in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            own, part = np.arange(c, d), int(number[c])
-            if self.partition_filter is not None and part not in self.partition_filter:
-                continue
-            total = np.concatenate([[0], np.cumsum(points[own])])
-            for a in range(0, int(total[-1]), step):
-                b = min(a + step, int(total[-1]))
-                first, last = int(np.searchsorted(total, a, side="right")) - 1, int(np.searchsorted(total, b, side="left"))
-                begin = np.maximum(a, total[first:last])
-                n = np.minimum(b, total[first + 1 : last + 1]) - begin
-                offset = index.offset[own[first:last]] + (begin - total[first:last]) * width
-                spans.append(Span(part, a, float(start[c]), n, offset))
-                held += b - a
-                if held >= step:
-                    yield Split(file.path, spans)
-                    spans, held = [], 0
-        if spans:
-            yield Split(file.path, spans)
+        if file.bytes - file.header["bytes_in_headers"] <= step * width:
+            yield Split(file.path)
+            return
+        head = sum(x.bytes for x in file.spec.packet)
+        before, total, least, last = Before(), 0, 0, None
+        for index in scan(file):
+            self._whole(file, index)
+            p = placed(file, index, before, self.true_time)
+            ends = total + np.cumsum(p.points)
+            begins = ends - p.points
+            block = -(-p.start // BLOCK) * BLOCK  # the first block that begins in a packet, or after it
+            holds = np.flatnonzero(block < p.start + p.points)
+            while (k := int(np.searchsorted(ends, least, side="right"))) < len(ends):
+                skip = -(-int(p.start[k] + max(0, least - begins[k])) // BLOCK) * BLOCK - int(p.start[k])
+                if skip >= p.points[k]:
+                    if (later := int(np.searchsorted(holds, k, side="right"))) == len(holds):
+                        break
+                    k = int(holds[later])
+                    skip = int(block[k] - p.start[k])
+                at = int(begins[k]) + skip
+                if last is not None:
+                    last.samples = at - (least - step)
+                    yield last
+                last = Split(file.path, 0, int(index.offset[k]) - head, skip, p.before(k, before))
+                least = at + step
+            before, total = p.before(len(ends), before), int(ends[-1])
+        if last is not None:
+            last.samples = total - (least - step)
+            yield last
+
+    def _whole(self, file: File, index: Packets) -> None:
+        if index.truncated and not self.tolerate:
+            raise ValueError(f"{file.path}: the last packet is cut; option tolerate_truncation reads what is there")
 
     def read(self, partition: Split) -> Iterator[pa.RecordBatch]:
         if not partition.path:
@@ -275,13 +330,33 @@ class NsxReader(DataSourceReader):
         columns = [pa.array([stem(file.path)] * n, pa.string()), pa.array(np.arange(n)), *(pa.array(v) for v in (p.tick, t_ref, t_sec, p.points, p.offset, *parts, np.full(n, file.rate)))]
         yield pa.RecordBatch.from_arrays(columns, names=PACKETS.names)
 
+    def _parts(self, file: File, split: Split) -> tuple[np.ndarray, ...]:
+        """Partition, samples before, first time, samples and place of the packets, or parts of them, that a task reads."""
+        width, before, left, skip, out = 2 * file.header["channel_count"], split.before or Before(), split.samples, split.skip, []
+        for index in scan(file, split.at, min(PIECE, max(1 << 16, self.split_bytes))):
+            self._whole(file, index)
+            p = placed(file, index, before, self.true_time)
+            cut = np.zeros(len(p.points), dtype=np.int64)
+            cut[0], skip = skip, 0
+            points = p.points - cut
+            if left >= 0:
+                points = np.clip(left - (np.cumsum(points) - points), 0, points)
+                left -= int(points.sum())
+            use = points > 0
+            if self.partition_filter is not None:
+                use &= np.isin(p.partition, list(self.partition_filter))
+            out.append([v[use] for v in (p.partition, p.start + cut, p.relative_time, points, index.offset + cut * width)])
+            if left == 0:
+                break
+            before = p.before(len(points), before)
+        return tuple(np.concatenate(v) for v in zip(*out, strict=True)) if out else (np.zeros(0, dtype=np.int64),) * 5
+
     def _samples(self, file: File, split: Split) -> Iterator[pa.RecordBatch]:
         count = file.header["channel_count"]
+        partition, start, relative_time, points, offsets = self._parts(file, split)
         use = [k for k, c in enumerate(file.channels) if self.channels is None or c["electrode_id"] in self.channels]
-        if not use:
+        if not use or not len(points):
             return
-        spans = split.spans
-        offsets, points = (np.concatenate([getattr(s, a) for s in spans]) for a in ("offsets", "points"))
         begin, end = int(offsets[0]), int(offsets[-1] + 2 * points[-1] * count)
         with open_input(file.path) as f:
             f.seek(begin)
@@ -290,17 +365,18 @@ class NsxReader(DataSourceReader):
             raise EOFError(f"{file.path} ends inside a packet")
         raw = packet_samples(np.frombuffer(data, dtype=np.uint8), offsets - begin, points, count)
         slope, intercept = calibration(file.channels)
-        # blocks of all spans: where each begins among the samples read, and what it belongs to
-        sizes = np.array([s.points.sum() for s in spans])
+        # blocks of all partitions: where each begins among the samples read, and what it belongs to
+        first = np.flatnonzero(np.diff(partition, prepend=0))
+        sizes = np.add.reduceat(points, first)
         blocks = -(-sizes // BLOCK)
-        span = np.repeat(np.arange(len(spans)), blocks)
+        span = np.repeat(np.arange(len(first)), blocks)
         inside = (np.arange(len(span)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * BLOCK
         cuts = pa.array(np.append(np.repeat(np.cumsum(sizes) - sizes, blocks) + inside, len(raw)).astype(np.int32))
-        of = lambda name: np.array([getattr(s, name) for s in spans])[span]
+        of = lambda v: v[first][span]
         same = lambda v, t: pa.array([v] * len(span), t)
         for k in use:
             x = raw[:, k] * slope[k] + intercept[k]
-            columns = [same(stem(file.path), pa.string()), same(which_of(file.path), pa.int32()), pa.array(of("partition").astype(np.int32)), same(file.channels[k]["electrode_id"], pa.int32()), pa.array(of("start") + inside), pa.array(of("relative_time")), same(file.rate, pa.float64()), pa.ListArray.from_arrays(cuts, pa.array(x))]
+            columns = [same(stem(file.path), pa.string()), same(which_of(file.path), pa.int32()), pa.array(of(partition).astype(np.int32)), same(file.channels[k]["electrode_id"], pa.int32()), pa.array(of(start) + inside), pa.array(of(relative_time)), same(file.rate, pa.float64()), pa.ListArray.from_arrays(cuts, pa.array(x))]
             yield pa.RecordBatch.from_arrays(columns, names=SAMPLES.names)
 
 

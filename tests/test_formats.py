@@ -1,16 +1,19 @@
 """The binary formats against files written here."""
 
+import io
 import math
+import pickle
 import struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import types as T
 
 from ephyspark import codecs, get_file_type, read_bci2000, specs
 from ephyspark.functions.text import decode_percent, expand_svec, trim_value
-from ephyspark.sources import register
+from ephyspark.sources import encode, nsx, register
 from ephyspark.sources.bci import numbers, parse_parameter
 
 from . import writers
@@ -103,6 +106,44 @@ def test_one_sample_packets(spark, tmp_path):
     assert list(got) == [1] and np.array_equal(got[1], data[:, 0, 1] * 0.25)
 
 
+def pauses(path, n):
+    """A file of 1, 2 or 3 samples a packet, each packet a partition; the samples."""
+    points = 1 + np.arange(n) % 3
+    data = np.random.default_rng(2).integers(-30000, 30000, (int(points.sum()), 2))
+    channel = {"min_digital_value": -4, "max_digital_value": 4, "min_analog_value": -1, "max_analog_value": 1, "units": "uV"}
+    path.write_bytes(encode.nsx({"period": 15, "time_resolution_timestamp": 1000}, [channel | {"electrode_id": k} for k in (1, 2)], np.arange(n) * 50, points, data))
+    return points, data
+
+
+@pytest.mark.parametrize("n", [2000, 40_000])
+def test_plan_does_not_grow_with_packets(tmp_path, n):
+    points, data = pauses(tmp_path / "a.ns3", n)
+    reader = nsx.NsxReader({"path": str(tmp_path / "a.ns3"), "split_bytes": "1", "true_time": "true"})
+    plan = reader.partitions()
+    assert len(plan) == -(-2 * n // nsx.BLOCK) and len(pickle.dumps(plan)) < 400 * len(plan)
+    got = [pa.Table.from_batches([b]).filter(pc.field("electrode_id") == 2) for s in plan for b in reader.read(s)]
+    got = pa.concat_tables(got).sort_by("partition")
+    assert got["partition"].to_pylist() == list(range(1, n + 1)) and set(got["start_sample"].to_pylist()) == {0}
+    assert pc.list_value_length(got["data"]).to_pylist() == points.tolist()
+    assert np.array_equal(pc.list_flatten(got["data"]).to_numpy(), data[:, 1] * 0.25)
+    assert np.allclose(got["relative_time"], np.arange(n) * 0.05)
+
+
+def test_packet_headers_are_read_once(tmp_path, monkeypatch):
+    points, _ = pauses(tmp_path / "a.ns3", 3000)
+    read = []
+
+    class Counted(io.FileIO):
+        def read(self, n=-1):
+            read.append(len(data := super().read(n)))
+            return data
+
+    file = nsx.read_file(str(tmp_path / "a.ns3"))
+    monkeypatch.setattr(nsx, "open_input", Counted)
+    assert np.array_equal(nsx.scan_packets(file).points, points)
+    assert sum(read) < 2 * file.bytes
+
+
 def test_clock_of_older_versions(spark, tmp_path):
     data = np.ones((100, 3))
     writers.nsx(tmp_path / "a.ns3", "2.3", packets=[(0, data), (1500, data)])
