@@ -11,8 +11,9 @@ import pyarrow.compute as pc
 import pytest
 from pyspark.sql import types as T
 
-from ephyspark import codecs, get_file_type, read_bci2000, specs
+from ephyspark import catalog, codecs, get_file_type, read_bci2000, specs
 from ephyspark.functions.text import decode_percent, expand_svec, trim_value
+from ephyspark.operators.signal import compare, long_view
 from ephyspark.sources import encode, nsx, register
 from ephyspark.sources.bci import numbers, parse_parameter
 
@@ -129,6 +130,16 @@ def test_plan_does_not_grow_with_packets(tmp_path, n):
     assert np.allclose(got["relative_time"], np.arange(n) * 0.05)
 
 
+def test_importers_agree_on_many_partitions(spark, tmp_path):
+    for k in range(3):
+        pauses(tmp_path / f"a{k}.ns3", 500 + k)
+    plan = nsx.NsxReader({"path": str(tmp_path), "true_time": "true"}).partitions()
+    assert sum(len(pickle.dumps(s)) for s in plan) < 2000
+    a = long_view(load(spark, "nsx", "samples", tmp_path, true_time="true"))
+    got = compare(a, catalog.samples_by_bytes(spark, str(tmp_path)), ["file_id", "electrode_id", "partition", "sample"]).first()
+    assert (got.n_missing, got.max_diff, got.equal) == (0, 0.0, True)
+
+
 def test_packet_headers_are_read_once(tmp_path, monkeypatch):
     points, _ = pauses(tmp_path / "a.ns3", 3000)
     read = []
