@@ -35,7 +35,7 @@ from .files import list_files, open_input, size, stem
 #: Samples of a block of one channel, and raw bytes of a read task.
 BLOCK, SPLIT_BYTES = 16384, 64 << 20
 #: Files whose headers are read at once while planning, and bytes of a file that are looked through at once.
-PLANNERS, PIECE = 16, 8 << 20
+PLANNERS, PIECE = 16, 1 << 20
 #: Sampling clock of the format in Hz, and the scale of each unit to microvolts. Fixed values.
 CLOCK, MICROVOLTS = 30000, {"V": 1e6, "mV": 1e3}
 
