@@ -89,7 +89,11 @@ class Symbols:
 
 
 class Group:
-    """Distinct runs and words of a group of documents, in the order in which they go to the shards."""
+    """Distinct runs and words of a group of documents, in the order in which they go to the shards.
+
+    That order depends on the runs and words alone: a shuffle may hand over the same rows in another order at each reading,
+    and the answers to one reading are matched with the runs of another.
+    """
 
     def __init__(self, table: pa.Table, text: str, shards: int, hot: np.ndarray):
         runs_, docs, words_, word_docs, n_words, base = [], [], [], [], [], 0
@@ -128,10 +132,10 @@ def _place(runs_: np.ndarray, hot: np.ndarray) -> np.ndarray:
 
 
 def _distinct(keys: np.ndarray, place, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes into the distinct keys, those keys ordered by shard, and their shards."""
+    """Codes into the distinct keys, those keys ordered by shard and value, and their shards."""
     code, unique = pd.factorize(keys)
     shard = (place(unique) % np.uint64(shards)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
+    order = np.lexsort((unique, shard))
     rank = np.empty(len(order), dtype=np.int32)
     rank[order] = np.arange(len(order), dtype=np.int32)
     return rank[code], unique[order], shard[order]

@@ -66,6 +66,30 @@ def test_scores(spark, monkeypatch, rows, hot):
         assert got[i][5] == pytest.approx(w[5], rel=1e-5)
 
 
+def test_rows_in_another_order_at_each_reading(spark):
+    """A group's rows come in any order when they are read again, as from several executors."""
+    reuse = spark.conf.get("spark.sql.exchange.reuse")
+    rows = awkward()
+    want = plain_scores(rows)
+
+    def shuffled(batches):
+        r = np.random.default_rng()
+        for b in batches:
+            yield b.take(r.permutation(b.num_rows))
+
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        got = {r.doc_id: tuple(r)[1:] for r in ppm.digest(df.mapInArrow(shuffled, df.schema)).collect()}
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+    assert got.keys() == want.keys()
+    for i, w in want.items():
+        assert got[i][:4] == w[:4]
+        assert got[i][4] == pytest.approx(w[4], rel=1e-9)
+        assert got[i][5] == pytest.approx(w[5], rel=1e-5)
+
+
 def test_no_training_rows(spark):
     rows = [(i, "ab") for i in range(40) if zlib.crc32(str(i).encode()) % 5 == 1]
     got = ppm.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()
